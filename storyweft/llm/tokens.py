@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import operator
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -23,14 +25,13 @@ class WordEncoder:
 
     When the file's own rules cut at white space and drop it, a text's ids are the ids of its words one after the
     other, so words are looked up in a bounded cache; only unknown words reach the tokenizer, many in one call.
-    Words made of one run of Latin letters and a tail that starts with an ASCII non-letter are cut there too, for
-    the same reason. Any other file gets whole texts.
+    A word is cut once more after a leading run of Latin letters if an ASCII character follows, for the same reason. Any other file gets whole texts.
     """
 
-    #: One lower-case letter run of Latin-1, then nothing or a tail whose first byte is ASCII and no letter.
-    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)(?=[\x21-\x40\x5b-\x60\x7b-\x7e]|\Z)(.*)", re.S)
+    #: A line's first run of Latin-1 letters, and the rest.
+    CUT = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]*+)(.*)$", re.M)
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -40,6 +41,7 @@ class WordEncoder:
         self.limit = limit
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.by_word = self._cuts_at_space(spec)
         self.end = spec["model"].get("end_of_word_suffix") or ""
         ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -59,43 +61,42 @@ class WordEncoder:
         first = splits[0]
         return kinds == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and [x.get("use_regex") for x in splits[1:]] == [False] and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"] for x in spec.get("added_tokens", [])) and spec.get("post_processor") is None
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+
+    def _learn_runs(self, fresh: list[str]) -> None:
+        found = self.lean.encode_batch_fast([" ".join(fresh[i : i + 64]) for i in range(0, len(fresh), 64)])
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in found])
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+        assert len(stops) == len(fresh), "a letter run did not end with one end-of-word token"
+        raw = ids.tobytes()
+        self.runs.update(zip(fresh, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
     def _learn(self, fresh: list[bytes]) -> None:
-        cut: list[tuple[bytes, str, str]] = []
-        runs = set()
-        for word in fresh:
-            text = word.decode("utf-8", "replace")
-            m = self.LETTERS.fullmatch(text) if self.end else None
-            if m:
-                run, tail = m[1].lower(), m[2]
-                cut.append((word, run, tail))
-                if run not in self.runs:
-                    runs.add(run)
-            else:
-                self.words[word] = self._plain(text)
-        if runs:
-            if len(self.runs) + len(runs) > 2 * self.limit:
-                self.runs.clear()
-                runs = {run for _, run, _ in cut}
-            order = list(runs)
-            found = self.lean.encode_batch_fast([" ".join(order[i : i + 64]) for i in range(0, len(order), 64)])
-            ids = np.concatenate([np.array(x.ids, self.dtype) for x in found])
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-            assert len(stops) == len(order), "a letter run did not end with one end-of-word token"
-            raw, at = ids.tobytes(), 0
-            for run, stop in zip(order, stops):
-                self.runs[run] = raw[at:stop]
-                at = stop
-        tails: dict[str, bytes] = {"": b""}
-        for word, run, tail in cut:
-            if tail not in tails:
-                key = "\0" + tail
-                if (found := self.runs.get(key)) is None:
-                    self.runs[key] = found = self._plain(tail)
-                tails[tail] = found
-            self.words[word] = self.runs[run] + tails[tail]
+        """Words hold no line end, so all are cut in one pass."""
+        text = b"\n".join(fresh).decode("utf-8", "replace")
+        if not self.end:
+            self.words.update(zip(fresh, self._plain(text.split("\n"))))
+            return
+        cut = self.CUT.findall(text)
+        runs = "\n".join([run for run, _ in cut]).lower().split("\n")
+        if len(self.runs) + len(fresh) > 2 * self.limit:
+            self.runs.clear()
+        new = list(set(runs).difference(self.runs, ("",)))
+        if new:
+            self._learn_runs(new)
+        self.runs[""] = b""
+        tails = [tail for _, tail in cut]
+        if len(self.tails) + len(fresh) > self.limit:
+            self.tails.clear()
+        self.tails[""] = b""
+        new = [t for t in set(tails).difference(self.tails) if t[0] < "\x80"]
+        self.tails.update(zip(new, self._plain(new)))
+        self.words.update(zip(fresh, map(operator.concat, map(self.runs.__getitem__, runs), map(self.tails.get, tails, repeat(b"")))))
+        whole = [i for i, t in enumerate(tails) if t and t[0] >= "\x80"]  # its letters may go on, or combine
+        if whole:
+            self.words.update(zip([fresh[i] for i in whole], self._plain(["".join(cut[i]) for i in whole])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian numbers of self.dtype; null counts as empty."""
