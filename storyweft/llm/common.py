@@ -13,6 +13,7 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but space and the controls 9 to 13; bytes.split() cuts there.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,3 +135,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def held_out(column, parts: int, remainder: int):
     """crc32 of the id as text, by remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == remainder, F.lit(False))
+
+
+def extended(df: DataFrame, **kinds: str) -> T.StructType:
+    """df's schema and further fields; df.schema itself is shared and must not change."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items())])

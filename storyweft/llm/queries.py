@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from storyweft.llm import packing, tokenfiles
+from storyweft.llm import langid, lines, media, mixing, neardup, ngramlm, packing, quality, tokenfiles, topk
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_mixing": mixing.op2_mixing,
     "op3_token_files": tokenfiles.op3_token_files,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_media": media.op5_media,
+    "op6_topk": topk.op6_topk,
+    "op7_quality": quality.op7_quality,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_lm_scoring": ngramlm.op10_lm_scoring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_topk": topk.OP6_SQL,
+    "op8_line_dedup": lines.OP8_SQL,
+}
