@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from storyweft.plans import story_queries, text_queries  # noqa: F401
 from storyweft.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
