@@ -141,12 +141,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     return rows, plan, mixed.select("uid", "doc_id", "size", "epoch", "shard", "position", "take")
 
 
-def write_shards(docs: DataFrame, mixed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS) -> None:
-    """The mixture as Parquet, a folder for each shard, in shuffled order within it. Ids must be unique."""
-    out = docs.join(mixed.select(F.col("doc_id").alias("__id"), "shard", "position", "epoch", "take", "size"), F.col(id_col) == F.col("__id")).drop("__id")
-    text = F.when(F.col("take") < F.col("size"), first_words(F.col(text_col), F.col("take"))).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, text).repartition(1 << levels, "shard", F.pmod("position", F.lit(16))).sortWithinPartitions("shard", "position")
-    out.drop("position", "take", "size").write.partitionBy("shard").parquet(path)
+def mixture(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS) -> DataFrame:
+    """docs' columns and shard: a row for each taking, cut after `take` words, in shuffled order within each shard.
+
+    Ids must be unique. A column of docs called shard is replaced. Write with partitionBy("shard") for a folder each.
+    """
+    names = [c for c in docs.columns if c != "shard"]
+    m = mixed.select(F.struct("doc_id", "shard", "position", "take", "size").alias("__m"))
+    out = docs.select(*[F.col(f"`{c}`") for c in names]).join(m, F.col(id_col) == F.col("__m.doc_id"))
+    text = F.when(F.col("__m.take") < F.col("__m.size"), first_words(F.col(text_col), F.col("__m.take"))).otherwise(F.col(text_col))
+    out = out.withColumn(text_col, text).repartition(1 << levels, "__m.shard").sortWithinPartitions("__m.shard", "__m.position")
+    return out.select(*[F.col(f"`{c}`") for c in names], F.col("__m.shard").alias("shard"))
 
 
 def first_words(text: Column, n: Column) -> Column:

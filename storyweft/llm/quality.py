@@ -9,6 +9,7 @@ documents whose weight per n-gram reaches a threshold that labelled texts outsid
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ BITS = 18
 SAMPLE = 40_000
 #: Share of good labelled texts that the threshold may reject.
 LOSS = 0.002
+#: Scale of the Gumbel noise against log ratios.
+NOISE = 0.25
 SEED = 7
 
 
@@ -112,17 +115,38 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
         lo, hi = r.lo, r.hi
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, loss: float = LOSS, seed: int = SEED) -> DataFrame:
-    """docs' id with weight, grams, score (weight per n-gram), key and kept; a row for each row of docs.
+@dataclass
+class QualityRule:
+    """What a fit leaves: the log ratios, the bar a gram and the least key that is kept."""
 
-    labels: doc_id and quality (1 good, 0 bad; null is ignored). Documents without any word have score and weight 0 and
-    are judged like any other. Without good labels, everything is kept. Rows of one id and text stand or fall
-    together. Rows of a null id take part with the noise of a null.
+    ratio: np.ndarray
+    bar: float
+    least: float
+    seed: int
+    weighed: DataFrame  # doc_id, weight, grams, score, key of the documents it was fitted on
+
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """docs' kept rows, all columns: weighed again in one pass, which moves no text."""
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+        key = _key(weigh(own, self.ratio), F.col(f"row.{id_col}"), self.bar, self.seed)
+        return key.filter(F.col("key") >= F.lit(self.least)).select("row.*")
+
+
+def _key(weighed: DataFrame, id_: Column, bar: float, seed: int) -> DataFrame:
+    """Long texts must not outweigh short ones, nor noise a sure case: keys compare the sum less the bar for its length."""
+    return weighed.withColumn("key", F.col("weight") - F.lit(bar if np.isfinite(bar) else 0.0) * F.col("grams") + F.lit(NOISE) * gumbel(id_, seed))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, loss: float = LOSS, seed: int = SEED) -> QualityRule:
+    """A rule from all of docs and from labels: doc_id and quality (1 good, 0 bad; null is ignored).
+
+    Documents without any word have score and weight 0 and are judged like any other. Without good labels, everything
+    is kept. Rows of one id and text stand or fall together; rows of a null id share one noise. Other columns of docs
+    are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    turn = F.xxhash64(F.lit(seed + 1), "doc_id")
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    marks = marks.withColumn("turn", turn).orderBy("turn").limit(sample)
+    marks = marks.withColumn("turn", F.xxhash64(F.lit(seed + 1), "doc_id")).orderBy("turn").limit(sample)
     marks = saved(marks.withColumn("fit", F.pmod("turn", F.lit(2)) == 0).drop("turn"), "quality-labels")  # `sample` rows at most
     labelled = saved(rows.join(F.broadcast(marks), "doc_id"), "quality-sample")
     counts = bucket_counts(rows.select(F.lit("raw").alias("kind"), "text").unionByName(labelled.filter("fit AND quality = 1").select(F.lit("target").alias("kind"), "text")))
@@ -131,11 +155,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     weighed = weighed.withColumn("score", F.when(F.col("grams") > 0, F.col("weight") / F.col("grams")).otherwise(0.0))
     judged = weighed.join(F.broadcast(marks), "doc_id").filter("NOT fit").select("score", "quality").toPandas()
     bar = threshold(judged["score"].to_numpy(), judged["quality"].to_numpy(), loss)
+    weighed = _key(weighed, F.col("doc_id"), bar, seed)
     k = weighed.filter(F.col("score") >= bar).count()
-    # Long texts must not outweigh short ones, nor noise a sure case: keys compare the sum less the bar for its length.
-    weighed = weighed.withColumn("key", F.col("weight") - F.lit(bar if np.isfinite(bar) else 0.0) * F.col("grams") + F.lit(0.25) * gumbel(F.col("doc_id"), seed))
-    least = kth_largest(weighed, "key", k)
-    return weighed.withColumn("kept", F.col("key") >= F.lit(least))
+    return QualityRule(ratio, bar, kth_largest(weighed, "key", k), seed, weighed)
 
 
 def threshold(score: np.ndarray, quality: np.ndarray, loss: float = LOSS) -> float:
@@ -152,5 +174,5 @@ def threshold(score: np.ndarray, quality: np.ndarray, loss: float = LOSS) -> flo
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return select_quality(documents(spark, sf_dir), labels).select("doc_id", "kept", "score", "weight", "grams")
+    rule = fit_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rule.weighed.select("doc_id", (F.col("key") >= F.lit(rule.least)).alias("kept"), "score", "weight", "grams")
