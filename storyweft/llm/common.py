@@ -70,7 +70,7 @@ def map_file(uri: str, dtype) -> np.ndarray:
     if isinstance(fs, pafs.LocalFileSystem):
         if os.path.getsize(path) == 0:
             return np.empty(0, dtype)
-        return np.memmap(path, dtype, "r")
+        return np.asarray(np.memmap(path, dtype, "r"))
     with fs.open_input_file(path) as f:
         return np.frombuffer(f.read_buffer(), dtype)
 

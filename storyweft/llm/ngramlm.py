@@ -81,18 +81,20 @@ def ef_find(low: int, lows: np.ndarray, ones: np.ndarray, targets: np.ndarray) -
     n = len(ones)
     high = (targets >> np.uint64(low)).astype(np.int64)
     heads = ones - np.arange(n)  # high parts, in order
-    at = np.searchsorted(heads, high)
+    at, end = np.searchsorted(heads, high), np.searchsorted(heads, high, side="right")
     want = targets & np.uint64((1 << low) - 1)
+    live = np.flatnonzero(at < end)
+    while len(live):  # halve the bucket of equal high parts; it holds one value on average, many for a dense context
+        mid = (at[live] + end[live]) >> 1
+        less = get_bits(lows, low, mid) < want[live]
+        at[live] = np.where(less, mid + 1, at[live])
+        end[live] = np.where(less, end[live], mid)
+        live = live[at[live] < end[live]]
     found = np.full(len(targets), -1)
-    live = np.arange(len(targets))
-    while len(live):  # through the bucket of equal high parts: about one value on average
-        live = live[at[live] < n]
-        live = live[heads[at[live]] == high[live]]
-        got = get_bits(lows, low, at[live])
-        hit = got == want[live]
-        found[live[hit]] = at[live[hit]]
-        live = live[got < want[live]]
-        at[live] += 1
+    near = np.flatnonzero(at < n)
+    near = near[heads[at[near]] == high[near]]
+    near = near[get_bits(lows, low, at[near]) == want[near]]
+    found[near] = at[near]
     return found
 
 
