@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyweft.functions.text import let
+
 #: Fixed values of FNV-1a 64: offset basis, prime.
 FNV_BASIS = 14695981039346656037
 FNV_PRIME = 1099511628211
@@ -24,10 +26,10 @@ def fnv1a64(word: Column) -> Column:
         top = hi * 435 + F.shiftrightunsigned(part, 32) + F.shiftleft(lo.bitwiseAND(F.lit(0xFFFFFF)), 8)
         return F.shiftleft(top.bitwiseAND(low32), 32).bitwiseOR(part.bitwiseAND(low32))
 
-    hexed = F.hex(F.encode(word, "UTF-8"))
+    basis = F.lit(FNV_BASIS - (1 << 64)).cast("long")
     places = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    bytes_ = F.transform(places, lambda i: F.conv(F.substr(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(F.octet_length(word) > 0, F.aggregate(bytes_, F.lit(FNV_BASIS - (1 << 64)).cast("long"), step)).otherwise(F.lit(FNV_BASIS - (1 << 64)).cast("long"))
+    bytes_ = let(F.hex(F.encode(word, "UTF-8")), lambda h: F.transform(places, lambda i: F.conv(F.substr(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long")))
+    return F.when(F.octet_length(word) > 0, F.aggregate(bytes_, basis, step)).otherwise(basis)
 
 
 def _fnv(word: bytes) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ BLANKS = r"[\t-\r \x{85}\p{Z}]+"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, x evaluated once: a lambda's body is evaluated anew for each element, what it refers to included."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def normalize_text(x: Column) -> Column:
     """Lower case, no controls, each run of white space one blank, none at the ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), CONTROL, ""), BLANKS, " "))
@@ -43,9 +50,7 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def trigrams(x: Column) -> Column:
     """Distinct 3-grams of code points of the normalised text; a shorter text is its own only gram, an empty one has none."""
-    n = normalize_text(x)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(n) - 2, F.lit(1))), lambda i: F.substr(n, i, F.lit(3)))
-    return F.filter(F.array_distinct(grams), lambda g: g != "")
+    return let(normalize_text(x), lambda n: F.filter(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(n) - 2, F.lit(1))), lambda i: F.substr(n, i, F.lit(3)))), lambda g: g != ""))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:

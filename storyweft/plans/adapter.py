@@ -43,9 +43,11 @@ def live(df: DataFrame) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With counts of members and sources; what a query does not use is pruned."""
     seen = F.coalesce("published_at", "created_at")
     return live(articles(spark, sf_dir)).groupBy("collection", "content_hash").agg(
-        F.min("article_id").alias("story_id"), F.min_by("title", "article_id").alias("canonical_title"), F.min(seen).alias("first_seen_at"), F.max(seen).alias("last_seen_at")
+        F.min("article_id").alias("story_id"), F.min_by("title", "article_id").alias("canonical_title"), F.min(seen).alias("first_seen_at"), F.max(seen).alias("last_seen_at"),
+        F.count("*").alias("article_count"), F.countDistinct("source").alias("source_count"),
     )
 
 

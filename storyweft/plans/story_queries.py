@@ -166,10 +166,6 @@ def cluster_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Read catalogue -------------------------------------------------------------------------------------------------------
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.members(spark, sf_dir).groupBy("story_id").agg(F.count("*").alias("article_count"), F.countDistinct("source").alias("source_count"))
-
-
 @query("story_feed_page", with_model(f"""
 SELECT s.story_id, s.collection, s.canonical_title, {stamp_sql('last_seen_at')} AS last_seen, count(*) AS article_count, count(DISTINCT m.source) AS source_count
 FROM stories s JOIN members m USING (story_id) WHERE s.collection = 'en' AND contains(lower(s.canonical_title), 'the')
@@ -178,7 +174,7 @@ GROUP BY ALL ORDER BY max(last_seen_at) DESC, s.story_id DESC LIMIT 25 OFFSET 25
 def story_feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = m.stories(spark, sf_dir).filter((F.col("collection") == "en") & F.col("canonical_title").ilike("%the%"))
     page = s.orderBy(F.desc("last_seen_at"), F.desc("story_id")).offset(25).limit(25)
-    return page.join(_counts(spark, sf_dir), "story_id", "left").select("story_id", "collection", "canonical_title", stamp(F.col("last_seen_at")).alias("last_seen"), F.coalesce("article_count", F.lit(0)).alias("article_count"), F.coalesce("source_count", F.lit(0)).alias("source_count"))
+    return page.select("story_id", "collection", "canonical_title", stamp(F.col("last_seen_at")).alias("last_seen"), "article_count", "source_count")
 
 
 @query("story_feed_total", with_model("SELECT count(*) AS total, ceil(count(*) / 25)::BIGINT AS pages FROM stories WHERE collection = 'en'"))
@@ -192,8 +188,8 @@ SELECT s.story_id, s.canonical_title, count(*) AS article_count, count(DISTINCT
 FROM stories s JOIN members m USING (story_id) WHERE s.canonical_title ILIKE '%er%th%' GROUP BY ALL ORDER BY source_count DESC, article_count DESC, s.story_id DESC LIMIT 50
 """))
 def story_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = m.stories(spark, sf_dir).filter(F.col("canonical_title").ilike("%er%th%")).select("story_id", "canonical_title")
-    return s.join(_counts(spark, sf_dir), "story_id").orderBy(F.desc("source_count"), F.desc("article_count"), F.desc("story_id")).limit(50)
+    s = m.stories(spark, sf_dir).filter(F.col("canonical_title").ilike("%er%th%")).select("story_id", "canonical_title", "article_count", "source_count")
+    return s.orderBy(F.desc("source_count"), F.desc("article_count"), F.desc("story_id")).limit(50)
 
 
 @query("story_event_window", with_model(f"""
@@ -262,8 +258,7 @@ def collection_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT collection, count(*) AS stories, sum(items)::BIGINT AS story_items, {stamp_sql('max(last_seen_at)')} AS last_seen FROM stories JOIN i USING (story_id) GROUP BY 1
 """))
 def collections_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = m.stories(spark, sf_dir).join(_counts(spark, sf_dir), "story_id")
-    g = s.groupBy("collection").agg(F.count("*").alias("stories"), F.sum("article_count").alias("story_items"), F.max("last_seen_at").alias("t"))
+    g = m.stories(spark, sf_dir).groupBy("collection").agg(F.count("*").alias("stories"), F.sum("article_count").alias("story_items"), F.max("last_seen_at").alias("t"))
     return g.select("collection", "stories", "story_items", stamp(F.col("t")).alias("last_seen"))
 
 
