@@ -2,7 +2,7 @@
 
 1. Sketch. Each text becomes its set of 64-bit shingle hashes, a digest of the set, and COORDS minwise tokens. Texts of
    one digest are one class; from here on only a class's least id stands for it, so copies are never paired.
-2. Chosen paths. In each of TREES trees a node picks one or two coordinates; a document moves to the child named by its
+2. Chosen paths. In each of TREES trees a node picks a coordinate, a root one or two; a document moves to the child named by its
    token there. Nodes of at most LEAF documents are compared exhaustively by their sketches, larger ones branch again.
    Nodes still large at depth DEPTH agree in many tokens and are taken as linked whole. Each node yields at most one
    candidate row a document (to the least id of its sketch-linked part), never its pairs.
@@ -84,11 +84,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _children(tree: np.ndarray, node: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and names of the children that documents (tree, node, tokens) move to: one each, 3 in 7 nodes a second."""
+    """Rows and names of the children that documents (tree, node, tokens) move to: one each; from a root, in 3 of 7 nodes
+    a second one. Below, a second child would multiply the rows of large groups level by level."""
     at, names = [], []
     path = mix64(node ^ np.uint64(level + 1))
     first = (path % np.uint64(RUN)).astype(np.int64)
-    for k in (0, 1):
+    for k in (0, 1)[: 2 if level == 0 else 1]:
         rows = np.arange(len(node)) if k == 0 else np.flatnonzero((path >> np.uint64(32)) % np.uint64(7) < 3)
         place = (first[rows] + k * (1 + ((path[rows] >> np.uint64(48)) % np.uint64(RUN - 1)).astype(np.int64))) % RUN
         coord = ORDER[tree[rows], level * RUN + place]
