@@ -113,3 +113,22 @@ def test_fnv_forms_agree(spark, words):
     words = [w.encode("utf-8", "ignore").decode() for w in words]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", hashing.fnv1a64(F.col("w")).alias("h")).collect()
     assert {r.w: r.h & (1 << 64) - 1 for r in got} == {w: _fnv(w.encode()) for w in words}
+
+
+def test_arguments(spark):
+    from storyweft.plans import arguments as a
+
+    assert a.bounded(None, a.PAGE) == 1 and a.bounded("200", a.SIZE) == 200 and a.bounded("", a.DAYS) == 30
+    for bad, limits in ((0, a.PAGE), (201, a.SIZE), ("x", a.DAYS)):
+        with pytest.raises(ValueError):
+            a.bounded(bad, limits)
+    assert a.time_filter(F.col("x")) is None and a.time_filter(F.col("x"), day="2024-01-01", text="q") is None
+    assert a.time_filter(F.col("x"), day="2024-01-01") is not None and a.same(F.col("x"), "") is None
+
+
+def test_labels(spark):
+    assert one(spark, url.source_label(F.lit("https://www.Example.com/x"), F.lit(0))) == "example.com"
+    assert one(spark, url.source_label(F.lit("https://example.com"), F.lit(2))) == "example.com and 2 others"
+    day = lambda d: one(spark, timefn.relative_day(F.lit(d).cast("date"), F.lit("2024-02-10").cast("date")))
+    assert [day(d) for d in ("2024-02-10", "2024-02-09", "2024-02-11", "2024-02-07", "2024-02-20", "2022-01-01")] == ["today", "yesterday", "tomorrow", "3 days ago", "in 1 week", "2 years ago"]
+    assert one(spark, text.truncate_cell(F.lit("abcdef"), 5)) == "ab..." and one(spark, text.truncate_cell(F.lit("abcdef"), 3)) == "abc"
