@@ -22,7 +22,7 @@ BITS = 18
 #: Labelled texts used at most, half of them for the target model and half for the threshold.
 SAMPLE = 40_000
 #: Share of good labelled texts that the threshold may reject.
-LOSS = 0.002
+LOSS = 0.0005
 #: Scale of the Gumbel noise against log ratios.
 NOISE = 0.25
 SEED = 7
