@@ -104,7 +104,7 @@ SELECT n.vec_id AS id, round(max(list_inner_product(n.e, o.e) / (sqrt(list_inner
 FROM n JOIN o ON n.label = o.label GROUP BY 1
 """)
 def novelty_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposed in the reference: the largest cosine against recent entries of the same collection."""
+    """A proposal, not a stage yet: the largest cosine against recent entries of the same collection."""
     v = _vectors(spark, sf_dir)
     new = v.filter("id % 5 = 0").select("id", "block", F.col("vector").alias("n"))
     old = v.filter("id % 5 <> 0").select("block", F.col("vector").alias("o"))
@@ -118,7 +118,7 @@ SELECT doc_id, sum(w)::DOUBLE AS weight FROM (
 WHERE w > 0 GROUP BY doc_id
 """)
 def topic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposed in the reference: excluded sources, weighted keywords and patterns."""
+    """A proposal, not a stage yet: excluded sources, weighted keywords and patterns."""
     t = F.lower(F.substring("text", 1, 80))
     w = F.when(F.contains(t, F.lit("tion")), 2.0).otherwise(0.0) + F.when(t.rlike("(^| )sch"), 1.0).otherwise(0.0)
     return table(spark, sf_dir, "documents").filter("source <> 'src9'").select("doc_id", w.alias("weight")).filter("weight > 0")
