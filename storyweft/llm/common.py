@@ -98,7 +98,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20,
 class WordHashes(dict):
     """64-bit hash of a word; remembers a bounded number of words."""
 
-    def __init__(self, limit: int = 600_000, seed: int = 0):
+    def __init__(self, limit: int = 300_000, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 
