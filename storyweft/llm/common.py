@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyweft.session import ship
+
 #: Words are runs of anything but space and the controls 9 to 13; bytes.split() cuts there.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
 
@@ -32,12 +33,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     Only a local session may go without that setting; it gets a temporary folder.
     """
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="storyweft-"))
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="storyweft-")
+        base = _own_dirs[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
