@@ -350,9 +350,11 @@ def fit(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> NgramModel:
     model = NgramModel(path, shards, bases, total, words, 0.75, math.log10(0.5 / (total + 0.5 * (words + 1))) - 1.0)
     if words:
         counted = saved(count_pairs(docs, model), "ngram-pairs")
-        _discount(model, counted)
-        built = saved(_reduce(counted, shards, _builder(model), "shard int, pairs long"), "ngram-shards")
-        done = {r.shard for r in built.collect()}
+        merged = saved(_reduce(counted, shards, _merger(model), "shard int, ones long, twos long"), "ngram-merged").collect()  # a row a shard
+        model.discount = _discount(sum(r.ones for r in merged), sum(r.twos for r in merged))
+        done = {r.shard for r in merged}
+        own = spark.createDataFrame([(s,) for s in sorted(done)], "shard int").repartition(len(done), "shard")
+        saved(own.mapInArrow(_builder(model), "shard int, pairs long"), "ngram-shards")
     else:
         done = set()
     for s in set(range(shards)) - done:
@@ -360,29 +362,35 @@ def fit(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> NgramModel:
     return model
 
 
-def _discount(model: NgramModel, counted: DataFrame) -> None:
-    """The usual estimate n1 / (n1 + 2 n2), of pairs seen once and twice within a task: a bounded, stable statistic."""
+def _discount(ones: int, twos: int) -> float:
+    """The usual estimate n1 / (n1 + 2 n2), of pairs that all training texts hold once and twice."""
+    return min(0.95, max(0.5, ones / (ones + 2 * twos))) if ones else 0.75
 
-    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = b = 0
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n = np.frombuffer(x, np.uint32)
-                a, b = a + int((n == 1).sum()), b + int((n == 2).sum())
-        yield pa.RecordBatch.from_pydict({"a": [a], "b": [b]})
-
-    r = counted.select("n").mapInArrow(ones, "a long, b long").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
-    model.discount = min(0.95, max(0.5, r.a / (r.a + 2 * r.b))) if r.a else 0.75
 
+def _merger(model: NgramModel):
+    """Puts a shard's pairs and their counts over all texts into files, and tells how many occur once and twice."""
 
-def _builder(model: NgramModel):
     def finish(shard: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        _build(model, shard, keys, n)
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "pairs": [len(keys)]})
+        put_file(f"{model.path}/{shard:05d}.pairs", [keys.tobytes()])
+        put_file(f"{model.path}/{shard:05d}.pair-counts", [n.tobytes()])
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "ones": [int((n == 1).sum())], "twos": [int((n == 2).sum())]})
 
     return finish
 
 
+def _builder(model: NgramModel):
+    """Builds the levels of the shards that come, from their files of pairs."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                keys, n = model.file(shard, "pairs", np.uint64), model.file(shard, "pair-counts", np.int64)
+                _build(model, shard, keys, n)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "pairs": [len(keys)]})
+
+    return build
+
+
 def _build(model: NgramModel, shard: int, keys: np.ndarray, n: np.ndarray) -> None:
     """One shard's levels. keys: context * V + word in order."""
     v = np.uint64(max(1, model.words))

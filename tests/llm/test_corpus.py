@@ -488,6 +488,21 @@ def test_lm_scoring(spark, sf_dir, docs):
     assert sum(p(a, w) for w in c) + k * kinds[a] / seen[a] * uni("\0") == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_discount_is_of_the_corpus(spark):
+    texts = [f"p{i // 2} q{i // 2} u{i} v{i}" for i in range(50)]
+    pairs = Counter()
+    for t in texts:
+        pairs.update(zip(["<s>", *t.split()], [*t.split(), "</s>"]))
+    n1, n2 = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = []
+    for parts in (1, 50):
+        model = ngramlm.fit(d.repartition(parts))
+        assert model.discount == pytest.approx(n1 / (n1 + 2 * n2)) == pytest.approx(0.6)
+        got.append(sorted((r.doc_id, round(r.score, 9)) for r in ngramlm.score(d, model).collect()))
+    assert got[0] == got[1]
+
+
 def test_lm_odd(odd, empty):
     model = ngramlm.fit(odd.select("text"))
     got = {r.doc_id: r for r in ngramlm.score(odd, model).collect()}
