@@ -21,8 +21,8 @@ from storyweft.llm.common import documents, extended, mix64, saved, slices, word
 BITS = 18
 #: Labelled texts used at most, half of them for the target model and half for the threshold.
 SAMPLE = 40_000
-#: Share of good labelled texts that the threshold may reject.
-LOSS = 0.0005
+#: A share of the good labelled texts lost counts as much as so many times that share of the bad ones kept.
+COST = 10.0
 #: Scale of the Gumbel noise against log ratios.
 NOISE = 0.25
 SEED = 7
@@ -137,7 +137,7 @@ def _key(weighed: DataFrame, id_: Column, bar: float, seed: int) -> DataFrame:
     return weighed.withColumn("key", F.col("weight") - F.lit(bar if np.isfinite(bar) else 0.0) * F.col("grams") + F.lit(NOISE) * gumbel(id_, seed))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, loss: float = LOSS, seed: int = SEED) -> QualityRule:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cost: float = COST, seed: int = SEED) -> QualityRule:
     """A rule from all of docs and from labels: doc_id and quality (1 good, 0 bad; null is ignored).
 
     Documents without any word have score and weight 0 and are judged like any other. Without good labels, everything
@@ -154,23 +154,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     weighed = saved(weigh(rows, ratio).drop("text"), "quality-weights")
     weighed = weighed.withColumn("score", F.when(F.col("grams") > 0, F.col("weight") / F.col("grams")).otherwise(0.0))
     judged = weighed.join(F.broadcast(marks), "doc_id").filter("NOT fit").select("score", "quality").toPandas()
-    bar = threshold(judged["score"].to_numpy(), judged["quality"].to_numpy(), loss)
+    bar = threshold(judged["score"].to_numpy(), judged["quality"].to_numpy(), cost)
     weighed = _key(weighed, F.col("doc_id"), bar, seed)
     k = weighed.filter(F.col("score") >= bar).count()
     return QualityRule(ratio, bar, kth_largest(weighed, "key", k), seed, weighed)
 
 
-def threshold(score: np.ndarray, quality: np.ndarray, loss: float = LOSS) -> float:
-    """The bar that labelled texts outside the fit set: it may reject `loss` of the good ones at most; -inf if none are
-    good. Where good and bad lie apart, the middle of the gap."""
-    good, bad = np.sort(score[quality == 1]), score[quality == 0]
+def threshold(score: np.ndarray, quality: np.ndarray, cost: float = COST) -> float:
+    """The bar with the least cost: the share of good labelled texts below it, times `cost`, plus the share of bad ones at
+    or above it; -inf if none are good. Shares mean the same at every number of labels, and one good label of n weighs
+    cost / n: it moves the bar past no larger share of the bad ones. Where good and bad lie apart, the middle of the gap.
+    """
+    good, bad = np.sort(score[quality == 1]), np.sort(score[quality == 0])
     if not len(good):
         return float("-inf")
     if not len(bad):
         return float(good[0]) - 1.0
-    cut = float(good[int(loss * len(good))])
+    lost = np.searchsorted(good, good) / len(good)
+    kept = 1 - np.searchsorted(bad, good) / len(bad)
+    cut = float(good[np.argmin(cost * lost + kept)])  # of equal costs the lowest bar
     below = bad[bad < cut]
-    return (cut + float(below.max())) / 2 if len(below) else cut
+    return (cut + float(below[-1])) / 2 if len(below) else cut
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,6 +384,16 @@ def test_quality(spark, docs, sf_dir):
     assert applied.count() == got.sum() and applied.columns == common.documents(spark, base).columns
 
 
+def test_one_good_label_does_not_set_the_bar():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.5, 0.2, 1000), rng.normal(-1, 0.3, 300)
+    bar = lambda g, b: quality.threshold(np.concatenate([g, b]), np.repeat([1, 0], [len(g), len(b)]))
+    plain = bar(good, bad)
+    assert abs(bar(np.append(good, -1.5), bad) - plain) < 0.05  # a good text among the worst
+    assert bar(np.tile(good, 20), np.tile(bad, 20)) == plain  # the same shares, more labels
+    assert (good < plain).mean() < 0.01 and (bad >= plain).mean() < 0.02
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=500), [3.0] * 40, [1e9, -1e9]])
