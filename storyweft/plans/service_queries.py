@@ -86,7 +86,7 @@ def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hash_embeddings")
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = live(m.raw_articles(spark, sf_dir)).select("article_id", "title", F.lit("").alias("body"))
+    a = live(m.raw_articles(spark, sf_dir)).select("article_id", "title", "body")
     return embed.embed(a, lambda: embed.HashBackend(64), "hash", "1")
 
 

@@ -141,6 +141,17 @@ def test_embed_stage(spark):
     assert embed.request(["a", " "], 1) == (["a"], 8)
 
 
+def test_hash_embeddings_take_the_body(spark, tmp_path):
+    from storyweft.plans.catalogue import QUERIES
+
+    rows = [(1, "x" * 80 + " one"), (2, "x" * 80 + " two"), (3, " " * 80 + "late words"), (4, " ")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.article_id: r.embedding for r in QUERIES["hash_embeddings"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[1] != got[2]
+    own = embed.HashBackend(64).embed([f"{'x' * 80}\n\n{rows[0][1]}"])[0]
+    assert got[1] == pytest.approx(own, abs=1e-6)
+
+
 def test_translation(spark):
     t = spark.createDataFrame([("article_title", 1, "en", "hello"), ("article_title", 2, "zh", "ni hao")], "source_type string, source_id long, source_lang string, text string")
     cache = spark.createDataFrame([], "source_type string, source_id long, content_hash string, target_lang string")
