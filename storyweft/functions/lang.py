@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,14 +41,14 @@ def language_code(x: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def detect_language(texts: pd.Series) -> pd.Series:
-    """Two-letter code by stop words; `und` below six letters or without a hit."""
+    """Two-letter code by stop words of the whole text; `und` below six letters or without a hit."""
     words = {k: set(v.split()) for k, v in STOPWORDS.items()}
 
     def one(t) -> str:
-        if t is None or sum(c.isalpha() for c in t[:4096]) < 6:
+        if t is None or sum(1 for _ in islice(filter(str.isalpha, t), 6)) < 6:
             return "und"
-        own = t[:65536].lower().split()
-        hits = {k: sum(w in s for w in own) for k, s in words.items()}
+        own = Counter(t.lower().split())
+        hits = {k: sum(own[w] for w in s) for k, s in words.items()}
         best = max(sorted(hits), key=hits.get)
         return best if hits[best] else "und"
 
