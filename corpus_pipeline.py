@@ -43,11 +43,13 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each taking of a document; documents that are not taken go, the last of a source may be cut."""
+    """A row for each taking of a document; documents that are not taken go, the last of a source may be cut. Rows with
+    a null or a repeated id are documents of their own."""
     n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if n != ids:  # repeated ids: one row each
-        docs = saved(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "unique-documents")
-    return _measured(mixture(docs, mix(docs)[2]), docs)
+    if n == ids:
+        return _measured(mixture(docs, mix(docs)[2]), docs)
+    keyed = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-documents")  # null or repeated ids
+    return _measured(mixture(keyed, mix(keyed, uid_col="__row")[2], id_col="__row", key="uid"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

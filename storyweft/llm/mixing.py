@@ -35,11 +35,12 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("t"))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """uid, doc_id, size, src, block, turn: one row a document, written once."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col).cast("string")).alias("src"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid_col: str | None = None) -> DataFrame:
+    """uid, doc_id, size, src, block, turn: one row a document, written once. uid_col: a unique long of docs to be uid."""
+    uid = F.monotonically_increasing_id() if uid_col is None else F.col(uid_col)
+    rows = docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col).cast("string")).alias("src"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(BLOCKS)).cast("int"))
-    rows = rows.withColumn("turn", F.xxhash64(F.lit(SEED + 1), "doc_id", "size")).withColumn("uid", F.monotonically_increasing_id())
+    rows = rows.withColumn("turn", F.xxhash64(F.lit(SEED + 1), "doc_id", "size"))
     return saved(rows, "mix-sized")
 
 
@@ -141,14 +142,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     return rows, plan, mixed.select("uid", "doc_id", "size", "epoch", "shard", "position", "take")
 
 
-def mixture(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS) -> DataFrame:
+def mixture(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS, key: str = "doc_id") -> DataFrame:
     """docs' columns and shard: a row for each taking, cut after `take` words, in shuffled order within each shard.
 
-    Ids must be unique. A column of docs called shard is replaced. Write with partitionBy("shard") for a folder each.
+    id_col of docs meets `key` of mixed (doc_id, or uid where mix() had a uid_col); its values must be unique. A column of docs called shard is replaced. Write with partitionBy("shard") for a folder each.
     """
     names = [c for c in docs.columns if c != "shard"]
-    m = mixed.select(F.struct("doc_id", "shard", "position", "take", "size").alias("__m"))
-    out = docs.select(*[F.col(f"`{c}`") for c in names]).join(m, F.col(id_col) == F.col("__m.doc_id"))
+    m = mixed.select(F.struct(F.col(key).alias("id"), "shard", "position", "take", "size").alias("__m"))
+    out = docs.select(*[F.col(f"`{c}`") for c in names]).join(m, F.col(id_col) == F.col("__m.id"))
     text = F.when(F.col("__m.take") < F.col("__m.size"), first_words(F.col(text_col), F.col("__m.take"))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, text).repartition(1 << levels, "__m.shard").sortWithinPartitions("__m.shard", "__m.position")
     return out.select(*[F.col(f"`{c}`") for c in names], F.col("__m.shard").alias("shard"))

@@ -545,3 +545,13 @@ def test_pipeline_odd(spark, odd, empty, tmp_path):
     for d in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             d = common.saved(stage(spark, d, str(tmp_path)), "odd")
+
+
+def test_pipeline_mixes_rows_without_a_unique_id(spark, tmp_path):
+    rows = [(1, "a b c"), (1, "d e"), (1, "d e"), (None, "f g h i"), (None, "j"), (2, "k")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = common.saved(corpus_pipeline.mixing(spark, d, str(tmp_path)), "mixed")  # one source: each document is taken once
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted((str(i), t) for i, t in rows)
+    assert out.columns == d.columns
+    pieces = corpus_pipeline.packing(spark, out, str(tmp_path))
+    assert pieces.filter("doc_id IS NULL").count() >= 2
