@@ -45,6 +45,14 @@ def test_nearest(spark):
         assert [got[i, k + 1] for k in range(5)] == [j for _, j in near]
 
 
+def test_nearest_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, [1.0 + i % 3, 0.0, 0.0]) for i in rng.permutation(400).tolist()] + [(1000 + i, 0, [0.0, 1.0, float(i)]) for i in range(5)]  # 400 are parallel
+    got = {(r.id, r["rank"]): r.neighbour for r in dedup.nearest(spark.createDataFrame(rows, "id long, block int, vector array<double>").coalesce(1), 5).collect()}
+    for i in range(400):
+        assert [got[i, k + 1] for k in range(5)] == [j for j in range(6) if j != i][:5]
+
+
 def _article(i, **x):
     return {"article_id": i, "collection": "c", "source": f"s{i}", "source_item_id": str(i), "url": None, "content_hash": f"h{i}", "title": f"entirely different words number {i * 7919}", "published_at": "2024-01-01 00:00:00", "created_at": "2024-01-01 00:00:00", "vector": None} | x
 
