@@ -50,7 +50,37 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(spark: SparkSession, *what: DataFrame | str | None) -> None:
+    """Delete paths, or the files of frames that saved() gave, once nothing will read them again."""
+    for x in what:
+        path = x if x is None or isinstance(x, str) else getattr(x, "saved_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a table that may be broadcast whole; larger ones are joined by key.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table marked for broadcast if it has at most `rows` rows (counted); else as it is, for a join by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def row_keyed(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> tuple[DataFrame, str]:
+    """docs and the column that tells its rows apart: the id, or where ids are null or repeat a row number in the order
+    of ids (nulls last), which is written down once so that it cannot change."""
+    n, ids = docs.agg(F.count("*"), F.countDistinct(id_col)).first()
+    if n == ids:
+        return docs, id_col
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last())
+    return saved(ordered.withColumn(name, F.monotonically_increasing_id()), "keyed-documents"), name
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -117,12 +147,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_hashes: dict[int, WordHashes] = {}
+_cache: dict[tuple, object] = {}
+
+
+def cached(key: tuple, make):
+    """One object per Python worker, kept between tasks. Making another one drops it, so that the caches of several
+    operators never add up in a worker that serves them all."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
 
 
 def word_hashes(seed: int = 0) -> WordHashes:
-    """One per Python worker, kept between tasks."""
-    return _hashes.setdefault(seed, WordHashes(seed=seed))
+    return cached(("word hashes", seed), lambda: WordHashes(seed=seed))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

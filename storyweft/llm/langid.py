@@ -19,12 +19,19 @@ from storyweft.llm.common import documents, extended, held_out, slices
 BITS = 15
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Letters, and other numerals than decimal digits; has_letter() sets those apart.
 LETTER = re.compile(r"[^\W\d_]")
+#: Most labels that fit() takes: their sums, labels x 2^15, come to the driver and are broadcast.
+MAX_LABELS = 1000
 #: ASCII that is no letter counts as a blank.
 FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def gram_codes(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
     """Bucket of every n-gram of the texts' code points, an array for each order; where each text starts.
 
@@ -76,7 +83,10 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, label: str = "lang", text: str = "text", alpha: float = 0.5, bits: int = BITS) -> LanguageModel:
-        """Counts cover all of docs; languages x 2^bits sums come to the driver."""
+        """Counts cover all of docs; languages x 2^bits sums come to the driver, so more than MAX_LABELS languages are
+        refused. Rows with a null text or label teach nothing; repeated rows count as often as they come."""
+        if docs.filter(F.col(label).isNotNull()).select(label).distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} labels")
         rows = gram_counts(docs, label, text, bits).toArrow()
         labels = sorted(set(rows["label"].to_pylist()))
         counts = np.zeros((len(labels), (1 << bits) + 1))
@@ -100,8 +110,9 @@ class LanguageModel:
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs plus lang_pred and score (the posterior probability, 0 to 1).
 
-    A null text, one without a letter, or a model that saw no language gives `und` and 0. Ties go to the label that
-    sorts first. Columns of docs of those names are replaced.
+    A null text, one without a letter (numerals such as a raised two are none), or a model that saw no language gives
+    `und` and 0. Ties go to the label that sorts first. Columns of docs of those names are replaced. Very long texts are
+    scored whole, in memory that follows the longest text; repeated rows are scored alike; an empty table gives no rows.
     """
     docs = docs.drop(*[c for c in ("lang_pred", "score") if c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.prior, model.bits))
@@ -110,7 +121,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         own = LanguageModel(*shared.value)
         for batch, raw in slices(batches, text, 256 << 10):
             texts = [(t or b"").decode("utf-8", "replace") for t in raw]
-            known = [i for i, t in enumerate(texts) if own.labels and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if own.labels and has_letter(t)]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if known:
                 s = own.scores([texts[i] for i in known])

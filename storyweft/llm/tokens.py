@@ -11,6 +11,8 @@ from itertools import repeat
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from storyweft.llm.common import cached
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -20,6 +22,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class _NotByWord(Exception):
+    """The file does not end each run of letters with one end-of-word token."""
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file.
 
@@ -69,7 +75,8 @@ class WordEncoder:
         found = self.lean.encode_batch_fast([" ".join(fresh[i : i + 64]) for i in range(0, len(fresh), 64)])
         ids = np.concatenate([np.array(x.ids, self.dtype) for x in found])
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-        assert len(stops) == len(fresh), "a letter run did not end with one end-of-word token"
+        if len(stops) != len(fresh):  # this file has word ends within words
+            raise _NotByWord
         raw = ids.tobytes()
         self.runs.update(zip(fresh, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
@@ -109,16 +116,15 @@ class WordEncoder:
             if len(self.words) + len(fresh) > self.limit:
                 self.words.clear()
                 fresh = set().union(*split)
-            self._learn(list(fresh))
+            try:
+                self._learn(list(fresh))
+            except _NotByWord:
+                self.by_word = False
+                return self.encode(texts)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One per Python worker and file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return cached(("encoder", path), lambda: WordEncoder(path))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from storyweft.llm import common, langid, lines, media, mixing, neardup, ngramlm, packing, quality, queries, tokenfiles, tokens, topk
+from storyweft.llm import common, eliasfano, langid, lines, media, mixing, neardup, ngramlm, packing, quality, queries, tokenfiles, tokens, topk
 
 from .. import oracle
 
@@ -451,66 +451,99 @@ def test_lines_odd(odd, empty):
 
 def test_elias_fano():
     rng = np.random.default_rng(3)
-    for n, u in ((0, 1), (1, 1), (500, 700), (500, 1 << 40), (3000, 1 << 20)):
+    for n, u in ((0, 1), (1, 1), (500, 700), (500, 1 << 40), (3000, 1 << 20), (5000, 1 << 62)):
         v = np.unique(rng.integers(0, u, n, dtype=np.uint64)) if n else np.empty(0, np.uint64)
-        low_, lows, highs = ngramlm.ef_encode(v, u)
-        ones = ngramlm.ef_ones(highs)[: len(v)]
-        i = np.arange(len(v))
-        assert (((ones - i).astype(np.uint64) << np.uint64(low_)) | ngramlm.get_bits(lows, low_, i)).tolist() == v.tolist()
+        if n == 5000:
+            v = np.unique(np.concatenate([v, np.arange(1000, dtype=np.uint64), np.uint64(u - 1000) + np.arange(999, dtype=np.uint64)]))
+        e = eliasfano.EliasFano.of(v, u)
+        order = rng.permutation(len(v))
+        assert e.access(order).tolist() == v[order].tolist()
         probe = np.concatenate([v, rng.integers(0, u, 200, dtype=np.uint64)])
-        at = ngramlm.ef_find(low_, lows, ones, probe)
+        start, stop = np.zeros(len(probe), np.int64), np.full(len(probe), len(v))
         place = {x: k for k, x in enumerate(v.tolist())}
-        assert at.tolist() == [place.get(x, -1) for x in probe.tolist()]
+        assert e.find(start, stop, probe).tolist() == [place.get(x, -1) for x in probe.tolist()]
+        assert (e.find(start, np.minimum(stop, 3), probe) < 3).all()
+    wide = eliasfano.EliasFano.of(np.array([0, 0, 5, 5, 5, 9]), 10)  # equal values, as pointers have
+    assert wide.access(np.arange(6)).tolist() == [0, 0, 5, 5, 5, 9]
+
+
+class Trigrams:
+    """The model by counting, with its own discounts."""
+
+    def __init__(self, texts):
+        self.c, self.two, self.three = Counter(), Counter(), Counter()
+        for w in texts:
+            s = ["<s>", *w]
+            self.c.update(w)
+            self.two.update(zip(s, w))
+            self.three.update(zip(s, s[1:], s[2:]))
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.d = []
+        for grams in (self.two, self.three):
+            n1, n2 = (sum(x == k for x in grams.values()) for k in (1, 2))
+            self.d.append(min(0.95, max(0.5, n1 / (n1 + 2 * n2))))
+        self.seen, self.kinds = Counter(), Counter()
+        for grams in (self.two, self.three):
+            for g, n in grams.items():
+                self.seen[g[:-1]] += n
+                self.kinds[g[:-1]] += 1
+
+    def p1(self, w):
+        return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def step(self, grams, d, context, w, shorter):
+        if not self.seen[context]:
+            return shorter
+        return max(0, grams[*context, w] - d) / self.seen[context] + d * self.kinds[context] / self.seen[context] * shorter
+
+    def p2(self, a, w):
+        return self.step(self.two, self.d[0], (a,), w, self.p1(w))
+
+    def p3(self, a, b, w):
+        return self.step(self.three, self.d[1], (a, b), w, self.p2(b, w))
+
+    def logs(self, w):
+        s = ["<s>", *w]
+        return [math.log10(self.p2(s[0], w[0]))] + [math.log10(self.p3(a, b, x)) for a, b, x in zip(s, s[1:], s[2:])]
 
 
 def test_lm_scoring(spark, sf_dir, docs):
     got = queries.QUERIES["op10_lm_scoring"](spark, sf_dir).toPandas().set_index("doc_id")
     out = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs.doc_id}
     toks = {d: [*WORD.findall(low(t)), "</s>"] for d, t in zip(docs.doc_id, docs.text)}
-    c, pairs, seen, kinds = Counter(), Counter(), Counter(), Counter()
-    for d, w in toks.items():
-        if not out[d]:
-            c.update(w)
-            pairs.update(zip(["<s>", *w], w))
-    for (a, _), n in pairs.items():
-        seen[a] += n
-        kinds[a] += 1
-    total, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 0.5) / (total + 0.5 * (v + 1))
-    model = ngramlm.fit(common.documents(spark, sf_dir).filter(~common.held_out("doc_id", 5, 1)))
-    k = model.discount
-    assert (model.total, model.words) == (total, v) and 0.5 <= k <= 0.95
-
-    def p(a, w):
-        if not seen[a]:
-            return uni(w)
-        back = k * kinds[a] / seen[a] * uni(w)
-        return back + max(0, pairs[a, w] - k) / seen[a] if pairs[a, w] else back
-
+    plain = Trigrams([w for d, w in toks.items() if not out[d]])
+    assert len(got) == len(docs)
     for d, w in toks.items():
         r = got.loc[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[d], len(w), sum(x in c for x in w), total)
-        assert r.base_score == pytest.approx(sum(math.log10(uni(x)) for x in w), rel=1e-9)
-        exact = sum(math.log10(p(a, x)) for a, x in zip(["<s>", *w], w))
-        assert r.score == pytest.approx(exact, abs=0.05 * len(w) ** 0.5 + 0.01 * len(w))  # quantised
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[d], len(w), sum(x in plain.c for x in w), plain.n)
+        assert r.base_score == pytest.approx(sum(math.log10(plain.p1(x)) for x in w), rel=1e-9)
+        exact = sum(plain.logs(w))
+        assert r.score == pytest.approx(exact, abs=0.03 * len(w) ** 0.5 + 0.005 * len(w))  # quantised
     # One context's probabilities sum to one: all known words and the unknown one.
-    a = "the"
-    assert sum(p(a, w) for w in c) + k * kinds[a] / seen[a] * uni("\0") == pytest.approx(1, abs=1e-6)
+    a, b = max((g[:2] for g in plain.three), key=lambda g: plain.seen[g])
+    assert sum(plain.p3(a, b, w) for w in plain.c) + plain.p3(a, b, "\0") == pytest.approx(1, abs=1e-6)
 
 
-def test_lm_discount_is_of_the_corpus(spark):
-    texts = [f"p{i // 2} q{i // 2} u{i} v{i}" for i in range(50)]
-    pairs = Counter()
-    for t in texts:
-        pairs.update(zip(["<s>", *t.split()], [*t.split(), "</s>"]))
-    n1, n2 = (sum(n == k for n in pairs.values()) for k in (1, 2))
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+def test_lm_shards_and_partitions(spark, monkeypatch):
+    """Discounts are of the corpus; scores are the same for any partitions, blocks and shards, frequent words cut too."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", *(f"w{i}" for i in range(40))], rng.integers(1, 30), p=[0.3, 0.2, 0.1, *[0.01] * 40])) for _ in range(120)]
+    plain = Trigrams([[*t.split(), "</s>"] for t in texts])
+    d = spark.createDataFrame(list(enumerate(texts)) + [(500, "a nowhere b a c"), (501, "nowhere a")], "doc_id long, text string")
     got = []
-    for parts in (1, 50):
-        model = ngramlm.fit(d.repartition(parts))
-        assert model.discount == pytest.approx(n1 / (n1 + 2 * n2)) == pytest.approx(0.6)
-        got.append(sorted((r.doc_id, round(r.score, 9)) for r in ngramlm.score(d, model).collect()))
-    assert got[0] == got[1]
+    for parts, tokens_, block in ((1, 2_000_000, 1 << 19), (16, 30, 50)):
+        monkeypatch.setattr(ngramlm, "SHARD_TOKENS", tokens_)
+        monkeypatch.setattr(ngramlm, "BLOCK", block)
+        monkeypatch.setattr(ngramlm, "LOOKUPS", block)
+        model = ngramlm.fit(d.filter("doc_id < 500").repartition(parts))
+        assert model.discounts == pytest.approx(plain.d)
+        stored = common.saved(d.repartition(parts), "lm")
+        got.append({r.doc_id: r.score for r in ngramlm.score(stored, model).collect()})
+    assert model.shards > 40 and got[0].keys() == got[1].keys()
+    for i, t in [*enumerate(texts), (500, "a nowhere b a c"), (501, "nowhere a")]:
+        assert got[0][i] == pytest.approx(got[1][i], abs=1e-9)
+        exact = sum(plain.logs([*t.split(), "</s>"]))
+        assert got[0][i] == pytest.approx(exact, abs=0.03 * len(t.split()) ** 0.5 + 0.03)
 
 
 def test_lm_odd(odd, empty):
