@@ -1,9 +1,11 @@
 """Quality selection by importance resampling: log ratio of hashed n-gram models of target and raw text, Gumbel top-k.
 
-Raw counts cover every text; target counts cover the labelled good texts (a bounded sample, SAMPLE). A document's
-weight is the sum of log p_target - log p_raw over its hashed words and word pairs. Its key adds Gumbel noise from a
-hash of its id, so the k largest keys are a draw without replacement in proportion to the weights. k is the number of
-documents whose weight per n-gram reaches a threshold that labelled texts outside the target sample have set.
+Raw counts cover every text; target counts cover the labelled good texts (a bounded sample, SAMPLE). A document's log
+importance weight is the sum of log p_target - log p_raw over its hashed words and word pairs, taken per n-gram (long
+texts must not outweigh short ones) and tempered: its logit is that mean over TEMPERATURE. Its key adds unit Gumbel noise
+from a hash of its id, so the k largest keys are a draw of k documents without replacement in proportion to exp(logit).
+k, the target size, is the number of documents that labelled texts outside the target sample tell apart as good; it may
+be given instead. Documents far from that border are sure to stay or go, those near it are drawn.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import documents, extended, mix64, saved, slices, word_hashes
+from storyweft.llm.common import discard, documents, extended, mix64, saved, slices, word_hashes
 
 BITS = 18
 #: Labelled texts used at most, half of them for the target model and half for the threshold.
 SAMPLE = 40_000
 #: A share of the good labelled texts lost counts as much as so many times that share of the bad ones kept.
 COST = 10.0
-#: Scale of the Gumbel noise against log ratios.
-NOISE = 0.25
+#: A document is e times as likely to be drawn next as one whose mean log ratio is less by this.
+TEMPERATURE = 0.02
 SEED = 7
 
 
@@ -85,11 +87,21 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", bits: int = BI
     return docs.mapInArrow(score, extended(docs, weight="double", grams="long"))
 
 
-def gumbel(id_: Column, seed: int = SEED) -> Column:
-    u = (F.xxhash64(F.lit(seed), id_).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
+def gumbel(id_: Column, seed: int | Column = SEED) -> Column:
+    """Unit Gumbel noise, the same for an id and seed wherever it is computed."""
+    u = (F.xxhash64(seed if isinstance(seed, Column) else F.lit(seed), id_).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
+def mean_ratio() -> Column:
+    """A text's mean log ratio an n-gram; 0 without any."""
+    return F.when(F.col("grams") > 0, F.col("weight") / F.col("grams")).otherwise(0.0)
+
+
+def draw_key(score: Column, id_: Column, temperature: float = TEMPERATURE, seed: int | Column = SEED) -> Column:
+    return score / F.lit(temperature) + gumbel(id_, seed)
+
+
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     """The k-th largest value, by narrowing a histogram: a few passes over one column, `bins` counts to the driver."""
     lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
@@ -117,32 +129,32 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
 
 @dataclass
 class QualityRule:
-    """What a fit leaves: the log ratios, the bar a gram and the least key that is kept."""
+    """What a fit leaves: the log ratios, the size of the draw and the least key that is in it."""
 
     ratio: np.ndarray
-    bar: float
+    size: int
     least: float
+    temperature: float
     seed: int
     weighed: DataFrame  # doc_id, weight, grams, score, key of the documents it was fitted on
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs' kept rows, all columns: weighed again in one pass, which moves no text."""
         own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-        key = _key(weigh(own, self.ratio), F.col(f"row.{id_col}"), self.bar, self.seed)
-        return key.filter(F.col("key") >= F.lit(self.least)).select("row.*")
-
-
-def _key(weighed: DataFrame, id_: Column, bar: float, seed: int) -> DataFrame:
-    """Long texts must not outweigh short ones, nor noise a sure case: keys compare the sum less the bar for its length."""
-    return weighed.withColumn("key", F.col("weight") - F.lit(bar if np.isfinite(bar) else 0.0) * F.col("grams") + F.lit(NOISE) * gumbel(id_, seed))
+        key = draw_key(mean_ratio(), F.col(f"row.{id_col}"), self.temperature, self.seed)
+        return weigh(own, self.ratio).filter(key >= F.lit(self.least)).select("row.*")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cost: float = COST, seed: int = SEED) -> QualityRule:
-    """A rule from all of docs and from labels: doc_id and quality (1 good, 0 bad; null is ignored).
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cost: float = COST, size: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED
+) -> QualityRule:
+    """A rule from all of docs and from labels: doc_id and quality (1 good, 0 bad; null is ignored). size: how many
+    documents to draw; by default as many as reach the bar of threshold().
 
-    Documents without any word have score and weight 0 and are judged like any other. Without good labels, everything
-    is kept. Rows of one id and text stand or fall together; rows of a null id share one noise. Other columns of docs
-    are ignored.
+    Documents without any word, and null texts, have score and weight 0 and are drawn like any other. Without good
+    labels, everything is kept. Rows of one id and text stand or fall together, so ties at the border may keep a few
+    more than size; rows of a null id share one noise. Other columns of docs are ignored. Very long texts count whole,
+    in memory that follows the longest text; an empty table gives a rule that keeps nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -150,14 +162,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     marks = saved(marks.withColumn("fit", F.pmod("turn", F.lit(2)) == 0).drop("turn"), "quality-labels")  # `sample` rows at most
     labelled = saved(rows.join(F.broadcast(marks), "doc_id"), "quality-sample")
     counts = bucket_counts(rows.select(F.lit("raw").alias("kind"), "text").unionByName(labelled.filter("fit AND quality = 1").select(F.lit("target").alias("kind"), "text")))
-    ratio = log_ratio(saved(counts, "quality-counts"))
-    weighed = saved(weigh(rows, ratio).drop("text"), "quality-weights")
-    weighed = weighed.withColumn("score", F.when(F.col("grams") > 0, F.col("weight") / F.col("grams")).otherwise(0.0))
-    judged = weighed.join(F.broadcast(marks), "doc_id").filter("NOT fit").select("score", "quality").toPandas()
-    bar = threshold(judged["score"].to_numpy(), judged["quality"].to_numpy(), cost)
-    weighed = _key(weighed, F.col("doc_id"), bar, seed)
-    k = weighed.filter(F.col("score") >= bar).count()
-    return QualityRule(ratio, bar, kth_largest(weighed, "key", k), seed, weighed)
+    counts = saved(counts, "quality-counts")
+    ratio = log_ratio(counts)
+    weighed = saved(weigh(rows, ratio).drop("text"), "quality-weights").withColumn("score", mean_ratio())
+    if size is None:
+        judged = weighed.join(F.broadcast(marks), "doc_id").filter("NOT fit").select("score", "quality").toPandas()
+        size = weighed.filter(F.col("score") >= threshold(judged["score"].to_numpy(), judged["quality"].to_numpy(), cost)).count()
+    weighed = weighed.withColumn("key", draw_key(F.col("score"), F.col("doc_id"), temperature, seed))
+    discard(docs.sparkSession, marks, labelled, counts)
+    return QualityRule(ratio, size, kth_largest(weighed, "key", size), temperature, seed, weighed)
 
 
 def threshold(score: np.ndarray, quality: np.ndarray, cost: float = COST) -> float:
