@@ -1,16 +1,24 @@
-"""Line deduplication that can be undone: sharded cuckoo filters over exact reference counts.
-
-The exact side is a table of postings, one row for each document and distinct line key. Counting them gives a key's
-references and its first holder; keys with two holders or more are the repeated ones. A cuckoo filter per shard of the
-key space holds the repeated keys in two bytes each. It supports deletion, so documents can be taken out again: their
-postings go, keys that fall back to one holder leave the filter, and lines dropped on their account come back.
-The filter only saves work: it clears most lines before the exact join. Beyond a size bound it is left out.
+"""Line deduplication that can be undone: sharded cuckoo filters backed by exact reference counts.
+
+Keys are dealt to shards by their hash; the number of shards follows the number of postings, so that a shard stays small.
+Three tables hold the state, each cut by shard:
+  postings  key, doc_id: a row for each document and distinct line key. Written in ranges of (shard, key, doc_id), so a
+            key that every document holds spreads over files and tasks;
+  counts    key, holders, first_doc: the exact number of documents that hold the key, and the least of them;
+  filters   a cuckoo filter of the keys with two holders or more, two bytes each.
+A shard's postings are probed against that shard's filter alone, wherever they lie: no task holds the filters of others.
+What a filter lets through meets the exact counts.
+
+Inserting documents adds postings, adds up counts, and puts keys that reach two holders into the filters; deleting them
+takes all of it back, keys that fall to one holder leave their filter, and lines dropped on their account come back. Only
+shards that the documents' lines fall into are read and written; a manifest says where each shard's parts lie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import documents, extended, mix64, saved, slices
+from storyweft.llm.common import discard, documents, extended, map_file, mix64, put_file, saved, slices, work_dir
 
 MIN_CHARS = 10
 BLANK = b" \t\n\x0b\x0c\r"
-SHARDS = 256
-#: Largest sum of filter tables that is broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Postings that a shard aims at.
+SHARD_POSTINGS = 250_000
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -65,27 +72,31 @@ class CuckooFilter:
         return prints, first.astype(np.int64), (first ^ (mix64(prints.astype(np.uint64)) & mask)).astype(np.int64)
 
     def insert(self, keys: np.ndarray) -> bool:
-        """False if a key found no place; the table is then to be built anew, larger."""
+        """False if a key found no place; the table is then to be built anew, larger. Most keys are put into free cells
+        of their buckets all at once; the few that find none kick others out."""
+        prints, first, second = self.places(keys)
+        rest = np.arange(len(keys))
+        for bucket in (first, second):
+            rest = rest[np.argsort(bucket[rest], kind="stable")]
+            own = bucket[rest]
+            fresh = np.flatnonzero(np.diff(own, prepend=-1))
+            turn = np.arange(len(own)) - np.repeat(fresh, np.diff([*fresh, len(own)]))  # a key's turn within its bucket
+            cells = np.argsort(self.table[own] != 0, axis=1, kind="stable")  # free cells first
+            fits = turn < (self.table[own] == 0).sum(axis=1)
+            self.table[own[fits], cells[fits, turn[fits]]] = prints[rest[fits]]
+            rest = rest[~fits]
         mask = len(self.table) - 1
-        table = self.table
-        for p, a, b in zip(*(x.tolist() for x in self.places(keys))):
-            for at in (a, b):
-                free = np.flatnonzero(table[at] == 0)
+        for p, at in zip(prints[rest].tolist(), second[rest].tolist()):
+            for kick in range(self.KICKS):
+                slot = (p + kick) & 3
+                p, self.table[at, slot] = int(self.table[at, slot]), p
+                at ^= int(mix64(np.array([p], np.uint64))[0]) & mask
+                free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
-                    table[at, free[0]] = p
+                    self.table[at, free[0]] = p
                     break
             else:
-                at = b
-                for kick in range(self.KICKS):
-                    slot = (p + kick) & 3
-                    p, table[at, slot] = int(table[at, slot]), p
-                    at ^= int(mix64(np.array([p], np.uint64))[0]) & mask
-                    free = np.flatnonzero(table[at] == 0)
-                    if len(free):
-                        table[at, free[0]] = p
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, keys: np.ndarray) -> None:
@@ -118,100 +129,202 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 found += [xxhash.xxh3_128_digest(k) for k in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key"])
 
+    docs = docs.filter(F.col(text_col).isNotNull())
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(keys, "doc_id long, key binary")
 
 
-def repeated(posted: DataFrame) -> DataFrame:
-    """key, first_doc, of keys with two holders or more; summed on the map side, so a key in every document is no load."""
-    held = posted.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return held.filter("first_doc < last_doc").select("key", "first_doc")
-
-
 def _shard(key, shards: int):
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
-def update_filters(filters: DataFrame | None, changes: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """shard, cells (the filter's table): filters after changes (key, delta of 1 or -1). No filters: none had keys."""
-    rows = changes.select(_shard("key", shards).alias("shard"), "key", F.lit(None).cast("binary").alias("cells"), F.col("delta").cast("int").alias("delta"))
-    if filters is not None:
-        rows = rows.unionByName(filters.select("shard", F.lit(None).cast("binary").alias("key"), "cells", F.lit(0).alias("delta")))
+def counted(posted: DataFrame) -> DataFrame:
+    """shard, key, holders, first_doc; summed on the map side, so a key in every document is no load. posted has each
+    document and key once."""
+    return posted.groupBy("shard", "key").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc"))
 
-    def change(own: pd.DataFrame) -> pd.DataFrame:
-        old = own[own["delta"] == 0]
-        came, went = (_numbers(own.loc[own["delta"] == d, "key"].tolist()) for d in (1, -1))
-        f = CuckooFilter(np.frombuffer(old["cells"].iloc[0], np.uint16).reshape(-1, 4).copy()) if len(old) else CuckooFilter.of(came)
-        if len(old):
-            f.delete(went)
-            if not f.insert(came):
-                raise OverflowError("a shard's filter is full: build the filters anew from the exact table")
-        return pd.DataFrame({"shard": own["shard"].iloc[:1], "cells": [f.table.tobytes()]})
 
-    return rows.groupBy("shard").applyInPandas(change, "shard int, cells binary")
+POSTED, COUNTED = "doc_id long, key binary, shard int", "key binary, holders long, first_doc long, shard int"
 
 
-def maybe_repeated(posted: DataFrame, filters: DataFrame, shards: int = SHARDS, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Postings that the filters do not clear. Filters over `limit` bytes are not broadcast: all postings stay then."""
-    spark = posted.sparkSession
-    if (filters.agg(F.sum(F.octet_length("cells"))).first()[0] or 0) > limit:
-        return posted
-    tables = spark.sparkContext.broadcast({r.shard: bytes(r.cells) for r in filters.collect()})
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {s: CuckooFilter(np.frombuffer(c, np.uint16).reshape(-1, 4)) for s, c in tables.value.items()}
-        for batch in batches:
-            keys = _numbers(batch.column(1).to_pylist())
-            shard = batch.column(2).to_numpy()
-            hit = np.zeros(len(keys), bool)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-                if (f := own.get(int(shard[part[0]]))) is not None:
-                    hit[part] = f.contains(keys[part])
-            yield batch.select([0, 1]).filter(pa.array(hit))
+@dataclass
+class Shard:
+    """Where a shard's parts lie. An update makes new ones and leaves the old parts as they are."""
 
-    return posted.withColumn("shard", _shard("key", shards)).mapInArrow(pick, "doc_id long, key binary")
+    posted: tuple[str, ...] = ()  # folders of postings, each with a folder shard=K
+    counts: str | None = None
+    filter: str | None = None
 
 
 @dataclass
 class LineIndex:
-    """Exact postings, repeated keys and their filters, each a table in the shared folder."""
+    """Postings, counts and filters by shard. The manifest is all that the driver holds: a row a shard."""
 
-    posted: DataFrame
-    repeats: DataFrame
-    filters: DataFrame
+    spark: SparkSession
+    shards: int
+    parts: dict[int, Shard] = field(default_factory=dict)
+    columns: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, docs: DataFrame, **columns) -> LineIndex:
-        posted = saved(postings(docs, **columns), "line-postings")
-        repeats = saved(repeated(posted), "line-repeats")
-        return cls(posted, repeats, saved(update_filters(None, repeats.select("key", F.lit(1).alias("delta"))), "line-filters"))
-
-    def _moved(self, posted: DataFrame) -> LineIndex:
-        repeats = saved(repeated(posted), "line-repeats")
-        came = repeats.join(self.repeats, "key", "left_anti").select("key", F.lit(1).alias("delta"))
-        went = self.repeats.join(repeats, "key", "left_anti").select("key", F.lit(-1).alias("delta"))
-        try:
-            filters = saved(update_filters(self.filters, came.unionByName(went)), "line-filters")
-        except Exception as e:
-            if "filter is full" not in str(e):
-                raise
-            filters = saved(update_filters(None, repeats.select("key", F.lit(1).alias("delta"))), "line-filters")
-        return LineIndex(posted, repeats, filters)
-
-    def insert(self, docs: DataFrame, **columns) -> LineIndex:
-        return self._moved(saved(self.posted.unionByName(postings(docs, **columns)), "line-postings"))
-
-    def delete(self, ids: DataFrame) -> LineIndex:
-        """ids: doc_id of the documents that leave."""
-        return self._moved(saved(self.posted.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), "line-postings"))
+    def build(cls, docs: DataFrame, shard_postings: int | None = None, **columns) -> LineIndex:
+        """columns: id_col, text_col, min_chars as for postings(). Rows of one id count as one document."""
+        posted = saved(postings(docs, **columns).distinct() if _repeats(docs, **columns) else postings(docs, **columns), "line-postings-raw")
+        shards = max(1, math.ceil(posted.count() / (shard_postings or SHARD_POSTINGS)))
+        index = cls(docs.sparkSession, shards, columns=columns)._added(posted.withColumn("shard", _shard("key", shards)))
+        discard(docs.sparkSession, posted)
+        return index
+
+    # Reading ----------------------------------------------------------------
+
+    def _table(self, schema: str, folders: Iterable[tuple[str, int]]) -> DataFrame:
+        """Rows of shards' folders; each folder of several shards is one scan."""
+        by: dict[str, list[int]] = {}
+        for folder, shard in folders:
+            by.setdefault(folder, []).append(shard)
+        out = self.spark.createDataFrame([], schema)
+        for i, (folder, own) in enumerate(sorted(by.items())):
+            part = self.spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/shard={s}" for s in own])
+            out = part if i == 0 else out.unionByName(part)
+        return out
+
+    def posted(self, shards: Iterable[int] | None = None) -> DataFrame:
+        own = self.parts if shards is None else [s for s in shards if s in self.parts]
+        return self._table(POSTED, [(f, s) for s in own for f in self.parts[s].posted])
+
+    def counts(self, shards: Iterable[int] | None = None) -> DataFrame:
+        own = self.parts if shards is None else [s for s in shards if s in self.parts]
+        return self._table(COUNTED, [(self.parts[s].counts, s) for s in own if self.parts[s].counts])
+
+    def repeats(self) -> DataFrame:
+        return self.counts().filter("holders > 1").select("key", "first_doc")
+
+    def files(self) -> set[str]:
+        """Every part of every shard, as shard and place."""
+        return {f"{s}:{f}" for s, p in self.parts.items() for f in (*p.posted, p.counts, p.filter) if f}
+
+    # Writing ----------------------------------------------------------------
+
+    def _write(self, df: DataFrame, name: str) -> tuple[str, list[int]]:
+        """df by shard in a new folder, in ranges that split a shard's or a key's many rows; the shards it has."""
+        path = work_dir(self.spark, name)
+        ranged = df.repartitionByRange(max(self.spark.sparkContext.defaultParallelism, self.shards), *[F.col(c) for c in ("shard", "key", "doc_id") if c in df.columns])
+        ranged.sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(path)
+        return path, [r.shard for r in self.spark.read.parquet(path).select("shard").distinct().collect()] if not df.isEmpty() else []
+
+    def _filters(self, changes: DataFrame, old: dict[int, str | None]) -> dict[int, str]:
+        """changes: shard, key, delta (1 came, -1 went); new filter files of the shards that have some."""
+        path, places = work_dir(self.spark, "line-filters"), {s: f for s, f in old.items() if f}
+
+        def change(own: pd.DataFrame) -> pd.DataFrame:
+            shard = int(own["shard"].iloc[0])
+            came, went = (_numbers(own.loc[own["delta"] == d, "key"].tolist()) for d in (1, -1))
+            if shard in places:
+                f = CuckooFilter(map_file(places[shard], np.uint16).reshape(-1, 4).copy())
+                f.delete(went)
+                full = not f.insert(came)
+            else:
+                f, full = CuckooFilter.of(came), False
+            if not full:
+                put_file(f"{path}/{shard:06d}", [f.table.tobytes()])
+            return pd.DataFrame({"shard": [shard], "full": [full]})
+
+        done = saved(changes.groupBy("shard").applyInPandas(change, "shard int, full boolean"), "line-filters-made")
+        rows = done.collect()  # a row a shard
+        discard(self.spark, done)
+        made = {r.shard: f"{path}/{r.shard:06d}" for r in rows if not r.full}
+        full = {r.shard for r in rows if r.full}
+        if full:  # outgrown: built anew, larger, from the exact counts
+            again = self.counts(full).filter("holders > 1").select("shard", "key", F.lit(1).alias("delta"))
+            made |= self._filters(again, {})
+        return made
+
+    def _with_counts(self, parts: dict[int, Shard], fresh: DataFrame, touched: list[int]) -> LineIndex:
+        """The index whose touched shards have fresh's counts (shard, key, holders, first_doc)."""
+        folder, present = self._write(fresh, "line-counts")
+        for s in touched:
+            parts[s].counts = folder if s in present else None
+        new = LineIndex(self.spark, self.shards, parts, self.columns)
+        was = self.counts(touched).filter("holders > 1").select("shard", "key", F.lit(-1).alias("delta"))
+        now = new.counts(touched).filter("holders > 1").select("shard", "key", F.lit(1).alias("delta"))
+        changes = was.unionByName(now).groupBy("shard", "key").agg(F.sum("delta").cast("int").alias("delta")).filter("delta <> 0")
+        made = new._filters(changes, {s: parts[s].filter for s in touched})
+        for s, f in made.items():
+            parts[s].filter = f
+        return new
+
+    def _copy(self) -> dict[int, Shard]:
+        return {s: Shard(p.posted, p.counts, p.filter) for s, p in self.parts.items()}
+
+    def _added(self, posted: DataFrame) -> LineIndex:
+        folder, touched = self._write(posted, "line-postings")
+        parts = self._copy()
+        for s in touched:
+            own = parts.setdefault(s, Shard())
+            own.posted = (*own.posted, folder)
+        more = counted(self._table(POSTED, [(folder, s) for s in touched]))
+        both = self.counts(touched).unionByName(more).groupBy("shard", "key").agg(F.sum("holders").alias("holders"), F.min("first_doc").alias("first_doc")) if self.parts else more
+        return self._with_counts(parts, both, touched)
+
+    def _keys(self, docs: DataFrame) -> tuple[DataFrame, list[int]]:
+        own = saved(postings(docs, **self.columns).distinct().withColumn("shard", _shard("key", self.shards)), "line-delta")
+        return own, [r.shard for r in own.select("shard").distinct().collect()]
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """The index after docs came too. Documents whose id the index holds already add the lines that they lacked."""
+        own, touched = self._keys(docs)
+        return self._added(own.join(self.posted(touched), ["shard", "key", "doc_id"], "left_anti"))
+
+    def delete(self, docs: DataFrame) -> LineIndex:
+        """The index after docs (ids and texts, as they were inserted) left."""
+        own, touched = self._keys(docs)
+        own = own.join(self.posted(touched), ["shard", "key", "doc_id"], "left_semi")
+        folder, present = self._write(self.posted(touched).join(own, ["shard", "key", "doc_id"], "left_anti"), "line-postings")
+        parts = self._copy()
+        for s in touched:
+            if s in parts:
+                parts[s].posted = (folder,) if s in present else ()
+        touched = [s for s in touched if s in parts]
+        gone = own.groupBy("shard", "key").agg(F.count("*").alias("went"), F.min("doc_id").alias("least_gone"))
+        left = self.counts(touched).join(gone, ["shard", "key"], "left").withColumn("holders", F.col("holders") - F.coalesce("went", F.lit(0))).filter("holders > 0")
+        # Where the least holder left, the least of those that stay is looked up in the postings.
+        orphans = left.filter("least_gone = first_doc").select("shard", "key")
+        heirs = self._table(POSTED, [(folder, s) for s in present]).join(orphans, ["shard", "key"], "left_semi").groupBy("shard", "key").agg(F.min("doc_id").alias("heir"))
+        left = left.join(heirs, ["shard", "key"], "left").select("shard", "key", "holders", F.coalesce("heir", "first_doc").alias("first_doc"))
+        return self._with_counts(parts, left, touched)
+
+    # Use --------------------------------------------------------------------
+
+    def maybe_repeated(self) -> DataFrame:
+        """doc_id, key of the postings that their shard's filter does not clear."""
+        places = {s: p.filter for s, p in self.parts.items() if p.filter}
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: tuple[int, CuckooFilter | None] = (-1, None)  # postings come in runs of a shard
+            for batch in batches:
+                shard, keys = batch.column(2).to_numpy(), _numbers(batch.column(1).to_pylist())
+                hit = np.zeros(len(keys), bool)
+                order = np.argsort(shard, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+                    s = int(shard[part[0]])
+                    if held[0] != s:
+                        held = s, CuckooFilter(map_file(places[s], np.uint16).reshape(-1, 4)) if s in places else None
+                    if held[1] is not None:
+                        hit[part] = held[1].contains(keys[part])
+                yield batch.select([0, 1]).filter(pa.array(hit))
+
+        return self.posted().select("doc_id", "key", "shard").mapInArrow(pick, "doc_id long, key binary")
 
     def drops(self) -> DataFrame:
         """doc_id, keys (array of binary) whose lines the document loses."""
-        hits = maybe_repeated(self.posted, self.filters).join(self.repeats, "key").filter("doc_id <> first_doc")
+        hits = self.maybe_repeated().join(self.repeats(), "key").filter("doc_id <> first_doc")
         return hits.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
+def _repeats(docs: DataFrame, id_col: str = "doc_id", **_) -> bool:
+    n, ids = docs.agg(F.count(id_col), F.countDistinct(id_col)).first()
+    return n != ids
+
+
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with repeated lines taken out of the text, plus n_lines and n_dropped.
 
@@ -219,7 +332,8 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, id_col:
     two documents or more hold lose all their lines but those in the least id that holds them. A null text counts as
     one empty line and stays null; a document that loses every line keeps an empty text. Rows with a null id keep
     all lines and count as nobody's copy; rows of one id count as one document. Columns of docs called n_lines or
-    n_dropped are replaced.
+    n_dropped are replaced. Very long texts are cut whole, in memory that follows the longest text; an empty table
+    gives no rows.
     """
     index = index or LineIndex.build(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns])

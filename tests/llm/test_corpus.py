@@ -384,6 +384,56 @@ def test_quality(spark, docs, sf_dir):
     assert applied.count() == got.sum() and applied.columns == common.documents(spark, base).columns
 
 
+def test_gumbel_top_k_draws_in_proportion(spark):
+    """Over many seeds, each set of k documents comes as often as drawing one by one by exp(logit) would give it."""
+    score, t, k, n = [0.30, 0.28, 0.25, 0.21, 0.10], 0.05, 2, 4000
+    rows = spark.createDataFrame(list(enumerate(score)), "id long, score double").crossJoin(spark.range(n).withColumnRenamed("id", "seed"))
+    drawn = rows.withColumn("key", quality.draw_key(F.col("score"), F.col("id"), t, F.col("seed"))).toPandas()
+    got = Counter(frozenset(own.nlargest(k, "key").id) for _, own in drawn.groupby("seed"))
+    p = np.exp(np.array(score) / t)
+    want = Counter()
+    for i in range(len(p)):
+        for j in range(len(p)):
+            if i != j:
+                want[frozenset((i, j))] += p[i] / p.sum() * p[j] / (p.sum() - p[i])
+    for s, q in want.items():
+        assert abs(got[s] - n * q) < 4.5 * math.sqrt(n * q) + 1
+
+
+def test_quality_draw_by_hand(spark, sf_dir):
+    """The kept documents are the `size` largest of score / TEMPERATURE + noise, all of it computed apart; another seed
+    draws others near the border, and only there."""
+    base = sf_dir.replace("sf0.001", "sf0.01")
+    d, labels = common.documents(spark, base), spark.read.parquet(f"{base}/labels.parquet")
+    kept = []
+    for seed in (7, 8):
+        rule = quality.fit_quality(d, labels, size=700, seed=seed)
+        x = rule.weighed.select("doc_id", "weight", "grams", "key", F.xxhash64(F.lit(seed), "doc_id").alias("h")).toPandas()
+        u = ((x.h.to_numpy() & ((1 << 53) - 1)) + 0.5) / 2**53
+        own = x.weight / x.grams / quality.TEMPERATURE - np.log(-np.log(u))
+        assert np.allclose(own, x.key)
+        kept.append(set(x.doc_id[own.argsort()[::-1][:700]]))
+        assert kept[-1] == {r.doc_id for r in rule.apply(d).select("doc_id").collect()}
+    assert 0 < len(kept[0] - kept[1]) < 200
+
+
+def test_weights_by_hand(spark):
+    """Log ratios against a count of every n-gram's bucket."""
+    texts = {1: "good words here", 2: "bad bad bad", 3: "good good words", 4: "other words"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = d.select(F.lit("raw").alias("kind"), "text").unionByName(d.filter("doc_id = 3").select(F.lit("target").alias("kind"), "text"))
+    ratio = quality.log_ratio(quality.bucket_counts(rows, bits=12), bits=12)
+    raw, target = (Counter(int(b) for i in ids for b in quality.gram_buckets(texts[i].encode(), 12)) for ids in (texts, (3,)))
+    n, m = sum(raw.values()), sum(target.values())
+    p = {b: (raw[b] + 0.5) / (n + 0.5 * 4096) for b in range(4096)}
+    want = [math.log((target[b] + 0.05 * m * p[b]) / (1.05 * m) / p[b]) for b in range(4096)]
+    assert np.allclose(ratio, want, atol=1e-5)
+    got = {r.doc_id: r for r in quality.weigh(d, ratio, bits=12).collect()}
+    for i, t in texts.items():
+        grams = quality.gram_buckets(t.encode(), 12)
+        assert (got[i].weight, got[i].grams) == (pytest.approx(sum(want[b] for b in grams), abs=1e-4), len(grams))
+
+
 def test_one_good_label_does_not_set_the_bar():
     rng = np.random.default_rng(3)
     good, bad = rng.normal(0.5, 0.2, 1000), rng.normal(-1, 0.3, 300)
@@ -425,17 +475,52 @@ def test_cuckoo_filter():
     assert not lines.CuckooFilter.sized(4).insert(keys[:100])
 
 
+def brute_lines(texts):
+    """Each document's text without repeated lines, by the rule."""
+    held = defaultdict(set)
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    for d, t in texts.items():
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                held[key(x)].add(d)
+    gone = lambda d, x: len(held.get(key(x), ())) > 1 and min(held[key(x)]) != d
+    return {d: "\n".join(x for x in (t or "").split("\n") if not gone(d, x)) for d, t in texts.items()}
+
+
 def test_index_is_reversible(spark, docs):
     d = spark.createDataFrame(docs[["doc_id", "text"]])
     first, more = d.filter("doc_id % 3 > 0"), d.filter("doc_id % 3 = 0")
-    index = lines.LineIndex.build(first)
+    index = lines.LineIndex.build(first, shard_postings=150)
+    assert index.shards > 5
     both = index.insert(more)
     whole = lines.LineIndex.build(d)
     drops = lambda i: {r.doc_id: sorted(map(bytes, r["keys"])) for r in i.drops().collect()}
-    assert drops(both) == drops(whole) and drops(whole)
-    assert drops(both.delete(more.select("doc_id"))) == drops(index)
-    full = lines.maybe_repeated(whole.posted, whole.filters, limit=0)
-    assert full.count() == whole.posted.count() > lines.maybe_repeated(whole.posted, whole.filters).count()
+    state = lambda i: sorted((bytes(r.key), r.holders, r.first_doc) for r in i.counts().collect())
+    assert drops(both) == drops(whole) and drops(whole) and state(both) == state(whole)
+    back = both.delete(more)
+    assert drops(back) == drops(index) and state(back) == state(index)
+    assert drops(both.insert(more)) == drops(whole)  # the same documents again change nothing
+    rest = both.delete(first)
+    assert state(rest) == state(lines.LineIndex.build(more))
+    texts = dict(zip(docs.doc_id, docs.text))
+    got = {r.doc_id: r.text or "" for r in lines.drop_repeated_lines(d, both).collect()}
+    assert got == brute_lines(texts)
+    assert whole.maybe_repeated().count() < whole.posted().count()
+
+
+def test_updates_touch_their_shards_only(spark, docs):
+    d = spark.createDataFrame(docs[["doc_id", "text"]])
+    index = lines.LineIndex.build(d, shard_postings=60)
+    one = spark.createDataFrame([(10**6, "a line that nobody else has ever written")], "doc_id long, text string")
+    after = index.insert(one)
+    old, new = index.files(), after.files()
+    assert index.shards > 15 and len(old - new) <= 1 and len({x.split(":")[0] for x in old ^ new}) == 1
+    other = spark.createDataFrame([(10**6 + 1, "a line that nobody else has ever written")], "doc_id long, text string")
+    twice = after.insert(other)
+    assert twice.repeats().count() == index.repeats().count() + 1
+    again = twice.delete(one)  # the heir becomes the first holder
+    assert again.counts().filter(f"first_doc = {10**6 + 1} and holders = 1").count() == 1
+    assert again.repeats().count() == index.repeats().count()
 
 
 def test_lines_odd(odd, empty):
