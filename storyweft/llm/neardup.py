@@ -2,10 +2,14 @@
 
 1. Sketch. Each text becomes its set of 64-bit shingle hashes, a digest of the set, and COORDS minwise tokens. Texts of
    one digest are one class; from here on only a class's least id stands for it, so copies are never paired.
-2. Chosen paths. In each of TREES trees a node picks a coordinate, a root one or two; a document moves to the child named by its
-   token there. Nodes of at most LEAF documents are compared exhaustively by their sketches, larger ones branch again.
-   Nodes still large at depth DEPTH agree in many tokens and are taken as linked whole. Each node yields at most one
-   candidate row a document (to the least id of its sketch-linked part), never its pairs.
+2. Chosen paths. At every level of a tree a node picks one coordinate, and with probability 1 / threshold - 1 a second
+   one; a document moves to the children named by its tokens there. A document thus has 1 / threshold children on
+   average, so that a pair just at the threshold shares one child a level, and rows grow by that factor a level only.
+   Nodes of at most LEAF documents are compared exhaustively by their sketches, larger ones branch again. Nodes still
+   large at depth DEPTH agree in many tokens and are taken as linked whole. Each node yields at most one candidate row a
+   document (to the least id of its sketch-linked part), never its pairs. The number of trees follows from the
+   threshold and the recall wanted of a pair just at the threshold whose nodes stay large down to the last level;
+   pairs that part from the crowd earlier, or are more alike, are met with more certainty.
 3. Candidate groups are connected components of those rows: supersets of the true groups.
 4. Confirmation on whole sets. Groups of at most CHUNK documents are solved in one task, pair by pair, skipping pairs
    that are connected already. Larger groups are dealt into chunks; every chunk is solved together with PIVOTS documents
@@ -15,6 +19,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import documents, mix64, saved, slices, word_hashes
+from storyweft.llm.common import discard, documents, mix64, row_keyed, saved, slices, small, word_hashes
 
 SHINGLE = 5
 COORDS = 128
-TREES = 10
+RECALL = 0.999
+MOST_TREES = 64
 DEPTH = 4  # levels that branch again, below the first
 LEAF = 150
 CHUNK = 120
@@ -40,7 +46,7 @@ _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A permutation of the coordinates for each tree; level d of a tree picks within its own run of it.
-ORDER = np.stack([_rng.permutation(COORDS) for _ in range(TREES)])
+ORDER = np.stack([_rng.permutation(COORDS) for _ in range(MOST_TREES)])
 RUN = COORDS // (DEPTH + 1)
 
 
@@ -83,14 +89,31 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, tokens binary")
 
 
-def _children(tree: np.ndarray, node: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and names of the children that documents (tree, node, tokens) move to: one each; from a root, in 3 of 7 nodes
-    a second one. Below, a second child would multiply the rows of large groups level by level."""
+def second_share(percent: int) -> float:
+    """How often a node picks a second coordinate."""
+    return min(1.0, 100 / percent - 1)
+
+
+def meeting(percent: float, threshold: int, levels: int = DEPTH + 1) -> float:
+    """Chance that two documents of a similarity share a node after so many levels of one tree built for a threshold."""
+    s, more, lost = percent / 100, second_share(threshold), 0.0
+    for _ in range(levels):
+        lost = (1 - s * (1 - lost)) * (1 - more * s * (1 - lost))
+    return 1 - lost
+
+
+def tree_count(percent: int, recall: float = RECALL) -> int:
+    return min(MOST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - meeting(percent, percent))))
+
+
+def _children(tree: np.ndarray, node: np.ndarray, tokens: np.ndarray, level: int, more: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and names of the children that documents (tree, node, tokens) move to: one each, and a second one in the
+    share `more` of nodes."""
     at, names = [], []
     path = mix64(node ^ np.uint64(level + 1))
     first = (path % np.uint64(RUN)).astype(np.int64)
-    for k in (0, 1)[: 2 if level == 0 else 1]:
-        rows = np.arange(len(node)) if k == 0 else np.flatnonzero((path >> np.uint64(32)) % np.uint64(7) < 3)
+    for k in (0, 1):
+        rows = np.arange(len(node)) if k == 0 else np.flatnonzero((path >> np.uint64(32)) % np.uint64(1 << 20) < more * (1 << 20))
         place = (first[rows] + k * (1 + ((path[rows] >> np.uint64(48)) % np.uint64(RUN - 1)).astype(np.int64))) % RUN
         coord = ORDER[tree[rows], level * RUN + place]
         names.append(mix64(path[rows] ^ (tokens[rows, coord].astype(np.uint64) << np.uint64(8) | coord.astype(np.uint64))))
@@ -102,21 +125,21 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
 
 
-def _roots(reps: DataFrame) -> DataFrame:
+def _roots(reps: DataFrame, trees: int, more: float) -> DataFrame:
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, tokens = batch.column(0).to_numpy(), _tokens(batch.column(1))
-            for t in range(TREES):
+            for t in range(trees):
                 tree = np.full(len(ids), t)
-                at, node = _children(tree, mix64(np.full(len(ids), t, np.uint64)), tokens, 0)
+                at, node = _children(tree, mix64(np.full(len(ids), t, np.uint64)), tokens, 0, more)
                 yield pa.RecordBatch.from_arrays([pa.array(tree[at], pa.int32()), pa.array(node.view(np.int64)), pa.array(ids[at])], ["tree", "node", "rep"])
 
     return reps.select("rep", "tokens").mapInArrow(branch, "tree int, node long, rep long")
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
+def _branch(rows: DataFrame, level: int, more: float) -> DataFrame:
     """rows: tree, node, rep, tokens of large nodes."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +147,7 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             tree, node, ids = (batch.column(i).to_numpy() for i in range(3))
-            at, names = _children(tree, node.view(np.uint64), _tokens(batch.column(3)), level)
+            at, names = _children(tree, node.view(np.uint64), _tokens(batch.column(3)), level, more)
             yield pa.RecordBatch.from_arrays([pa.array(tree[at], pa.int32()), pa.array(names.view(np.int64)), pa.array(ids[at])], ["tree", "node", "rep"])
 
     return rows.select("tree", "node", "rep", "tokens").mapInArrow(branch, "tree int, node long, rep long")
@@ -185,26 +208,31 @@ def _compare_leaves(rows: DataFrame, least: float, parts: int) -> DataFrame:
     return rows.repartition(parts, "node").sortWithinPartitions("node", "rep").mapInPandas(compare, "a long, b long")
 
 
-def candidate_links(reps: DataFrame, least: float) -> DataFrame:
+def candidate_links(reps: DataFrame, percent: int, recall: float = RECALL) -> DataFrame:
     """a, b: rows that connect every pair of similar documents, with high probability, among others."""
     spark = reps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     low = [F.substring("tokens", 4 * j + 1, 1) for j in range(COORDS)]
     bits = reps.select("rep", F.concat(*low).alias("bits"))
-    rows, found = _roots(reps), []
+    more, least = second_share(percent), percent / 100 - SLACK
+    rows, found = _roots(reps, tree_count(percent, recall), more), []
     for level in range(1, DEPTH + 2):
-        rows = saved(rows, f"paths-{level}")
-        count = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1")
-        shared = saved(rows.join(count, "node"), f"nodes-{level}")
-        small = shared.filter(f"n <= {LEAF}").select("node", "rep").join(bits, "rep")
-        found.append(saved(_compare_leaves(small, least, parts).distinct(), f"links-{level}"))
-        large = shared.filter(f"n > {LEAF}")
+        if level == 1:
+            rows = saved(rows, "branches-0")
+        count = saved(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"nodes-{level}")
+        # Large nodes are few, one in LEAF rows at most; marked for broadcast if so few, their rows stay where they are.
+        large = saved(count.filter(f"n > {LEAF}").select("node", "least"), f"large-{level}")
+        some = small(large)
+        few = rows.join(some, "node", "left_anti").join(count.filter(f"n <= {LEAF}").select("node"), "node").select("node", "rep").join(bits, "rep")
+        found.append(saved(_compare_leaves(few, least, parts).distinct(), f"links-{level}"))
         if large.isEmpty():
             break
+        deep = rows.join(some, "node")
         if level > DEPTH:
-            found.append(large.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
+            found.append(saved(deep.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "links-whole"))
             break
-        rows = _branch(large.join(reps.select("rep", "tokens"), "rep"), level).distinct()
+        before, rows = (rows, count, large), saved(_branch(deep.join(reps.select("rep", "tokens"), "rep"), level, more).distinct(), f"branches-{level}")
+        discard(spark, *before)
     links = found[0]
     for x in found[1:]:
         links = links.unionByName(x)
@@ -228,8 +256,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         new = saved(step.join(jump, "least", "left").select("id", F.least("least", "next").alias("least")), "cc-labels")
         moved = new.join(labels.withColumnRenamed("least", "old"), "id").filter("least <> old")
         still = moved.isEmpty()
+        discard(links.sparkSession, labels, step)
         labels = new
         if still:
+            discard(links.sparkSession, both)
             return labels
     raise RuntimeError("labels still move after all rounds")
 
@@ -280,8 +310,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for batch, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], ["rep", "grp", "n", "hashes"])
 
-    texts = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    sets = groups.join(texts, groups["rep"] == texts["doc_id"]).select("rep", "grp", "n", "text").mapInArrow(hashes, "rep long, grp long, n long, hashes binary")
+    sets = groups.join(docs, groups["rep"] == docs["doc_id"]).select("rep", "grp", "n", "text").mapInArrow(hashes, "rep long, grp long, n long, hashes binary")
     sets = saved(sets, "shingle-sets")
     done = _confirm(sets.filter(f"n <= {CHUNK}").select("grp", "rep", "hashes"), ["grp"], percent, parts)
     large = sets.filter(f"n > {CHUNK}")
@@ -317,28 +346,40 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return done.select(F.col("a").alias("id"), F.col("b").alias("least")).unionByName(alone)
 
 
-def _repeats(docs: DataFrame) -> bool:
-    n, d = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return n != d
+def _near(docs: DataFrame, percent: int, recall: float) -> DataFrame:
+    """doc_id, n_shingles, component_id of docs (doc_id, text), whose ids are unique."""
+    spark = docs.sparkSession
+    made = saved(sketches(docs, "doc_id", "text"), "sketches")
+    reps = made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "tokens")).alias("m"))
+    reps = saved(reps.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.tokens").alias("tokens")), "classes")
+    groups = connected_components(candidate_links(reps.select("rep", "tokens"), percent, recall))
+    exact = saved(confirmed(groups, docs, percent), "components")
+    discard(spark, groups)
+    named = reps.select("digest", "rep").join(exact, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
+    return made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the least
-    id reachable. Null texts and texts without words have no shingles and link with nothing, as do rows of a null id
-    (component null, kept). Rows of one id should hold one text; their class is the one of the least text otherwise.
-    Other columns are ignored; an empty table gives no rows.
+    id reachable. recall: see above; each link among candidates is then confirmed on whole sets.
+    Null texts and texts without words have no shingles and link with nothing, as do rows of a null id (component null,
+    kept). Where ids repeat, rows are documents of their own, so one id may be in several components; each row has its
+    own component's least id. Very long texts count whole, in memory that follows the longest text and set. Other columns
+    are ignored; an empty table gives no rows.
     """
-    made = saved(sketches(docs, id_col, text_col), "sketches")
-    reps = made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "tokens")).alias("m"))
-    reps = saved(reps.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.tokens").alias("tokens")), "classes")
-    links = candidate_links(reps.select("rep", "tokens"), percent / 100 - SLACK)
-    groups = connected_components(links)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    exact = saved(confirmed(groups, texts, percent), "components")
-    named = reps.select("digest", "rep").join(exact, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
-    out = made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed, key = row_keyed(rows)
+    if key == "doc_id":
+        out = _near(rows, percent, recall)
+    else:
+        own = keyed.filter("doc_id IS NOT NULL")
+        named = own.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+        found = _near(own.select(F.col(key).alias("doc_id"), "text"), percent, recall).withColumnsRenamed({"doc_id": "row", "component_id": "first"})
+        found = found.join(named, "row").join(named.select(F.col("row").alias("first"), F.col("id").alias("component_id")), "first")
+        alone = sketches(keyed.filter("doc_id IS NULL"), "doc_id", "text").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+        out = found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id").unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
