@@ -1,19 +1,22 @@
 """Exact top-k inner products: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz pruning.
 
-Components become integers, so scores are exact. The vectors of greatest length, SEEDS of them, are scored against every
+Components become integers, and scores are exact: products are taken in doubles where these are exact, in 64-bit
+integers where the two lengths show that the score fits, else in integers of any size. A score beyond 64 bits is the
+nearest 64-bit number; ties so made go to the smaller id. The vectors of greatest length, SEEDS of them, are scored against every
 query first and give each query a threshold. All vectors are then taken by descending length in chunks. For a block of
 queries and a chunk, |query| * longest of the chunk bounds every score; where that reaches the threshold, the sum over
 the HEAD leading directions of the rotation plus the product of the residual lengths bounds each pair, and only pairs
 whose bound reaches the threshold are scored in full. A pair is dropped only if it cannot be among the k best.
 
 Queries are written to the shared folder in blocks and mapped by the tasks that hold the candidates, so neither side is
-shuffled to the other or broadcast; a task holds one chunk and one block at a time.
+shuffled to the other or broadcast; a task holds one chunk and one block at a time, and does not open blocks of which no
+query can reach its bar with the chunk's longest vector. A query's answers are cut to k in two steps, by groups of tasks
+first, so that a query with many ties loads no task.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import filesystem, put_file, saved, work_dir
+from storyweft.llm.common import saved, work_dir
+from storyweft.llm.eliasfano import map_arrays, put_arrays
 
 K = 20
 SEEDS = 2048
@@ -32,10 +36,13 @@ HEAD = 16
 
 
 def integral(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """vec_id, v (array of whole doubles), len2: rows whose vector is non-null, with finite components only."""
+    """vec_id, v (array of whole doubles), len2: rows whose vector is non-null, with finite components only, also after
+    they are scaled. Doubles of 2^53 and more are whole as they are."""
     x = F.col(vec_col)
-    good = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.filter(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("double")).alias("v"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * F.lit(scale)) < float("inf"))
+    whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    good = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, finite)
+    rows = vectors.filter(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: whole(c.cast("double") * F.lit(scale))).alias("v"))
     return rows.withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
 
 
@@ -67,17 +74,31 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     sums = rows.select("v").mapInArrow(gram, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
     g = np.zeros(dim * dim)
     g[sums["at"].to_numpy()] = sums["s"].to_numpy()
+    if not np.isfinite(g).all():  # components whose squares are no doubles: any rotation serves
+        return np.eye(dim)
     return np.linalg.eigh(g.reshape(dim, dim))[1][:, ::-1]
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """All inner products as whole numbers: in doubles where those are exact, else in 64-bit integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**53:
-        return (q @ c.T).astype(np.int64)
-    if most >= 2**63:
-        raise OverflowError("a score does not fit 64 bits")
-    return q.astype(np.int64) @ c.astype(np.int64).T
+def fits_doubles(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether all inner products of rows of x and y, and their partial sums, are exact in doubles."""
+    return float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1]) < 2**53
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x and y, pair by pair, as 64-bit integers; those beyond are cut to the nearest."""
+    if fits_doubles(x, y):
+        return np.einsum("ij,ij->i", x, y).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+    out = np.zeros(len(x), np.int64)
+    fit = bound < 2**62  # whole numbers, so neither has a component beyond 2^62 unless the other vector is 0
+    own = np.flatnonzero(fit & (bound > 0))
+    out[own] = np.einsum("ij,ij->i", x[own].astype(np.int64), y[own].astype(np.int64))  # may wrap on the way, not at the end
+    top = (1 << 63) - 1
+    for i in np.flatnonzero(~fit).tolist():
+        s = sum(int(a) * int(b) for a, b in zip(x[i].tolist(), y[i].tolist()))
+        out[i] = max(-top, min(top, s))
+    return out
 
 
 class Side:
@@ -85,9 +106,10 @@ class Side:
 
     def __init__(self, v: np.ndarray, rot: np.ndarray):
         self.v = v
-        self.head = (v @ rot)[:, :HEAD]
-        self.length = np.sqrt((v * v).sum(axis=1))
-        self.rest = np.sqrt(np.maximum(0, self.length**2 - (self.head * self.head).sum(axis=1)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.head = v @ rot[:, :HEAD]
+            self.length = np.sqrt((v * v).sum(axis=1))
+            self.rest = np.sqrt(np.maximum(0, self.length**2 - (self.head * self.head).sum(axis=1)))
 
 
 def best(q: Side, q_ids: np.ndarray, c: Side, c_ids: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,17 +117,17 @@ def best(q: Side, q_ids: np.ndarray, c: Side, c_ids: np.ndarray, k: int, bar: np
     none = np.empty(0, np.int64)
     if not len(q_ids) or not len(c_ids):
         return none, none, none
-    slack = 1e-9 * (1 + q.length.max() * c.length.max())
-    live = np.flatnonzero(q.length * c.length.max() + slack >= bar)
-    if not len(live):
-        return none, none, none
-    bound = q.head[live] @ c.head.T + q.rest[live, None] * c.rest[None, :]
-    a, b = np.nonzero(bound + slack >= bar[live, None])
-    if len(a) * 4 < bound.size:
-        pairs = [products_of(q.v[live[a[i : i + 65536]]], c.v[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
-        s = np.concatenate(pairs) if pairs else none
+    with np.errstate(over="ignore", invalid="ignore"):  # bounds that are no numbers rule nothing out
+        slack = 1e-9 * (1 + q.length.max() * c.length.max())
+        live = np.flatnonzero(~(q.length * c.length.max() + slack < bar))
+        if not len(live):
+            return none, none, none
+        bound = q.head[live] @ c.head.T + q.rest[live, None] * c.rest[None, :]
+        a, b = np.nonzero(~(bound + slack < bar[live, None]))
+    if len(a) * 4 < bound.size or not fits_doubles(q.v, c.v):
+        s = np.concatenate([none, *(products(q.v[live[a[i : i + 65536]]], c.v[b[i : i + 65536]]) for i in range(0, len(a), 65536))])
     else:
-        s = products(q.v[live], c.v)[a, b]
+        s = (q.v[live] @ c.v.T)[a, b].astype(np.int64)
     keep = (s >= bar[live[a]]) & (q_ids[live[a]] != c_ids[b])
     a, b, s = live[a[keep]], b[keep], s[keep]
     if len(a) > 4 * k * len(live):  # far more than is wanted: a cut by each query's k-th score first
@@ -121,20 +143,12 @@ def best(q: Side, q_ids: np.ndarray, c: Side, c_ids: np.ndarray, k: int, bar: np
     return a[top], c_ids[b[top]], s[top]
 
 
-def products_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1])
-    if most < 2**53:
-        return np.einsum("ij,ij->i", x, y).astype(np.int64)
-    if most >= 2**63:
-        raise OverflowError("a score does not fit 64 bits")
-    return np.einsum("ij,ij->i", x.astype(np.int64), y.astype(np.int64))
-
-
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows by inner product, all if fewer.
 
     rows and queries: vec_id, v, len2 as from integral(). Shorter vectors count as padded with zeros. A row with the
-    query's id is never its answer; repeated query rows answer once; repeated rows are candidates of their own.
+    query's id is never its answer; repeated query rows answer once; repeated rows are candidates of their own. An empty
+    table, or one of empty vectors, gives no rows.
     """
     spark = rows.sparkSession
     dim, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
@@ -155,20 +169,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             np.minimum.at(least, q, s)
             bar[full] = least[full]
             name = f"{part:06d}-{i:06d}"
-            put_file(f"{path}/{name}", [pickle.dumps((ids, v, bar))])
-            yield pa.RecordBatch.from_pydict({"name": [name]})
+            put_arrays(f"{path}/{name}", {"ids": ids, "v": v.ravel(), "bar": bar})
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                reach = np.nan_to_num(bar / np.sqrt((v * v).sum(axis=1)), nan=-np.inf).min()  # length that a candidate needs
+            yield pa.RecordBatch.from_pydict({"name": [name], "reach": [float(reach)]})
 
     wanted = queries.dropDuplicates(["vec_id"]).select("vec_id", "v")
-    names = [r.name for r in saved(wanted.mapInArrow(write, "name string"), "topk-names").collect()]  # a row a block of queries
+    names = [(r.name, r.reach) for r in saved(wanted.mapInArrow(write, "name string, reach double"), "topk-names").collect()]  # a row a block of queries
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rot = shared.value[0]
-        fs, root = filesystem(path)
         for ids, v in _chunks(batches, dim, CHUNK):
             c = Side(v, rot)
-            for name in names:
-                with fs.open_input_file(f"{root}/{name}") as f:
-                    q_ids, q_v, bar = pickle.loads(f.read())
+            for name, reach in names:
+                if c.length.max() * (1 + 1e-9) + 1e-9 < reach:
+                    continue
+                file = map_arrays(f"{path}/{name}")
+                q_ids, q_v, bar = file["ids"], file["v"].reshape(-1, dim), file["bar"]
                 for i in range(0, len(q_ids), 128):
                     own = slice(i, i + 128)
                     q, vec, s = best(Side(q_v[own], rot), q_ids[own], c, ids, k, bar[own])
@@ -178,8 +195,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / CHUNK))
     ranged = rows.repartitionByRange(parts, F.desc("len2"), "vec_id").sortWithinPartitions(F.desc("len2"), "vec_id")
     found = ranged.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("tasks", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts) + 1)))
+    found = found.withColumn("rank", rank("tasks")).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank()).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
