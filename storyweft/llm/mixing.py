@@ -7,18 +7,26 @@ draws, how many of them from each source being a multivariate-hypergeometric dra
 owns a run of every source's permuted draws; runs of different shards are disjoint. Rows are ordered by a hash within
 their shard. Reruns agree: every random number is a hash of the seed and the place it is used in.
 
-Sizes: the tables of sources, blocks and nodes have sources x BLOCKS rows at most, however many documents there are.
+Sizes: shards follow the number of words mixed (SHARD_WORDS each), blocks the number of shards (BLOCKS_A_SHARD for each,
+and BLOCKS at least), so that a shard's and a block's rows stay bounded. The table of blocks has sources x blocks rows, that
+of the tree shards x sources. Tables are broadcast only after their rows are counted. Targets and tree are computed over
+all sources at once: MAX_SOURCES is the most that mix() takes.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import SPACE, documents, saved
+from storyweft.llm.common import SPACE, documents, saved, small
 
 BLOCKS = 1024
-LEVELS = 6  # 2^6 output shards
+BLOCKS_A_SHARD = 16
+SHARD_WORDS = 1 << 24  # words that an output shard aims at, about 100 MB
+LEVELS = 6  # 2^6 output shards at least
+MAX_SOURCES = 100_000
 SEED = 20240229
 
 
@@ -36,11 +44,10 @@ def source_key(source: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid_col: str | None = None) -> DataFrame:
-    """uid, doc_id, size, src, block, turn: one row a document, written once. uid_col: a unique long of docs to be uid."""
+    """uid, doc_id, size, src, deal, turn: one row a document, written once. uid_col: a unique long of docs to be uid."""
     uid = F.monotonically_increasing_id() if uid_col is None else F.col(uid_col)
     rows = docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col).cast("string")).alias("src"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(BLOCKS)).cast("int"))
-    rows = rows.withColumn("turn", F.xxhash64(F.lit(SEED + 1), "doc_id", "size"))
+    rows = rows.withColumn("deal", F.xxhash64("doc_id", "size", F.lit(SEED))).withColumn("turn", F.xxhash64(F.lit(SEED + 1), "doc_id", "size"))
     return saved(rows, "mix-sized")
 
 
@@ -86,6 +93,8 @@ def splitting_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
     node = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", F.col("q").cast("long").alias("q")))).alias("counts"))
     node = node.withColumn("node", F.lit(0))
     for level in range(levels):
+        if level and level % 6 == 0:
+            node = node.repartition(1 << min(level, 12), "node")  # deep trees are split by many tasks
         node = node.withColumn("left", _split("counts", level))
         right = F.expr("zip_with(counts, left, (x, y) -> struct(x.rank AS rank, x.q - y.q AS q))")
         node = node.select(F.col("node"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("c")), F.struct(F.lit(1).alias("side"), right.alias("c")))).alias("e"))
@@ -99,7 +108,7 @@ def block_draws(blocks: DataFrame, plan: DataFrame, levels: int = LEVELS) -> Dat
     """src, block, epoch, shard, room: a row for each draw of a block; room is the words to take of a block that is
     drawn in part, else null. plan: the table of targets."""
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED + 3), "src", "block"), "block")
-    b = blocks.join(F.broadcast(plan), "src")  # sources x BLOCKS rows against a row per source
+    b = blocks.join(small(plan), "src")
     b = b.withColumn("place", F.row_number().over(order) - 1)
     b = b.withColumn("seen", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     b = b.withColumn("n_blocks", F.count("*").over(Window.partitionBy("src")))
@@ -116,42 +125,52 @@ def block_draws(blocks: DataFrame, plan: DataFrame, levels: int = LEVELS) -> Dat
     tree = splitting_tree(b.groupBy("rank").agg(F.count("*").alias("q")), levels)
     tree = saved(tree, "mix-tree")
     runs = tree.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("runs"))  # 2^levels a source
-    b = b.join(F.broadcast(runs), "rank")
+    b = b.join(small(saved(runs, "mix-runs")), "rank")
     shard = F.expr("element_at(filter(runs, r -> r.first <= draw), -1).shard")
     return b.select("src", "block", "epoch", "room", shard.alias("shard"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, levels: int = LEVELS, **columns) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, levels: int | None = None, **columns) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, plan, mixed): the sized documents, the sources' targets, and a row for each taking of a document with
     uid, shard, position key and take (words; less than the size only where a source's quota ends).
 
     Null texts and texts of blanks have size 0 and are never taken; a null source is a source of its own, sorted last.
     Repeated rows are documents of their own. An empty table gives empty results. The quota is met exactly, rounded to
-    a word. A document is taken once in each whole pass and at most once more.
+    a word. A document is taken once in each whole pass and at most once more. Very long texts are taken whole but for
+    the cut at a quota's end; other columns are ignored. levels: 2^levels output shards, by default from the words.
     """
     rows = sized(docs, **columns)
+    words, sources = rows.agg(F.sum("size"), F.countDistinct("src")).first()
+    if sources > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    if levels is None:
+        levels = max(LEVELS, math.ceil(math.log2(max(1, (words or 0) * share / SHARD_WORDS))))
+    n_blocks = max(BLOCKS, BLOCKS_A_SHARD << levels)
+    rows = rows.withColumn("block", F.pmod("deal", F.lit(n_blocks)).cast("int")).drop("deal")
     blocks = saved(rows.groupBy("src", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
     plan = saved(targets(blocks, weights, share, cap), "mix-targets")
     draws = saved(block_draws(blocks, plan, levels), "mix-shards")
     mixed = rows.filter("size > 0").select("uid", "doc_id", "size", "src", "block", "turn").join(draws, ["src", "block"])
     whole = mixed.filter("room IS NULL").withColumn("take", F.col("size"))
     inside = Window.partitionBy("src", "block").orderBy("turn", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    cut = mixed.filter("room IS NOT NULL").withColumn("end", F.sum("size").over(inside))  # one block of each source
+    cut = mixed.filter("room IS NOT NULL").withColumn("end", F.sum("size").over(inside))  # one block of each source, 1 / n_blocks of it
     cut = cut.withColumn("take", F.least("size", F.col("room") - F.col("end") + F.col("size"))).filter("take > 0").drop("end")
     mixed = whole.unionByName(cut).withColumn("position", F.xxhash64(F.lit(SEED + 4), "shard", "uid", "epoch"))
-    return rows, plan, mixed.select("uid", "doc_id", "size", "epoch", "shard", "position", "take")
+    return rows, plan, mixed.select("uid", "doc_id", "size", "epoch", "shard", "position", "take", F.lit(1 << levels).alias("shards"))
 
 
-def mixture(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS, key: str = "doc_id") -> DataFrame:
+def mixture(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """docs' columns and shard: a row for each taking, cut after `take` words, in shuffled order within each shard.
 
-    id_col of docs meets `key` of mixed (doc_id, or uid where mix() had a uid_col); its values must be unique. A column of docs called shard is replaced. Write with partitionBy("shard") for a folder each.
+    id_col of docs meets `key` of mixed (doc_id, or uid where mix() had a uid_col); its values must be unique. A column
+    of docs called shard is replaced. Write with partitionBy("shard") for a folder each.
     """
+    head = mixed.select("shards").first()
     names = [c for c in docs.columns if c != "shard"]
     m = mixed.select(F.struct(F.col(key).alias("id"), "shard", "position", "take", "size").alias("__m"))
     out = docs.select(*[F.col(f"`{c}`") for c in names]).join(m, F.col(id_col) == F.col("__m.id"))
     text = F.when(F.col("__m.take") < F.col("__m.size"), first_words(F.col(text_col), F.col("__m.take"))).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, text).repartition(1 << levels, "__m.shard").sortWithinPartitions("__m.shard", "__m.position")
+    out = out.withColumn(text_col, text).repartition(head.shards if head else 1, "__m.shard").sortWithinPartitions("__m.shard", "__m.position")
     return out.select(*[F.col(f"`{c}`") for c in names], F.col("__m.shard").alias("shard"))
 
 
@@ -165,4 +184,4 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = rows.select("uid", "doc_id", "size", "src", F.lit(0).cast("long").alias("take"))
     keyed = mixed.select("uid", "doc_id", "size", F.lit(None).cast("string").alias("src"), "take")
     taken = none.unionByName(keyed).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("src").alias("src"), F.sum("take").alias("taken"))
-    return taken.join(F.broadcast(plan), "src").select("doc_id", "size", "source_size", "target", "taken")
+    return taken.join(small(plan), "src").select("doc_id", "size", "source_size", "target", "taken")
