@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from storyweft.llm.common import documents, saved, slices
 from storyweft.llm.tokens import default_tokenizer, encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 GROUP = 400_000
 
 
@@ -91,10 +91,12 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Pieces of at most `capacity` tokens of each text's ids with end_id appended; only longer documents are cut.
 
-    Null texts count as empty (one end id). Repeated rows give repeated pieces; other columns are ignored.
+    row tells pieces of different rows apart: row_col of docs (a unique long, for tables whose ids are null or repeat),
+    else the id. Null texts count as empty (one end id). Repeated rows give repeated pieces; other columns are ignored;
+    an empty table gives no pieces. Very long texts are encoded whole, in memory that follows the longest text.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -103,19 +105,20 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
         end = np.array([end_id], enc.dtype).tobytes()
         for batch, texts in slices(batches, "text"):
             rows = []
-            for id_, b in zip(batch.column(0).to_pylist(), enc.encode(texts)):
+            for id_, row, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), enc.encode(texts)):
                 ids = np.frombuffer(b + end, enc.dtype).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    rows.append((id_, piece, start, len(part), zlib.crc32(part.tobytes())))
+                    rows.append((id_, piece, start, len(part), zlib.crc32(part.tobytes()), row))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.int64()] * 4))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col or id_col).cast("long").alias("row")).mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id (group * 2^32 + bin) and offset to rows with length, doc_id and piece."""
+    """Adds sequence_id (group * 2^32 + bin) and offset to rows as from token_pieces(). Every row gets a place of its own,
+    repeated ones too."""
     pieces = saved(pieces, "pieces")
     groups = max(1, math.ceil(pieces.count() / group))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ")
@@ -124,28 +127,35 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
         rows = list(batches)
         if not rows:
             return
-        own = pd.concat(rows, ignore_index=True).sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        own = pd.concat(rows, ignore_index=True).sort_values(["length", "doc_id", "row", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         bins, offsets = best_two_fit(own["length"].to_numpy(np.int64), capacity)
         yield own.assign(sequence_id=(TaskContext.get().partitionId() << 32) + bins, offset=offsets)
 
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "row", "piece", "ids_crc32"))
     return dealt.mapInPandas(fill, f"{schema.replace(',', ', ')}, sequence_id long, offset long".replace("  ", " "))
 
 
-def sequences(docs: DataFrame, packed: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """sequence_id and its ids (array<int>, at most capacity), put together from the documents and the packing plan."""
+def sequences(docs: DataFrame, packed: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, row_col: str = "doc_id") -> DataFrame:
+    """sequence_id and its ids (array<int>, at most capacity), put together from the documents and the packing plan.
+
+    row_col tells docs' rows apart and must be what token_pieces() had; a value that repeats is refused, since its texts
+    could not be told apart.
+    """
     tokenizer = tokenizer or default_tokenizer()
+    n, d = docs.agg(F.count("*"), F.countDistinct(row_col)).first()
+    if n != d:
+        raise ValueError(f"{row_col} is null or repeats: give pieces and documents a row_col of unique numbers")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch, texts in slices(batches, "text"):
-            for id_, b in zip(batch.column(0).to_pylist(), enc.encode(texts)):
+            for row, b in zip(batch.column(0).to_pylist(), enc.encode(texts)):
                 ids = [*np.frombuffer(b, enc.dtype).tolist(), end_id]
                 parts = [ids[i : i + capacity] for i in range(0, len(ids), capacity)]
-                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["row", "piece", "ids"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"]).mapInArrow(encode, "doc_id long, piece int, ids array<int>")
-    parts = packed.join(own, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    own = docs.select(F.col(row_col).cast("long").alias("row"), "text").mapInArrow(encode, "row long, piece int, ids array<int>")
+    parts = packed.join(own, ["row", "piece"]).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"))
 
 
