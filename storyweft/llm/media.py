@@ -78,7 +78,8 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8, padded with blanks to a positive multiple of BLOCK, as WAV.
 
-    Null counts as empty. Repeated rows stay repeated; other columns are ignored.
+    Null and empty texts give one block of blanks; very long ones are encoded whole, in memory that follows the longest
+    text. Repeated rows stay repeated, a null id stays null; other columns are ignored; an empty table gives no rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Digests and fingerprints from the stored bytes alone."""
+    """Digests and fingerprints (fp_times, fp_codes) from the stored bytes alone; feature names a fingerprint."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fp_times", "fp_codes", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
 
@@ -112,4 +113,4 @@ def describe_media(media: DataFrame) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = saved(encode_media(documents(spark, sf_dir)), "media")
-    return describe_media(stored).drop("fp_times", "fp_codes")
+    return describe_media(stored)
