@@ -3,7 +3,7 @@
 A data set is a folder of segments in ascending id order. Segment k has `k.bin` (token ids, little-endian uint16 where
 the vocabulary fits, else uint32), `k.off` (uint64, n + 1 positions in tokens within the segment) and `k.ids` (int64
 document ids). A segment's base, the tokens in all segments before it, is a prefix sum over the manifest's counts, so
-document i's global position is base + off[i]. Only the manifest, a row per segment, meets on the driver.
+document i's global position is base + off[i]. The manifest, a row per segment, is a table; its running sums are Spark's.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyweft.llm.common import documents, map_file, put_file, saved, slices, work_dir
@@ -23,6 +23,8 @@ from storyweft.llm.tokens import default_tokenizer, encoder
 
 #: Text bytes a segment aims at; a longer single document still makes one segment.
 SEGMENT_BYTES = 64 << 20
+#: Segments that a task reads back.
+SEGMENTS = 8
 NO_ID = -(1 << 63)
 
 
@@ -31,6 +33,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
 
     Nulls count as empty texts (one end id). Rows come in ascending id order, null ids first (kept as the least
     int64); rows of equal id stay together, ordered by text. Other columns are ignored. An empty table has no segment.
+    Very long texts are encoded whole, in memory that follows the longest text.
     """
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
@@ -61,12 +64,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
         yield pa.RecordBatch.from_pydict({"segment": [name], "first_id": [ids[0]], "n_docs": [len(ids)], "n_ids": [int(off[-1])], "width": [enc.dtype.itemsize]})
 
     made = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(write, "segment string, first_id long, n_docs long, n_ids long, width long")
-    base, manifest = 0, []
-    for s in sorted(saved(made, "token-manifest").collect(), key=lambda s: (s.first_id, s.segment)):
-        manifest.append((s.segment, s.first_id, s.n_docs, s.n_ids, s.width, base))
-        base += s.n_ids
-    schema = "segment string, first_id long, n_docs long, n_ids long, width long, base long"
-    return spark.createDataFrame(spark.sparkContext.parallelize(manifest, max(1, len(manifest))), schema)
+    before = Window.orderBy("first_id", "segment").rowsBetween(Window.unboundedPreceding, -1)  # a row for each SEGMENT_BYTES of text
+    return saved(saved(made, "token-segments").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, out: str, rows: int = 4096) -> DataFrame:
@@ -84,7 +83,8 @@ def read_token_files(manifest: DataFrame, out: str, rows: int = 4096) -> DataFra
                     own = ids[i:j]
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(off[i:j] + s["base"]), pa.array(np.diff(off[i : j + 1])), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, math.ceil(manifest.count() / SEGMENTS))
+    return manifest.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(manifest: DataFrame, out: str, doc_id: int) -> np.ndarray:
