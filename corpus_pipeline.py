@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import documents, saved
+from storyweft.llm.common import documents, row_keyed, saved
 from storyweft.llm.lines import drop_repeated_lines
 from storyweft.llm.mixing import mix, mixture
 from storyweft.llm.neardup import near_duplicates
@@ -27,34 +27,41 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the draw leaves out go. Null and empty texts weigh 0 and are drawn like others; rows of one id and
+    text stand or fall together, rows of a null id share one noise; without good labels, or documents, all stay."""
     return fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).apply(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from every document but the first holder; a document may end up empty but stays."""
+    """Repeated lines go from every document but the first holder; a document may end up empty but stays, a null text
+    stays null. Rows of one id are one holder; rows of a null id keep all lines."""
     return _measured(drop_repeated_lines(docs), docs)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the least id stays; documents without words, or without an id, stay."""
-    gone = near_duplicates(docs, PERCENT).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group the row of least id stays; documents without words are in no group and stay. Rows of a repeated or
+    null id are documents of their own, the latter coming last."""
+    keyed, key = row_keyed(docs)
+    gone = near_duplicates(keyed, PERCENT, id_col=key).filter("NOT kept").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each taking of a document; documents that are not taken go, the last of a source may be cut. Rows with
-    a null or a repeated id are documents of their own."""
-    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if n == ids:
+    """A row for each taking of a document; documents without words, and those that are not taken, go; the last of a
+    source may be cut. Rows of a repeated or null id are documents of their own; a null source is a source."""
+    keyed, key = row_keyed(docs)
+    if key == "doc_id":
         return _measured(mixture(docs, mix(docs)[2]), docs)
-    keyed = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-documents")  # null or repeated ids
-    return _measured(mixture(keyed, mix(keyed, uid_col="__row")[2], id_col="__row", key="uid"), docs)
+    return _measured(mixture(keyed, mix(keyed, uid_col=key)[2], id_col=key, key="uid"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences with their places."""
-    return pack(token_pieces(docs))
+    """Pieces of token sequences with their places. row tells takings apart: each row of docs is packed for itself, with
+    a null id or text too (the latter as empty)."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return pack(token_pieces(docs.withColumn(row, F.monotonically_increasing_id()), row_col=row))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicate_removal), ("mixing", mixing), ("packing", packing)]
