@@ -43,7 +43,58 @@ class HashBackend:
         return (v / n if n else v).astype(np.float32).tolist()
 
 
-BACKENDS: dict[str, Callable[[], Backend]] = {"hash": HashBackend}
+class NoiseBackend:
+    """Unit vectors from a 64-bit xorshift generator (13, 7, 17) seeded by the text's SHA-256, for evaluation runs: equal
+    texts have equal vectors, different ones are near-orthogonal. All texts of a call are drawn at once."""
+
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions = dimensions
+
+    def embed(self, texts: list[str], max_length: int = 512) -> list[list[float]]:
+        x = np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "little") or 1 for t in texts], np.uint64)
+        out = np.empty((len(texts), self.dimensions))
+        for i in range(self.dimensions):
+            x ^= x << np.uint64(13)
+            x ^= x >> np.uint64(7)
+            x ^= x << np.uint64(17)
+            out[:, i] = (x % np.uint64(2_000_001)).astype(np.int64) - 1_000_000
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(length > 0, length, 1)).astype(np.float32).tolist()
+
+
+class RemoteBackend:
+    """A service that answers a JSON request of texts. `post` (url, body) -> answer does the transport, so any client or
+    stand-in serves. Answers are {embeddings: [...]} in order, or {data: [{index, embedding}]} put in order of index."""
+
+    def __init__(self, url: str, post: Callable[[str, dict], dict], dimensions: int = DIMENSIONS):
+        self.url, self.post, self.dimensions = url.rstrip("/"), post, dimensions
+        self.listed = self.url.endswith("/embeddings")  # services of the second kind
+
+    def embed(self, texts: list[str], max_length: int = 512) -> list[list[float]]:
+        answer = self.post(self.url, {"input": texts} if self.listed else {"texts": texts, "max_length": max_length})
+        if "data" in answer:
+            by = {int(x["index"]): x["embedding"] for x in answer["data"]}
+            if sorted(by) != list(range(len(texts))) or len(answer["data"]) != len(texts):
+                raise ValueError("the service's answers don't match the texts asked for")
+            vectors = [by[i] for i in range(len(texts))]
+        else:
+            vectors = answer.get("embeddings", [])
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return vectors
+
+
+def health(backend: Backend) -> dict:
+    """Whether a backend answers, and with vectors of its dimensions."""
+    try:
+        v = backend.embed(["health"], LENGTHS[0])
+        ok = len(v) == 1 and len(v[0]) == backend.dimensions and bool(np.isfinite(v[0]).all())
+        return {"ok": ok, "dimensions": len(v[0]) if v else 0, "error": None}
+    except Exception as e:  # a health check tells of failures, whatever they are
+        return {"ok": False, "dimensions": 0, "error": str(e)}
+
+
+BACKENDS: dict[str, Callable[[], Backend]] = {"hash": HashBackend, "noise": NoiseBackend}
 
 
 def request(texts, max_length: int = 512) -> tuple[list[str], int]:

@@ -25,5 +25,19 @@ def pairwise_f1(rows: DataFrame) -> DataFrame:
     return one.select("items", "tp", "fp", "fn", "tn", "precision", "recall", f1.alias("f1"), "truth_clusters", "predicted_clusters")
 
 
+def mapped(items: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """items (id, file) with the truth of their file (file, truth) and what was predicted for them (id, predicted); null
+    where there is none. A file or id that repeats in truth or predicted counts with its least value."""
+    t = truth.groupBy("file").agg(F.min("truth").alias("truth"))
+    p = predicted.groupBy("id").agg(F.min("predicted").alias("predicted"))
+    return items.join(t, "file", "left").join(p, "id", "left").select("id", "file", "truth", "predicted")
+
+
+def mapping_counts(rows: DataFrame) -> DataFrame:
+    """One row of mapped(): items, records that have both, missing_truth, and missing_prediction of those with a truth."""
+    t, p = F.col("truth"), F.col("predicted")
+    return rows.agg(F.count("*").alias("items"), F.count_if(t.isNotNull() & p.isNotNull()).alias("records"), F.count_if(t.isNull()).alias("missing_truth"), F.count_if(t.isNotNull() & p.isNull()).alias("missing_prediction"))
+
+
 def size_histogram(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))

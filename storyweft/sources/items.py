@@ -36,12 +36,16 @@ def _encode(x) -> str:
 def canonical_json(text: str) -> str | None:
     """Keys in order, no blanks, numbers as written; null unless the text is exactly one JSON value."""
     try:
-        value = json.loads(text, parse_float=_Number, parse_int=_Number)
-    except (TypeError, ValueError):
+        value = json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+    except (TypeError, ValueError, RecursionError):
         return None
     return _encode(value)
 
 
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is no JSON")
+
+
 @F.pandas_udf(T.StringType())
 def canonical(texts: pd.Series) -> pd.Series:
     return pd.Series([canonical_json(t) for t in texts], dtype="object")
