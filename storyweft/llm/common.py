@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -79,6 +80,8 @@ def row_keyed(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> t
     n, ids = docs.agg(F.count("*"), F.countDistinct(id_col)).first()
     if n == ids:
         return docs, id_col
+    while name in docs.columns:
+        name += "_"
     ordered = docs.orderBy(F.col(id_col).asc_nulls_last())
     return saved(ordered.withColumn(name, F.monotonically_increasing_id()), "keyed-documents"), name
 
@@ -127,6 +130,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20,
             size += n
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+        del texts
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live long, and an executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class WordHashes(dict):

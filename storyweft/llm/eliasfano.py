@@ -1,8 +1,9 @@
 """Monotone sequences in Elias-Fano form, read in place from mapped files.
 
 A sequence keeps `low` low bits of each value packed one after the other, the high parts as a bitmap (bit high_i + i is
-set) and the place of every 64th one. Value i is found from the sample before it: words of the bitmap are stepped over
-by their number of ones, and the one is selected within its word. Nothing is decoded but the values asked for.
+set) and the number of ones before each block of the bitmap. Value i is in the block that these numbers tell, a step or
+three from its word, where the one is selected. Zeros tell where a high part's values start, so that a search halves a
+few low parts. Nothing is decoded but what is asked for, and no gap or run of values makes a search longer.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import numpy as np
 from storyweft.llm.common import map_file, put_file
 
 U = np.uint64
-EVERY = 64  # ones between two samples
+WORDS = 4  # of 64 bits in a block of the bitmap
+FULL, NONE = U(0xFFFFFFFFFFFFFFFF), U(0)
 ONES = U(0x0101010101010101)
 HIGH = U(0x8080808080808080)
 #: In row r, column b: the place of the r-th one of byte b.
@@ -57,13 +59,34 @@ def select_in_word(w: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (byte * U(8)).astype(np.int64) + PLACE[(r - before).astype(np.int64), ((w >> byte * U(8)) & U(255)).astype(np.int64)]
 
 
+def select(bits: np.ndarray, before: np.ndarray, rank: np.ndarray, flip: np.uint64) -> np.ndarray:
+    """Place of the rank-th one, or zero if flip is all ones; before: how many there are before each block."""
+    block = np.searchsorted(before, rank, side="right") - 1
+    rank = rank - before[block]
+    word = block * WORDS
+    w = bits[word] ^ flip
+    n = np.bitwise_count(w).astype(np.int64)
+    live = np.flatnonzero(n <= rank)
+    while len(live):  # WORDS times at most
+        rank[live] -= n[live]
+        word[live] += 1
+        w[live] = bits[word[live]] ^ flip
+        n[live] = np.bitwise_count(w[live])
+        live = live[n[live] <= rank[live]]
+    return word * 64 + select_in_word(w, rank)
+
+
 @dataclass
 class EliasFano:
     n: int
     low: int
+    top: int  # largest high part
     lows: np.ndarray
     bits: np.ndarray
-    samples: np.ndarray
+    ones: np.ndarray  # before each block
+
+    def __post_init__(self):
+        self.zeros = np.arange(len(self.ones)) * (64 * WORDS) - self.ones
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -72,50 +95,62 @@ class EliasFano:
         low = max(0, int(math.floor(math.log2(universe / n)))) if n and universe > n else 0
         v = values.astype(U)
         ones = (v >> U(low)).astype(np.int64) + np.arange(n)
-        bitmap = np.zeros(((int(ones[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
+        span = 64 * WORDS
+        bitmap = np.zeros(((int(ones[-1]) if n else 0) // span + 2) * span, np.uint8)  # a block of zeros at the end
         bitmap[ones] = 1
-        return cls(n, low, pack_bits(v & U((1 << low) - 1), low), np.packbits(bitmap, bitorder="little").view(U), ones[::EVERY])
+        bits = np.packbits(bitmap, bitorder="little").view(U)
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).reshape(-1, WORDS).sum(axis=1, dtype=np.int64))[:-1]])
+        return cls(n, low, int(ones[-1]) - n + 1 if n else -1, pack_bits(v & U((1 << low) - 1), low), bits, before)
 
     def access(self, index: np.ndarray) -> np.ndarray:
         """Values at the places in index."""
-        place = self.samples[index // EVERY]
-        rank = index % EVERY
-        word = place >> 6
-        w = self.bits[word] & (U(0xFFFFFFFFFFFFFFFF) << (place & 63).astype(U))
-        n = np.bitwise_count(w).astype(np.int64)
-        live = np.flatnonzero(n <= rank)
-        while len(live):
-            rank[live] -= n[live]
-            word[live] += 1
-            w[live] = self.bits[word[live]]
-            n[live] = np.bitwise_count(w[live])
-            live = live[n[live] <= rank[live]]
-        high = (word * 64 + select_in_word(w, rank) - index).astype(U)
+        high = (select(self.bits, self.ones, index, NONE) - index).astype(U)
         return (high << U(self.low)) | get_bits(self.lows, self.low, index)
 
     def find(self, start: np.ndarray, stop: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Successor search in the range of each target's context, start to stop: the target's place, -1 if missing."""
-        lo, hi = start.copy(), stop.copy()
+        """Successor search in the range of each target's context, start to stop: the target's place, -1 if missing.
+
+        Short ranges are halved by their values. Of longer ones the part with the target's high bits is cut out, where
+        low bits are halved alone.
+        """
+        found = np.full(len(targets), -1)
+        size = stop - start
+        own = np.flatnonzero((size > 0) & (size <= 4))
+        found[own] = self._halve(start[own], stop[own], targets[own], self.access)
+        high = (targets >> U(self.low)).astype(np.int64)
+        own = np.flatnonzero((size > 4) & (high <= self.top))
+        high = high[own]
+        lo, hi = np.zeros(len(own), np.int64), select(self.bits, self.zeros, high, FULL) - high
+        later = np.flatnonzero(high > 0)
+        lo[later] = select(self.bits, self.zeros, high[later] - 1, FULL) - high[later] + 1
+        lows = lambda index: get_bits(self.lows, self.low, index)
+        found[own] = self._halve(np.maximum(lo, start[own]), np.minimum(hi, stop[own]), targets[own] & U((1 << self.low) - 1), lows)
+        return found
+
+    @staticmethod
+    def _halve(start: np.ndarray, stop: np.ndarray, targets: np.ndarray, value) -> np.ndarray:
+        lo, hi = start, stop.copy()
         live = np.flatnonzero(lo < hi)
+        lo = lo.copy()
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = self.access(mid) < targets[live]
+            less = value(mid) < targets[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
         near = np.flatnonzero(lo < stop)
-        near = near[self.access(lo[near]) == targets[near]]
+        near = near[value(lo[near]) == targets[near]]
         found = np.full(len(targets), -1)
         found[near] = lo[near]
         return found
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.meta": np.array([self.n, self.low]), f"{name}.lows": self.lows, f"{name}.bits": self.bits, f"{name}.samples": self.samples}
+        parts = {"meta": np.array([self.n, self.low, self.top]), "lows": self.lows, "bits": self.bits, "ones": self.ones}
+        return {f"{name}.{k}": a for k, a in parts.items()}
 
     @classmethod
     def mapped(cls, file: dict[str, np.ndarray], name: str) -> EliasFano:
-        n, low = file[f"{name}.meta"].tolist()
-        return cls(n, low, file[f"{name}.lows"], file[f"{name}.bits"], file[f"{name}.samples"])
+        return cls(*file[f"{name}.meta"].tolist(), *(file[f"{name}.{k}"] for k in ("lows", "bits", "ones")))
 
 
 # Files of arrays ------------------------------------------------------------------------------------------------------

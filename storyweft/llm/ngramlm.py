@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,26 +43,29 @@ SHARD_TOKENS = 2_000_000
 END_WORD = b"\n"  # no word holds a line end
 LEVELS = 254  # quantisation steps of a log-probability; code 0 is probability 0
 BLOCK = 1 << 19  # tokens of a block
-LOOKUPS = 1 << 19  # n-grams looked up in one go
+LOOKUPS = 1 << 20  # n-grams looked up in one go
 
 
 # Compact rows -------------------------------------------------------------------------------------------------------
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The numbers' lowest bytes, then the next ones, and so on: high bytes are mostly 0 and compress to nothing."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    """The numbers' lowest bytes, then the next ones, and so on (high bytes are mostly 0), compressed; their length first."""
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+    return len(a).to_bytes(8, "little") + zstandard.compress(raw, 1)
 
 
-def unplanes(raw: bytes, dtype) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+def unplanes(packed: bytes, dtype) -> np.ndarray:
+    n, size = int.from_bytes(packed[:8], "little"), np.dtype(dtype).itemsize
+    raw = np.frombuffer(zstandard.decompress(memoryview(packed)[8:], max_output_size=n * size), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(dtype).ravel()
 
 
 def put_packed(uri: str, **arrays: np.ndarray) -> None:
-    """Arrays as zstd-compressed byte planes, in one Arrow file."""
+    """Arrays as planes(), in one Arrow file."""
     batch = pa.RecordBatch.from_arrays([pa.array([planes(a)], pa.large_binary()) for a in arrays.values()], [f"{k}:{a.dtype.str}" for k, a in arrays.items()])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_file(sink, batch.schema) as out:
         out.write_batch(batch)
     put_file(uri, [sink.getvalue()])
 
@@ -241,7 +245,7 @@ def _vocabulary(docs: DataFrame) -> NgramModel:
             put_file(f"{path}/{file:06d}.counts", [n.tobytes()])
             yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "words": [len(keys)], "total": [int(n.sum())]})
 
-    dealt = count_words(docs, files).repartition(files, "file").sortWithinPartitions("file")
+    dealt = count_words(docs, files).repartitionById(files, F.col("file")).sortWithinPartitions("file")
     made = saved(dealt.mapInArrow(write, "file int, words long, total long"), "ngram-words")
     got = {r.file: r for r in made.collect()}  # a row a file
     discard(spark, made)
@@ -332,11 +336,12 @@ class Grams:
         return cls(pairs, pair_n, pair_of, later, triples, triple_n, triple_of)
 
     def rows(self, model: NgramModel, block: int, counts: bool) -> pa.RecordBatch:
-        """A row for each shard that the block has pairs of."""
+        """A row for each shard that the block has pairs of. Pairs after the unknown word, the last ones, need no answer
+        and are left out."""
         m = U(model.symbols)
         kinds = np.bincount((self.triples // m).astype(np.int64), minlength=len(self.pairs)).astype(np.uint32)
         third = (self.triples % m).astype(np.uint32)
-        edges = np.concatenate([[0], np.searchsorted(self.pairs, model.cuts), [len(self.pairs)]])
+        edges = np.concatenate([[0], np.searchsorted(self.pairs, model.cuts), [np.searchsorted(self.pairs, U(model.words + 1) * m)]])
         inner = np.concatenate([[0], np.cumsum(kinds, dtype=np.int64)])[edges]
         cols: list[list] = [[] for _ in range(7)]
         for s in np.flatnonzero(np.diff(edges)).tolist():
@@ -373,7 +378,7 @@ def fit(docs: DataFrame) -> NgramModel:
             some, back = np.unique(words, return_inverse=True)
             yield Grams.of(model.lookup(some)[0][back], ends, model.symbols).rows(model, 0, counts=True)
 
-    dealt = docs.select("text").mapInArrow(count, GRAMS).drop("block").repartition(model.shards, "shard").sortWithinPartitions("shard")
+    dealt = docs.select("text").mapInArrow(count, GRAMS).drop("block").repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard")
     stats = saved(dealt.mapInArrow(_merger(model), "shard int, ones2 long, twos2 long, ones3 long, twos3 long, edges array<long>"), "ngram-merged")
     merged = stats.collect()  # a row a shard
     model.discounts = tuple(_discount(sum(r[f"ones{k}"] for r in merged), sum(r[f"twos{k}"] for r in merged)) for k in (2, 3))
@@ -385,7 +390,7 @@ def fit(docs: DataFrame) -> NgramModel:
             own[1] += seen
     done = {r.shard for r in merged}
     todo = [(s, s in done, [x for c in sorted(set(model.contexts(s))) if c in whole for x in (c, *whole[c])]) for s in range(model.shards)]
-    todo = spark.createDataFrame(todo, "shard int, counted boolean, edges array<long>").repartition(model.shards, "shard")
+    todo = spark.createDataFrame(todo, "shard int, counted boolean, edges array<long>").repartitionById(model.shards, F.col("shard"))
     built = saved(todo.mapInArrow(_builder(model), "shard int, pairs long, triples long"), "ngram-shards")
     discard(spark, stats, built, *[f"{model.path}/{s:06d}.merged" for s in done])
     return model
@@ -472,28 +477,24 @@ class Shard:
         self.file = map_arrays(f"{model.path}/shard-{shard:06d}")
         self.pointers2, self.level2, self.pointers3, self.level3 = (EliasFano.mapped(self.file, x) for x in ("pointers2", "level2", "pointers3", "level3"))
 
-    def answer(self, pairs: np.ndarray, kinds: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of each pair's probability, its context's back-off weight and its own one, and of each triple's
-        probability. kinds: how many of the triples each pair starts."""
+    def answer(self, pairs: np.ndarray, back: np.ndarray, of: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the probability of each of pairs[back], of its context's back-off weight and its own one, and of the
+        probability of each triple, the place of its pair in `of`. pairs: distinct, sorted, contexts in the shard's range."""
         context = (pairs // self.m).astype(np.int64) - self.first
-        known = np.flatnonzero(context < self.own)  # the unknown word is no context
-        some, back = np.unique(context[known], return_inverse=True)
-        at = np.full(len(pairs), -1)
-        start, stop = self.pointers2.access(some).astype(np.int64), self.pointers2.access(some + 1).astype(np.int64)
-        at[known] = self.level2.find(start[back], stop[back], pairs[known] - U(self.first) * self.m)
-        backoff2 = np.full(len(pairs), 255, np.uint8)
-        backoff2[known] = self.file["backoff2"][context[known]]
+        fresh = np.flatnonzero(np.diff(context, prepend=-1))
+        runs = np.diff([*fresh, len(context)])
+        start, stop = (np.repeat(self.pointers2.access(context[fresh] + k).astype(np.int64), runs) for k in (0, 1))
+        at = self.level2.find(start, stop, pairs - U(self.first) * self.m)
         hit = np.flatnonzero(at >= 0)
         prob2, backoff3 = np.zeros(len(pairs), np.uint8), np.full(len(pairs), 255, np.uint8)
         prob2[hit], backoff3[hit] = self.file["prob2"][at[hit]], self.file["backoff3"][at[hit]]
         start, stop = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         start[hit], stop[hit] = self.pointers3.access(at[hit]).astype(np.int64), self.pointers3.access(at[hit] + 1).astype(np.int64)
-        of = np.repeat(np.arange(len(pairs)), kinds)
         deep = self.level3.find(start[of], stop[of], np.maximum(at[of], 0).astype(U) * self.m + third.astype(U))
         prob3 = np.zeros(len(of), np.uint8)
         hit = np.flatnonzero(deep >= 0)
         prob3[hit] = self.file["prob3"][deep[hit]]
-        return prob2, backoff2, backoff3, prob3
+        return prob2[back], self.file["backoff2"][context][back], backoff3[back], prob3
 
 
 # Scoring -------------------------------------------------------------------------------------------------------------
@@ -508,9 +509,10 @@ def _answers(model: NgramModel):
 
             def out(held=held, shard=shard, s=s):
                 pairs, kinds, third = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-                codes = shard.answer(pairs, kinds, third)
+                some, back = np.unique(pairs, return_inverse=True)  # blocks share many
+                codes = shard.answer(some, back, np.repeat(back, kinds), third)
                 at2, at3 = (np.cumsum([0, *(len(h[i]) for h in held)]) for i in (1, 3))
-                cut = [[c[i:j].tobytes() for i, j in zip(at[:-1], at[1:])] for c, at in zip(codes, (at2, at2, at2, at3))]
+                cut = [[planes(c[i:j]) for i, j in zip(at[:-1], at[1:])] for c, at in zip(codes, (at2, at2, at2, at3))]
                 types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([h[0] for h in held], [s] * len(held), *cut), types)], ["block", "shard", "prob2", "backoff2", "backoff3", "prob3"])
 
@@ -557,11 +559,13 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.values()
         for block, rows in _by_key(batches):
-            prob2, backoff2, backoff3, prob3 = (np.frombuffer(b"".join(c), np.uint8) for c in list(zip(*rows))[1:])
+            codes = [np.concatenate([unplanes(x, np.uint8) for x in c]) for c in list(zip(*rows))[1:]]
             x = get_packed(f"{path}/{block:012d}")
             symbols, base = x["symbol"].astype(np.int64)[x["word"]], model.unigram(x["n"])[x["word"]]
             known, ends = (x["n"] > 0)[x["word"]], x["ends"]
             g = Grams.of(symbols, ends, model.symbols)
+            sizes = (len(g.pairs),) * 3 + (len(g.triples),)
+            prob2, backoff2, backoff3, prob3 = (np.concatenate([c, np.full(n - len(c), gap, np.uint8)]) for c, n, gap in zip(codes, sizes, (0, 255, 255, 0)))
             p = value[prob2][g.pair_of] + value[backoff2][g.pair_of] * base
             p[g.later] = value[prob3][g.triple_of] + value[backoff3][g.pair_of[g.later - 1]] * p[g.later]
             starts = np.concatenate([[0], ends[:-1]])
@@ -570,7 +574,7 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tasks = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    dealt = rows.mapInArrow(deal, GRAMS).drop("n2", "n3").repartition(model.shards, "shard").sortWithinPartitions("shard", "block")
+    dealt = rows.mapInArrow(deal, GRAMS).drop("n2", "n3").repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", "block")
     codes = dealt.mapInArrow(_answers(model), "block long, shard int, prob2 binary, backoff2 binary, backoff3 binary, prob3 binary")
     return codes.repartition(tasks, "block").sortWithinPartitions("block", "shard").mapInArrow(gather, SCORES)
 

@@ -66,6 +66,18 @@ def test_language_id(spark, sf_dir, docs):
     assert got.score.between(0, 1).all()
 
 
+def test_language_id_by_hand(spark):
+    """Naive Bayes by counting n-grams as text; 2^22 buckets leave next to no collisions."""
+    texts = [("en", "the cat and the dog"), ("en", "a dog sat on the mat"), ("de", "der hund und die katze"), ("de", "ein hund lag auf der matte"), ("fr", "le chat et le chien")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    model = langid.LanguageModel.fit(df, bits=22)
+    grams = lambda t: [f" {t} "[i : i + n] for n in langid.ORDERS for i in range(len(t) + 3 - n)]
+    counts = {x: Counter(g for lang, t in texts if lang == x for g in grams(t)) for x in ("de", "en", "fr")}
+    for t in ("the dog", "der hund", "chat", "katze on mat"):
+        want = [math.log(sum(x == lang for x, _ in texts) / 5) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**22)) for g in grams(t)) for lang, c in counts.items()]
+        assert model.labels == ["de", "en", "fr"] and np.allclose(model.scores([t])[0], want, atol=1e-3)
+
+
 def test_gram_counts_by_hand():
     codes, starts = langid.gram_codes(["ab", "b"], orders=(1, 2), bits=10)
     one, two = codes
@@ -78,6 +90,8 @@ def test_language_id_odd(odd, empty):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, model).collect()}
     assert got[1] == got[2] == got[3] == got[8] == ("und", 0.0)
     assert got[4][0] == "de"
+    signs = odd.sparkSession.createDataFrame([(1, "²³"), (2, "½ 12"), (3, "①"), (4, "Ⅷ ʰ")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(signs, model).collect()} == {1: True, 2: True, 3: True, 4: False}
     none = langid.LanguageModel.fit(empty)
     assert none.labels == [] and langid.identify(empty, none).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
@@ -229,6 +243,37 @@ def test_best_two_fit():
     assert len(packing.best_two_fit(np.empty(0, np.int64), 100)[0]) == 0
 
 
+def plain_best_two_fit(lengths, capacity):
+    """The rule by scanning lists: fill with the longest that fits; then two open pieces may replace the smallest."""
+    left, bins = sorted(lengths), []
+    while left:
+        own = [left.pop()]
+        while (fits := [x for x in left if x <= capacity - sum(own)]):
+            own.append(max(fits))
+            left.remove(own[-1])
+        gap = capacity - sum(own)
+        if gap and left and len(own) > 1:
+            pairs = [(x + y, x, y) for i, x in enumerate(left) for y in left[i + 1 :] if own[-1] < x + y <= gap + own[-1]]
+            if pairs:
+                total = max(p[0] for p in pairs)
+                _, x, y = min((p for p in pairs if p[0] == total), key=lambda p: p[1])
+                small = own.pop()
+                own += [y, x]
+                left.remove(x)
+                left.remove(y)
+                left = sorted([*left, small])
+        bins.append(own)
+    return bins
+
+
+def test_best_two_fit_by_hand():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = rng.integers(1, 61, 60)
+        bins, _ = packing.best_two_fit(n, 100)
+        assert sorted(sorted(n[bins == b].tolist()) for b in set(bins)) == sorted(map(sorted, plain_best_two_fit(n.tolist(), 100)))
+
+
 def test_packing_odd(spark, odd, empty):
     packed = packing.pack(packing.token_pieces(odd))
     assert packed.count() >= 10 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
@@ -238,6 +283,13 @@ def test_packing_odd(spark, odd, empty):
     seq = {r.sequence_id: r.ids for r in packing.sequences(some, packed).collect()}
     for r in packed.collect():
         assert crc(seq[r.sequence_id][r.offset : r.offset + r.length]) == r.ids_crc32
+    with pytest.raises(ValueError):
+        packing.sequences(odd, packed)
+    keyed = common.saved(odd.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "keyed")
+    packed = common.saved(packing.pack(packing.token_pieces(keyed, row_col="row")), "packed")
+    seq = {r.sequence_id: r.ids for r in packing.sequences(keyed, packed, row_col="row").collect()}
+    for r in packed.collect():
+        assert crc(seq[r.sequence_id][r.offset : r.offset + r.length]) == r.ids_crc32
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
@@ -300,6 +352,37 @@ def test_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == group
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are documents of their own, in any order of the table."""
+    t = ["a b c d e f g h", "a b c d e f g h", "other words that are not like it at all", "q r s t u v w x"]
+    rows = [(7, t[0]), (5, t[1]), (7, t[2]), (9, t[3]), (None, t[0])]
+    for order in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), 80).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [("5", 4, "5", True), ("7", 4, "5", False), ("7", 5, "7", True), ("9", 4, "9", True), ("None", 4, "None", True)]
+
+
+def test_chosen_paths_meet(monkeypatch):
+    """Pairs of sketches that agree in a share of their coordinates share a node as often as meeting() says, and rows
+    grow by 1 / threshold a level."""
+    rng = np.random.default_rng(9)
+    n, percent, more = 4000, 80, neardup.second_share(80)
+    x = rng.integers(0, 1 << 32, (n, neardup.COORDS)).astype(np.uint32)
+    y = np.where(rng.random(x.shape) < 0.8, x, rng.integers(0, 1 << 32, x.shape).astype(np.uint32))
+    both = np.concatenate([x, y])
+    doc, node = np.arange(2 * n), neardup.mix64(np.arange(2 * n, dtype=np.uint64) % np.uint64(n))  # a root for each pair
+    tree = np.zeros(2 * n, np.int64)
+    for level in range(neardup.DEPTH + 1):
+        at, node = neardup._children(tree[: len(doc)], node, both[doc], level, more)
+        doc = doc[at]
+        tree = np.zeros(len(doc), np.int64)
+        assert len(doc) == pytest.approx(2 * n * 1.25 ** (level + 1), rel=0.06)
+        left, right = ({(d % n, k) for d, k in zip(doc.tolist(), node.tolist()) if (d < n) == side} for side in (True, False))
+        met = len({d for d, _ in left & right})
+        assert met / n == pytest.approx(neardup.meeting(80, percent, level + 1), abs=0.03)
+    for p in (80, 85):
+        assert 1 - (1 - neardup.meeting(p, p)) ** neardup.tree_count(p) >= neardup.RECALL
+
+
 def test_near_duplicates_odd(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd, 85).collect()]
     assert sorted((x for x in got if x[0] is not None)) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 7, 6, True), (7, 6, 6, False), (8, 1, 8, True), (8, 1, 8, True)]
@@ -333,6 +416,21 @@ def test_fingerprints_find_tones():
     assert [len(x) for x in media.fingerprint(b" " * 192)] == [0, 0]
 
 
+def test_fingerprints_by_hand():
+    """Spectra by the definition of the transform, peaks and pairs by plain loops."""
+    rng = np.random.default_rng(6)
+    raw = bytes(rng.integers(97, 123, 192 * 7).astype(np.uint8)) + b" " * 192
+    n = media.BLOCK
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    frames = [np.abs(turn @ ((np.frombuffer(raw[i : i + n], np.uint8).astype(float) - 128) * np.hanning(n))) ** 2 for i in range(0, len(raw) - n + 1, media.HOP)]
+    best = [(2 + int(f[2:].argmax()), f[2:].max()) for f in frames]
+    power = [-1, *(p for _, p in best), -1]
+    at = [i for i in range(len(best)) if power[i + 1] >= power[i] and power[i + 1] > power[i + 2]]
+    pairs = [(t, (best[t][0] << 16) | (best[u][0] << 8) | (u - t)) for i, t in enumerate(at) for u in at[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH]
+    times, codes = media.fingerprint(raw)
+    assert pairs and list(zip(times.tolist(), codes.tolist())) == pairs
+
+
 def test_media_odd(odd, empty):
     got = media.describe_media(common.saved(media.encode_media(odd), "m")).collect()
     assert len(got) == 10 and {r.payload_bytes for r in got if r.n_bytes == 0} == {192}
@@ -362,6 +460,24 @@ def test_top_k(spark, spread, monkeypatch):
     assert len(got) == 20
 
 
+def test_top_k_of_large_numbers(spark):
+    """Exact where doubles are not; beyond 64 bits the nearest 64-bit number."""
+    rng = np.random.default_rng(8)
+    v = np.floor(rng.normal(size=(60, 8)) * 2.0 ** rng.integers(10, 30, (60, 1)))
+    v[0, :], v[1, :], v[2, :] = 8e6, 1e30, 1e306
+    rows = [(i, [float(x) for x in v[i]]) for i in range(60)] + [(70, [float("1e308")] * 8)]  # the last is not finite once scaled
+    r = topk.integral(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=64.0)
+    assert r.count() == 60
+    w = [[int(64 * x) for x in row] for row in v.tolist()]
+    top = 2**63 - 1
+    got = defaultdict(list)
+    for x in topk.top_k(r, r.filter("vec_id < 10"), 7).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    for q in range(10):
+        s = [max(-top, min(top, sum(a * b for a, b in zip(w[q], row)))) for row in w]
+        assert got[q] == [(i, -x) for x, i in sorted((-s[i], i) for i in range(60) if i != q)[:7]]
+
+
 def test_top_k_few(spark):
     r = topk.integral(spark.createDataFrame([(0, [1.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>"))
     assert [(x.query_id, x.vec_id, x.score) for x in topk.top_k(r, r.filter("vec_id = 0")).collect()] == [(0, 1, 64 * 128)]
@@ -659,10 +775,44 @@ def test_pipeline(spark, sf_dir, docs):
 
 
 def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Every row is counted through the stages: nulls, blanks, repeated ids, clashing names."""
     spark.createDataFrame([(6, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for d in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            d = common.saved(stage(spark, d, str(tmp_path)), "odd")
+    stage = dict(corpus_pipeline.STAGES)
+    texts = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    d = odd
+    for name in ("line_dedup", "near_duplicates"):
+        before, d = texts(d), common.saved(stage[name](spark, d, str(tmp_path)), "odd")
+        assert d.columns == odd.columns
+        if name == "line_dedup":
+            assert sum(texts(d).values()) == 10 and texts(d)[5, ""] == 1 and texts(d)[7, ""] == 1
+        else:  # one of the two equal rows of id 8 goes
+            assert texts(d) == before - Counter({(8, "12 34 --"): 1})
+    mixed = common.saved(stage["mixing"](spark, d, str(tmp_path)), "odd")
+    assert {r.doc_id for r in mixed.collect()} == {4, 6, 8, None} and mixed.columns == odd.columns
+    assert all(t and t.strip() for _, t in texts(mixed))
+    pieces = common.saved(stage["packing"](spark, mixed, str(tmp_path)), "odd")
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    n = sum(len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
+    assert pieces.agg(F.sum("length")).first()[0] == n and pieces.select("row").distinct().count() == mixed.count()
+    kept = common.saved(stage["quality"](spark, odd, str(tmp_path)), "odd")
+    assert not texts(kept) - texts(odd) and kept.columns == odd.columns
+    for f in stage.values():
+        empty = common.saved(f(spark, empty, str(tmp_path)), "odd")
+        assert empty.count() == 0
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "a b c d e f one"), (1, "g h i j k l two"), (None, "m n o p q r three"), (None, "s t u v w x four"), (2, "y z a c e g five")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter((str(i), t) for i, t in rows)
+    for name, stage in corpus_pipeline.STAGES[1:4]:  # nothing is a duplicate and one source is taken once: all stay
+        d = common.saved(stage(spark, d, str(tmp_path)), "rows")
+        assert Counter((str(r.doc_id), r.text) for r in d.collect()) == want, name
+    pieces = common.saved(corpus_pipeline.packing(spark, d, str(tmp_path)), "rows")
+    assert pieces.count() == 5 and pieces.select("row").distinct().count() == 5
+    keyed = corpus_pipeline.STAGES[0][1](spark, d, str(tmp_path))
+    assert {(str(r.doc_id), r.text) for r in keyed.collect()} <= set(want)
 
 
 def test_pipeline_mixes_rows_without_a_unique_id(spark, tmp_path):
