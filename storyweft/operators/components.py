@@ -45,10 +45,9 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("labels still move after all rounds")
 
 
-def key_components(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Components of rows (id) that share a value of any key column (null and '' link nothing): each value's rows are
-    linked to its least id, so a common value makes no pairs."""
-    links = None
+def key_components(rows: DataFrame, keys: list[str], links: DataFrame | None = None) -> DataFrame:
+    """Components of rows (id) that share a value of any key column (null and '' link nothing), or a row of links (a, b):
+    each value's rows are linked to its least id, so a common value makes no pairs."""
     for k in keys:
         own = rows.filter(F.col(k).isNotNull() & (F.col(k) != "")).select("id", F.col(k).alias("k"))
         least = own.groupBy("k").agg(F.min("id").alias("b"))

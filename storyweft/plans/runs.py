@@ -51,12 +51,11 @@ def known_stories(run: Run, same: DataFrame | None = None) -> DataFrame:
     uuid = F.get_json_object("raw_payload", "$.source_metadata.item_uuid")
     rows = run.raw.join(run.articles.select("raw_arrival_id", "canonical_url"), "raw_arrival_id")
     keys = rows.select(F.col("raw_arrival_id").alias("id"), "path", F.col("canonical_url").alias("k1"), uuid.alias("k2"), F.concat("source", F.lit("\t"), "source_item_id").alias("k3"))
+    links = None
     if same is not None:
-        left, right = keys.select(F.col("path").alias("a"), F.col("id").alias("x")), keys.select(F.col("path").alias("b"), F.col("id").alias("y"))
-        links = same.join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("id"), F.least("x", "y").cast("string").alias("k4"))
-        marks = links.unionByName(links.select(F.col("k4").cast("long").alias("id"), "k4")).groupBy("id").agg(F.min("k4").alias("k4"))
-        keys = keys.join(marks, "id", "left")
-    found = components.key_components(keys, [c for c in ("k1", "k2", "k3", "k4") if c in keys.columns])
+        left, right = keys.select(F.col("path").alias("x"), F.col("id").alias("a")), keys.select(F.col("path").alias("y"), F.col("id").alias("b"))
+        links = same.toDF("x", "y").join(left, "x").join(right, "y").select("a", "b")
+    found = components.key_components(keys, ["k1", "k2", "k3"], links)
     return keys.select("id", "path").join(found, "id").select(F.col("path").alias("file"), F.col("component").alias("truth"))
 
 

@@ -59,7 +59,7 @@ def payload_hash(texts: pd.Series) -> pd.Series:
 
 def read_items(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path, payload of every .json file (any case of the ending); Spark hides names that start with a dot."""
-    files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 

@@ -442,7 +442,7 @@ def _planted(folder):
         nonlocal n
         n += 1
         item = ITEM | {"source": f"src{n % 5}", "source_item_id": f"item-{n}", "published_at": f"2024-01-0{1 + n % 6}T10:00:00Z", "source_metadata": META | {"item_uuid": f"u{n}"}} | change
-        (folder / f"{n:03d}.json").write_text(json.dumps(item))
+        (folder / f"{n:03d}.json").write_text(json.dumps(item, indent=2))  # many lines
         truth[f"{n:03d}.json"] = story
 
     for story in range(40):
