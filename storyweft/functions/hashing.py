@@ -32,31 +32,39 @@ def fnv1a64(word: Column) -> Column:
     return F.when(F.octet_length(word) > 0, F.aggregate(bytes_, basis, step)).otherwise(basis)
 
 
-def _fnv(word: bytes) -> int:
-    h = FNV_BASIS
-    for b in word:
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+def fnv_words(words: list[bytes]) -> np.ndarray:
+    """FNV-1a of many words at once, byte place by byte place, longest words first."""
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(-size, kind="stable")
+    starts = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
+    h = np.full(len(words), FNV_BASIS, np.uint64)
+    live = len(words)
+    for place in range(int(size.max(initial=0))):
+        while live and size[order[live - 1]] <= place:
+            live -= 1
+        own = order[:live]
+        h[own] = (h[own] ^ flat[starts[own] + place]) * np.uint64(FNV_PRIME)
     return h
 
 
 @F.pandas_udf(T.LongType())
 def simhash64(words: pd.Series) -> pd.Series:
     """Signed 64-bit simhash of a token array, repeats counted; null without tokens. A bit is set if its sum is above 0."""
-    known: dict[str, int] = {}
-    shifts = np.arange(64, dtype=np.uint64)
-
-    def one(own) -> int | None:
-        if own is None or len(own) == 0:
-            return None
-        for w in own:
-            if w not in known:
-                known[w] = _fnv(w.encode())
-        h = np.array([known[w] for w in own], np.uint64)
-        ones = ((h[:, None] >> shifts) & np.uint64(1)).sum(axis=0, dtype=np.int64)
-        bits = 2 * ones > len(h)
-        return int((bits.astype(np.uint64) << shifts).sum(dtype=np.uint64).astype(np.int64))
-
-    return pd.Series([one(x) for x in words], dtype="object")
+    sizes = np.array([0 if x is None else len(x) for x in words], np.int64)
+    full = np.flatnonzero(sizes)
+    out = np.full(len(words), None, object)
+    if len(full):
+        flat = np.concatenate([np.asarray(words.iloc[i], object) for i in full])
+        some, back = np.unique(flat.astype(str), return_inverse=True)
+        h = fnv_words([w.encode() for w in some.tolist()])[back]
+        starts = np.cumsum(sizes[full]) - sizes[full]
+        got = np.zeros(len(full), np.uint64)
+        for bit in range(64):
+            ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts)
+            got |= (2 * ones > sizes[full]).astype(np.uint64) << np.uint64(bit)
+        out[full] = got.view(np.int64).tolist()
+    return pd.Series(out, dtype="object")
 
 
 def hamming(a: Column, b: Column) -> Column:

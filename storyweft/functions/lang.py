@@ -22,15 +22,23 @@ STOPWORDS = {
 }
 
 
+ENDS = r"^[\t-\r \x{85}\p{Z}]+|[\t-\r \x{85}\p{Z}]+$"
+
+
+def _bare(x: Column) -> Column:
+    """Without white space at the ends, in lower case, `_` as `-`."""
+    return F.regexp_replace(F.lower(F.regexp_replace(x, ENDS, "")), "_", "-")
+
+
 def iso_code(x: Column) -> Column:
     """First subtag in lower case if it has two letters a-z, else empty."""
-    first = F.regexp_extract(F.regexp_replace(F.lower(F.trim(x)), "_", "-"), "^([^-]*)", 1)
+    first = F.regexp_extract(_bare(x), "^([^-]*)", 1)
     return F.when(first.rlike("^[a-z]{2}$"), first).otherwise(F.lit(""))
 
 
 def language_tag(x: Column) -> Column:
     """Lower case, `_` as `-`, empty parts dropped; empty if a part holds anything but letters a-z."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(F.lower(F.trim(x)), "_", "-"), "-"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_bare(x), "-"), lambda p: F.regexp_replace(p, ENDS, "")), lambda p: p != "")
     return F.when(F.forall(parts, lambda p: p.rlike("^[a-z]+$")), F.array_join(parts, "-")).otherwise(F.lit(""))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Control characters that are no white space, and runs of white space; Java's \s knows ASCII only.
 CONTROL = r"[\x00-\x08\x0e-\x1f\x7f\x{80}-\x{84}\x{86}-\x{9f}]"
@@ -92,6 +95,18 @@ def strip_tags(x: Column) -> Column:
     return F.regexp_replace(x, "<[^>]+>", "")
 
 
+@F.pandas_udf(T.StringType())
+def unescape(x: pd.Series) -> pd.Series:
+    """Character references of HTML as the characters they stand for."""
+    return x.map(html.unescape, na_action="ignore")
+
+
+def plain_text(x: Column) -> Column:
+    """Markup without its tags and with its references resolved; rows without a reference stay out of Python."""
+    bare = strip_tags(x)
+    return F.when(F.contains(bare, F.lit("&")), unescape(bare)).otherwise(bare)
+
+
 def substantive(text: Column, title: Column) -> Column:
     """Enough text to translate: over 50 bytes more than the title."""
     return F.octet_length(text) > F.octet_length(F.coalesce(title, F.lit(""))) + 50

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; a local session without one gets its own."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names, in folders by a column if one is named; a local
+    session without that setting gets its own."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -23,7 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
             _own[app] = tempfile.mkdtemp(prefix="storyweft-")
         base = _own[app]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

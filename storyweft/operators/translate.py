@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyweft.functions.lang import language_code
+from storyweft.functions.text import substantive
 
 
 class Provider(Protocol):
@@ -27,12 +29,45 @@ class Tagged:
         return f"[{target}] {text}"
 
 
+class Prompted:
+    """A chat service asked to translate; `ask` (system, user) -> text does the transport. An empty answer is an error."""
+
+    name = "local"
+
+    def __init__(self, ask: Callable[[str, str], str]):
+        self.ask = ask
+
+    def prompt(self, source: str, target: str) -> str:
+        label = lambda c: LANGUAGES.get(c, c)
+        return f"Translate from {label(source) if source and source != 'und' else 'the language of the text'} to {label(target)}. Answer with the translation alone."
+
+    def translate(self, text: str, source: str, target: str) -> str:
+        answer = (self.ask(self.prompt(source, target), text) or "").strip()
+        if not answer:
+            raise ValueError("the service gave no translation")
+        return answer
+
+
+#: Languages that can be translated into, with their English names.
+LANGUAGES = {
+    "ar": "Arabic", "de": "German", "en": "English", "es": "Spanish", "fr": "French", "id": "Indonesian", "it": "Italian", "ja": "Japanese", "ko": "Korean", "pl": "Polish", "pt": "Portuguese", "ru": "Russian",
+    "th": "Thai", "tr": "Turkish", "vi": "Vietnamese", "zh": "Chinese",
+}
+
+
+def supported(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(LANGUAGES.items()), "code string, name string")
+
+
 class Registry:
-    """Providers by name, letter case aside."""
+    """Providers by name, letter case aside. Without a default given, STORYWEFT_TRANSLATOR names it."""
 
     def __init__(self, default: str | None = None):
         self.makers: dict[str, Callable[[], Provider]] = {}
-        self.default = default
+        self.default = default or os.environ.get("STORYWEFT_TRANSLATOR")
+
+    def names(self) -> list[str]:
+        return sorted(self.makers)
 
     def add(self, name: str, make: Callable[[], Provider]) -> None:
         key = name.strip().lower()
@@ -83,3 +118,32 @@ def stats(plan: DataFrame, dry: bool = False) -> DataFrame:
     is_ = lambda s: F.count_if(F.col("state") == s)
     done = F.lit(0).cast("long") if dry else is_("open")
     return plan.agg(F.count("*").alias("total"), done.alias("translated"), is_("cached").alias("cached"), (is_("skipped") + (is_("open") if dry else F.lit(0))).alias("skipped"))
+
+
+def sources(tasks: DataFrame, captured_at: str) -> DataFrame:
+    """Rows of the table of sources: one for each type, id and content."""
+    rows = tasks.select("source_type", "source_id", "source_lang", F.col("text").alias("original_text"), F.sha2("text", 256).alias("content_hash"))
+    origin = F.when(F.col("source_type") == "article_text", "reader").otherwise("normalized")
+    return rows.dropDuplicates(["source_type", "source_id", "content_hash"]).select("*", origin.alias("content_origin"), F.lit(captured_at).cast("timestamp").alias("captured_at"))
+
+
+def lookup(cache: DataFrame, wanted: DataFrame, target: str) -> DataFrame:
+    """wanted (source_type, source_id, content_hash) with the cached translation of that very content, null without."""
+    own = cache.filter(F.col("target_lang") == target).select("source_type", "source_id", "content_hash", "translated_text")
+    return wanted.join(own.dropDuplicates(["source_type", "source_id", "content_hash"]), ["source_type", "source_id", "content_hash"], "left")
+
+
+def hydrated(articles: DataFrame, read: DataFrame) -> DataFrame:
+    """articles (article_id, title, body) whose body is no substantive text take the reader's (article_id, text), if that
+    is; origin tells which: normalized or reader."""
+    r = read.select("article_id", F.col("text").alias("__read"))
+    j = articles.join(r, "article_id", "left")
+    thin = ~F.coalesce(substantive(F.col("body"), F.col("title")), F.lit(False))
+    use = thin & F.coalesce(substantive(F.col("__read"), F.col("title")), F.lit(False))
+    return j.withColumns({"body": F.when(use, F.col("__read")).otherwise(F.col("body")), "origin": F.when(use, "reader").otherwise("normalized")}).drop("__read")
+
+
+def listing(results: DataFrame) -> DataFrame:
+    """place (from 1) of each result: by target language, type and id, later captures first, then later results."""
+    order = Window.partitionBy("target_lang", "source_type", "source_id").orderBy(F.desc("captured_at"), F.desc("created_at"), F.desc("result_id"))
+    return results.withColumn("place", F.row_number().over(order))

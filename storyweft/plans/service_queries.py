@@ -16,19 +16,22 @@ from storyweft.sources import feeds, items
 from storyweft.streaming import incremental
 
 
-@query("update_story", with_model("SELECT story_id, CASE WHEN story_id % 10 = 1 THEN 'renamed ' || story_id::VARCHAR ELSE canonical_title END AS canonical_title, CASE WHEN story_id % 20 = 1 THEN 'suppressed' ELSE 'active' END AS status FROM stories"))
+@query("update_story", with_model("""
+SELECT story_id, CASE WHEN story_id % 10 = 1 THEN 'renamed' ELSE canonical_title END AS canonical_title, CASE WHEN story_id % 10 = 1 THEN 'suppressed' ELSE status END AS status,
+       CASE WHEN story_id % 10 = 1 THEN 'moved' ELSE collection END AS collection, CASE WHEN story_id % 10 = 1 THEN 'https://example.com/x' ELSE canonical_url END AS canonical_url,
+       sha256(CASE WHEN story_id % 10 = 1 THEN 'https://example.com/x' ELSE canonical_url END) AS url_hash FROM stories
+"""))
 def update_story(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("story_id")
-    s = m.stories(spark, sf_dir).select("story_id", "canonical_title").withColumn("status", F.lit("active"))
-    s = s.withColumn("canonical_title", F.when(i % 10 == 1, F.concat(F.lit("renamed "), i.cast("string"))).otherwise(F.col("canonical_title")))
-    return s.withColumn("status", F.when(i % 20 == 1, "suppressed").otherwise(F.col("status")))
+    s = m.stories(spark, sf_dir).select("story_id", "canonical_title", "status", "collection", "canonical_url").withColumn("url_hash", F.sha2("canonical_url", 256))
+    change = {"title": F.lit(" renamed "), "status": F.lit("suppressed"), "collection": F.lit(" Moved"), "link": F.lit("https://EXAMPLE.com/x/?utm_source=a")}
+    return mutations.update_story(s, F.col("story_id") % 10 == 1, **change)
 
 
 @query("delete_preview", with_model("""
 SELECT 'articles' AS name, count(*) AS rows FROM live WHERE collection = 'de' UNION ALL SELECT 'stories', count(*) FROM stories WHERE collection = 'de'
 """))
 def delete_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = m.raw_articles(spark, sf_dir).select("article_id", "collection", "deleted_at")
+    a = m.article_rows(spark, sf_dir).select("article_id", "collection", "deleted_at")
     s = m.stories(spark, sf_dir).select("story_id", "collection").withColumn("deleted_at", F.lit(None).cast("timestamp"))
     out = None
     for name, key, t in (("articles", "article_id", a), ("stories", "story_id", s)):
@@ -39,14 +42,14 @@ def delete_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("title_changes", with_model("SELECT article_id, 'normalized_title' AS field, normalized_title AS was, 'new' AS now FROM live WHERE article_id % 100 = 3 AND normalized_title <> 'new'"))
 def title_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = live(m.articles(spark, sf_dir)).select("article_id", "normalized_title")
+    a = live(m.article_rows(spark, sf_dir)).select("article_id", "normalized_title")
     after = a.withColumn("normalized_title", F.when(F.col("article_id") % 100 == 3, "new").otherwise(F.col("normalized_title")))
     return mutations.changes(a, after, "article_id")
 
 
 @query("representatives", with_model("SELECT s.story_id, r.article_id IS NOT NULL AND r.source <> 'src4' AS has_representative, CASE WHEN r.source <> 'src4' THEN r.source || ':' || r.source_item_id ELSE '' END AS label FROM stories s LEFT JOIN live r ON r.article_id = s.story_id"))
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = live(m.raw_articles(spark, sf_dir)).select(F.col("article_id").alias("story_id"), F.when(F.col("source") != "src4", F.col("source")).alias("source"), "source_item_id")
+    r = live(m.article_rows(spark, sf_dir)).select(F.col("article_id").alias("story_id"), F.when(F.col("source") != "src4", F.col("source")).alias("source"), "source_item_id")
     whole = F.col("story_id").isNotNull() & F.col("source").isNotNull() & F.col("source_item_id").isNotNull()
     s = m.stories(spark, sf_dir).select("story_id").join(r, "story_id", "left").withColumn("representative", F.when(whole, F.struct("story_id", "source", "source_item_id")))
     return s.select("story_id", F.col("representative").isNotNull().alias("has_representative"), F.coalesce(F.concat("representative.source", F.lit(":"), "representative.source_item_id"), F.lit("")).alias("label"))
@@ -59,9 +62,11 @@ def feed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy(F.desc("last_seen_at"), F.desc("story_id")).limit(arguments.bounded("200", arguments.SIZE)).select("story_id", "collection")
 
 
-@query("languages", "SELECT lang AS code, count(*) AS n FROM documents GROUP BY 1")
+@query("languages", "SELECT code, count(doc_id) AS n FROM (SELECT unnest(['ar', 'de', 'en', 'es', 'fr', 'id', 'it', 'ja', 'ko', 'pl', 'pt', 'ru', 'th', 'tr', 'vi', 'zh']) AS code) LEFT JOIN documents ON lang = code GROUP BY 1")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("n"))
+    """The languages that can be translated into, and how many documents each has."""
+    n = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("n"))
+    return translate.supported(spark).select("code").join(n, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("normalize_stage", f"""
@@ -78,7 +83,7 @@ def normalize_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(raw).select("raw_arrival_id", "canonical_url", "source_domain", "collection", "normalized_language", "content_hash")
 
 
-@query("payload_hashes")
+@query("payload_hashes", "SELECT event_id, sha256(replace(props, ': ', ':')) AS payload_hash FROM events")
 def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the canonical form of the events' JSON."""
     return table(spark, sf_dir, "events").select("event_id", items.payload_hash("props").alias("payload_hash"))
@@ -92,7 +97,7 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("translate_run", f"SELECT DISTINCT 'article_title' AS source_type, doc_id AS source_id, 'en' AS target_lang, '[en] ' || {TITLE} AS translated_text FROM documents WHERE lang <> 'en' AND trim({TITLE}) <> ''")
 def translate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = m.raw_articles(spark, sf_dir)
+    a = m.article_rows(spark, sf_dir)
     tasks = a.filter(F.trim("title") != "").select(F.lit("article_title").alias("source_type"), F.col("article_id").alias("source_id"), F.col("collection").alias("source_lang"), F.col("title").alias("text"))
     cache = spark.createDataFrame([], "source_type string, source_id long, content_hash string, target_lang string")
     return translate.run(translate.planned(tasks, cache, "en"), "en", translate.Tagged).select("source_type", "source_id", "target_lang", "translated_text")

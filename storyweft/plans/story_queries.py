@@ -75,21 +75,39 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.nearest(_vectors(spark, sf_dir)).select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-@query("semantic_decisions", f"""
-WITH {COSINE_SQL}, t AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS w FROM documents),
-p AS (SELECT id AS a, neighbour AS b, cosine, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS n, len(y.w) AS k FROM c JOIN t x ON x.doc_id = id JOIN t y ON y.doc_id = neighbour WHERE cosine >= 0.2 AND id < neighbour),
-s AS (SELECT a, b, cosine, CASE WHEN n = 0 OR k = 0 THEN 0.0 ELSE i / (n + k - i) END AS title, CASE WHEN (b - a) <= 48 * 60 THEN 1.0 WHEN (b - a) <= 168 * 60 THEN 0.6 ELSE 0.0 END AS date FROM p)
-SELECT a, b, round(greatest(0, least(1, 0.75 * cosine + 0.15 * title + 0.10 * date)), 6) AS composite,
-       cosine >= 0.965 OR (cosine >= 0.935 AND title >= 0.30) AS auto, cosine >= 0.89 AND cosine < 0.935 AS gray FROM s
-""")
-def semantic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    near = dedup.nearest(v, 1 << 20).filter("cosine >= 0.2 AND id < neighbour").select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "cosine")
+SCORED_SQL = f"""{COSINE_SQL}, k AS (SELECT id, neighbour, cosine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, neighbour) AS rank FROM c QUALIFY rank <= 20),
+t AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS w FROM documents),
+p AS (SELECT id, neighbour, rank, cosine, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS n, len(y.w) AS m FROM k JOIN t x ON x.doc_id = id JOIN t y ON y.doc_id = neighbour),
+s AS (SELECT id, neighbour, rank, cosine, CASE WHEN n = 0 OR m = 0 THEN 0.0 ELSE i / (n + m - i) END AS title, CASE WHEN abs(neighbour - id) <= 48 * 60 THEN 1.0 WHEN abs(neighbour - id) <= 168 * 60 THEN 0.6 ELSE 0.0 END AS date FROM p),
+d AS (SELECT *, greatest(0, least(1, 0.75 * cosine + 0.15 * title + 0.10 * date)) AS composite, cosine >= 0.965 OR (cosine >= 0.935 AND title >= 0.30) AS auto, cosine >= 0.89 AND cosine < 0.935 AS gray FROM s)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest entries of each, with title overlap, date consistency, composite and flags."""
+    near = dedup.nearest(_vectors(spark, sf_dir)).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "cosine", "rank")
     w = _titles(spark, sf_dir).select("id", text.tokens(F.col("title")).alias("w"))
     p = near.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
     at = lambda c: F.timestamp_micros(F.col(c) * 60_000_000)
     p = p.withColumn("title", text.set_jaccard(F.col("wa"), F.col("wb"))).withColumn("date", timefn.date_consistency(at("a"), at("b")))
-    return dedup.decisions(p).select("a", "b", F.round("composite", 6).alias("composite"), "auto", "gray")
+    return dedup.decisions(p)
+
+
+@query("semantic_decisions", f"WITH {SCORED_SQL} SELECT id, neighbour, rank::INT AS rank, round(composite, 6) AS composite, auto, gray FROM d")
+def semantic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "rank", F.round("composite", 6).alias("composite"), "auto", "gray")
+
+
+@query("semantic_choice", f"""
+WITH {SCORED_SQL}, o AS (SELECT id, min(rank) FILTER (cosine >= 0.5) AS first_passing, arg_max(rank, (round(composite, 9), -rank)) AS best FROM d GROUP BY id)
+SELECT o.id, coalesce(x.neighbour, y.neighbour) AS chosen, x.neighbour IS NOT NULL AS merged, round(coalesce(x.composite, y.composite), 6) AS composite
+FROM o LEFT JOIN d x ON x.id = o.id AND x.rank = first_passing JOIN d y ON y.id = o.id AND y.rank = best
+""")
+def semantic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the nearest entries the first that passes (here from a cosine of 0.5, which these tables reach), else the one
+    of the best composite, the nearer of equal ones."""
+    d = _scored(spark, sf_dir)
+    chosen = dedup.choice(d, F.col("cosine") >= 0.5)
+    return chosen.select(F.col("a").alias("id"), F.col("b").alias("chosen"), "merged", F.round("composite", 6).alias("composite"))
 
 
 @query("vector_validation", "SELECT label, count(*) FILTER (len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))) AS valid, count(*) AS total FROM embeddings GROUP BY label")
@@ -98,6 +116,14 @@ def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label").agg(F.count_if(scoring.valid_vector(F.col("embedding"), 64)).alias("valid"), F.count("*").alias("total"))
 
 
+@query("vector_dimensions", "SELECT vec_id, vec_id % 7 <> 0 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AS valid FROM embeddings")
+def vector_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the model's 4,096 dimensions, here made of 64 copies; some lack one."""
+    long = F.flatten(F.array_repeat("embedding", embed.DIMENSIONS // 64))
+    v = F.when(F.col("vec_id") % 7 == 0, F.slice(long, 1, embed.DIMENSIONS - 1)).otherwise(long)
+    return table(spark, sf_dir, "embeddings").select("vec_id", scoring.valid_vector(v, embed.DIMENSIONS).alias("valid"))
+
+
 @query("novelty_gating", """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT * FROM v WHERE vec_id % 5 = 0), o AS (SELECT * FROM v WHERE vec_id % 5 <> 0)
 SELECT n.vec_id AS id, round(max(list_inner_product(n.e, o.e) / (sqrt(list_inner_product(n.e, n.e)) * sqrt(list_inner_product(o.e, o.e)))), 6) AS recent_max_cosine
@@ -106,10 +132,7 @@ FROM n JOIN o ON n.label = o.label GROUP BY 1
 def novelty_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A proposal, not a stage yet: the largest cosine against recent entries of the same collection."""
     v = _vectors(spark, sf_dir)
-    new = v.filter("id % 5 = 0").select("id", "block", F.col("vector").alias("n"))
-    old = v.filter("id % 5 <> 0").select("block", F.col("vector").alias("o"))
-    best = F.max(scoring.cosine(F.col("n"), F.col("o")))
-    return new.join(old, "block").groupBy("id").agg(F.round(best, 6).alias("recent_max_cosine"))
+    return dedup.nearest(v.filter("id % 5 = 0"), 1, v.filter("id % 5 <> 0")).select("id", F.round("cosine", 6).alias("recent_max_cosine"))
 
 
 @query("topic_rules", f"""
@@ -126,18 +149,18 @@ def topic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_dedup")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = live(m.articles(spark, sf_dir))
+    a = live(m.article_rows(spark, sf_dir))
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), "url")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
     return dedup.greedy_stories(a.join(p, "article_id", "left").join(v, "article_id", "left"))
 
 
 @query("connected_components", """
-WITH RECURSIVE k AS (SELECT doc_id, [source || ':' || (doc_id % 97)::VARCHAR, 'c' || (n_chars)::VARCHAR] AS ks FROM documents WHERE doc_id < 400),
+WITH RECURSIVE k AS (SELECT doc_id, [source || ':' || (doc_id % 97)::VARCHAR, 'c' || (n_chars)::VARCHAR] AS ks FROM documents),
 u AS (SELECT doc_id, unnest(ks) AS key FROM k), e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y USING (key)),
 r(id, c) AS (SELECT doc_id, doc_id FROM k UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
 SELECT id, min(c) AS component FROM r GROUP BY id
-""".replace(" WHERE doc_id < 400", ""))
+""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     rows = d.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(":"), (F.col("doc_id") % 97).cast("string")).alias("k1"), F.concat(F.lit("c"), F.col("n_chars").cast("string")).alias("k2"))
@@ -216,7 +239,7 @@ FROM a FULL JOIN s ON a.k = s.k FULL JOIN e ON coalesce(a.k, s.k) = e.k
 def collection_stats_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three counts by collection: a union and one sum, one shuffle, where full outer joins would take two more."""
     n = lambda c: [F.lit(int(c == x)).cast("long").alias(x) for x in ("articles", "stories", "embeddings")]
-    a = live(m.raw_articles(spark, sf_dir)).select("collection", *n("articles"))
+    a = live(m.article_rows(spark, sf_dir)).select("collection", *n("articles"))
     s = m.stories(spark, sf_dir).select("collection", *n("stories"))
     k = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr", "und")]), (F.col("label") % 5 + 1).cast("int"))
     e = table(spark, sf_dir, "embeddings").select(k.alias("collection"), *n("embeddings"))
@@ -228,7 +251,7 @@ def collection_stats_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS by_collection, coalesce(b.n, 0) AS by_source FROM a FULL JOIN b ON a.k = b.k
 """))
 def collection_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = live(m.raw_articles(spark, sf_dir))
+    r = live(m.article_rows(spark, sf_dir))
     a = r.filter("source < 'src2'").groupBy(F.col("collection").alias("key")).agg(F.count("*").alias("by_collection"))
     b = r.groupBy(F.col("source").alias("key")).agg(F.count("*").alias("by_source"))
     return a.join(b, "key", "full_outer").select("key", F.coalesce("by_collection", F.lit(0)).alias("by_collection"), F.coalesce("by_source", F.lit(0)).alias("by_source"))
@@ -240,7 +263,7 @@ SELECT (SELECT count(*) FROM raw) AS raw_total, (SELECT count(*) FROM live) AS l
        (SELECT count(*) FROM live WHERE article_id IN (SELECT vec_id FROM embeddings) AND article_id % 3 = 0) AS pending_dedup
 """))
 def pipeline_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = m.raw_articles(spark, sf_dir).select("article_id", "deleted_at")
+    r = m.article_rows(spark, sf_dir).select("article_id", "deleted_at")
     have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id")).distinct().withColumn("has", F.lit(True))
     j, is_live = r.join(have, "article_id", "left"), F.col("deleted_at").isNull()
     return j.agg(F.count("*").alias("raw_total"), F.count_if(is_live).alias("live_total"), F.count_if(is_live & F.col("has").isNull()).alias("pending_embed"), F.count_if(is_live & F.col("has").isNotNull() & (F.col("article_id") % 3 == 0)).alias("pending_dedup"))
@@ -249,7 +272,7 @@ def pipeline_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("collection_ranges", with_model(f"SELECT collection, {stamp_sql('min(coalesce(published_at, created_at))')} AS first_at, {stamp_sql('max(coalesce(published_at, created_at))')} AS last_at, count(*) AS n FROM live GROUP BY 1"))
 def collection_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.coalesce("published_at", "created_at")
-    g = live(m.raw_articles(spark, sf_dir)).groupBy("collection").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"))
+    g = live(m.article_rows(spark, sf_dir)).groupBy("collection").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"))
     return g.select("collection", stamp(F.col("a")).alias("first_at"), stamp(F.col("b")).alias("last_at"), "n")
 
 
@@ -273,7 +296,7 @@ SELECT (SELECT count(*) FROM live) AS articles, (SELECT count(*) FROM stories) A
        (SELECT {stamp_sql('max(created_at)')} FROM live) AS last_article, (SELECT {stamp_sql('max(last_seen_at)')} FROM stories) AS last_story
 """))
 def system_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = live(m.raw_articles(spark, sf_dir)).agg(F.count("*").alias("articles"), stamp(F.max("created_at")).alias("last_article"))
+    a = live(m.article_rows(spark, sf_dir)).agg(F.count("*").alias("articles"), stamp(F.max("created_at")).alias("last_article"))
     s = m.stories(spark, sf_dir).agg(F.count("*").alias("stories"), stamp(F.max("last_seen_at")).alias("last_story"))
     i = m.members(spark, sf_dir).agg(F.count("*").alias("story_items"))
     e = m.events(spark, sf_dir).agg(F.count("*").alias("events"))
@@ -299,17 +322,17 @@ def story_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("story_detail", with_model("""
 SELECT s.story_id, s.canonical_title, m.article_id, m.source, m.match_type, r.title AS representative_title
-FROM stories s JOIN members m USING (story_id) LEFT JOIN live r ON r.article_id = s.story_id AND r.source <> 'src3' WHERE s.story_id % 100 = 2
+FROM stories s JOIN members m USING (story_id) LEFT JOIN live r ON r.article_id = s.story_id AND r.source <> 'src3'
 """))
 def story_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = m.stories(spark, sf_dir).filter("story_id % 100 = 2").select("story_id", "canonical_title")
-    r = live(m.raw_articles(spark, sf_dir)).filter("source <> 'src3'").select(F.col("article_id").alias("story_id"), F.col("title").alias("representative_title"))
+    s = m.stories(spark, sf_dir).select("story_id", "canonical_title")
+    r = live(m.article_rows(spark, sf_dir)).filter("source <> 'src3'").select(F.col("article_id").alias("story_id"), F.col("title").alias("representative_title"))
     return s.join(m.members(spark, sf_dir).select("story_id", "article_id", "source", "match_type"), "story_id").join(r, "story_id", "left").select("story_id", "canonical_title", "article_id", "source", "match_type", "representative_title")
 
 
 @query("article_list", with_model("SELECT article_id, source, title FROM live WHERE collection = 'en' AND created_at >= TIMESTAMP '2024-01-01 01:00:00' ORDER BY created_at DESC, article_id DESC LIMIT 100"))
 def article_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = live(m.raw_articles(spark, sf_dir)).filter((F.col("collection") == "en") & timefn.in_window(F.col("created_at"), "2024-01-01 01:00:00", None))
+    a = live(m.article_rows(spark, sf_dir)).filter((F.col("collection") == "en") & timefn.in_window(F.col("created_at"), "2024-01-01 01:00:00", None))
     return a.orderBy(F.desc("created_at"), F.desc("article_id")).limit(100).select("article_id", "source", "title")
 
 
@@ -332,11 +355,11 @@ def latest_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("translated_feed", with_model("""
 , t AS (SELECT source_id, translated_text FROM tr WHERE target_lang = 'assistant' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY result_id DESC) = 1)
-SELECT article_id, coalesce(substring(translated_text, 1, 40), substring(title, 1, 40)) AS shown, translated_text IS NOT NULL AS translated FROM live LEFT JOIN t ON source_id = article_id WHERE article_id < 200
+SELECT article_id, coalesce(substring(translated_text, 1, 40), substring(title, 1, 40)) AS shown, translated_text IS NOT NULL AS translated FROM live LEFT JOIN t ON source_id = article_id
 """))
 def translated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = mutations.latest(m.translations(spark, sf_dir).filter("target_lang = 'assistant'"), ["source_id"], [F.desc("result_id")])
-    a = live(m.raw_articles(spark, sf_dir)).filter("article_id < 200")
+    a = live(m.article_rows(spark, sf_dir))
     j = a.join(t.select(F.col("source_id").alias("article_id"), "translated_text"), "article_id", "left")
     return j.select("article_id", F.coalesce(F.substring("translated_text", 1, 40), F.substring("title", 1, 40)).alias("shown"), F.col("translated_text").isNotNull().alias("translated"))
 
@@ -348,13 +371,14 @@ FROM tr t LEFT JOIN stories s ON t.source_type = 'article_title' AND s.story_id
 def translation_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = m.translations(spark, sf_dir)
     s = m.stories(spark, sf_dir).select(F.col("story_id").alias("id"), F.col("story_id").alias("linked_id"), F.lit("article_title").alias("source_type"))
-    a = live(m.raw_articles(spark, sf_dir)).select(F.col("article_id").alias("id"), F.col("article_id").alias("linked_id"), F.lit("article_text").alias("source_type"))
+    a = live(m.article_rows(spark, sf_dir)).select(F.col("article_id").alias("id"), F.col("article_id").alias("linked_id"), F.lit("article_text").alias("source_type"))
     return t.join(s.unionByName(a).withColumnRenamed("id", "source_id"), ["source_id", "source_type"], "left").select("source_id", "result_id", "source_type", F.coalesce("linked_id", F.lit(-1)).cast("long").alias("linked_id"))
 
 
-@query("translation_targets", with_model("SELECT source_id, result_id FROM tr WHERE source_id = 3 OR source_id IN (SELECT article_id FROM members WHERE story_id % 10 = 1)"))
+@query("translation_targets", with_model("SELECT source_id, result_id FROM tr WHERE source_id = 3 OR source_id IN (SELECT article_id FROM members WHERE match_type = 'seed')"))
 def translation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = m.members(spark, sf_dir).filter("story_id % 10 = 1").select(F.col("article_id").alias("source_id")).unionByName(spark.range(3, 4).select(F.col("id").alias("source_id"))).distinct()
+    """Of a story given by its id, and of all articles that opened one."""
+    ids = m.members(spark, sf_dir).filter("match_type = 'seed'").select(F.col("article_id").alias("source_id")).unionByName(spark.range(3, 4).select(F.col("id").alias("source_id"))).distinct()
     return m.translations(spark, sf_dir).join(ids, "source_id", "left_semi").select("source_id", "result_id")
 
 
@@ -371,12 +395,12 @@ def translation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pending_embed", with_model("SELECT article_id FROM live WHERE article_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY article_id LIMIT 64"))
 def pending_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.lit("model").alias("model_name"), F.lit("1").alias("model_version"))
-    return embed.pending(live(m.raw_articles(spark, sf_dir)).select("article_id"), e, "model", "1").orderBy("article_id").limit(64)
+    return embed.pending(live(m.article_rows(spark, sf_dir)).select("article_id"), e, "model", "1").orderBy("article_id").limit(64)
 
 
 @query("pending_dedup", with_model("SELECT article_id FROM live WHERE article_id IN (SELECT vec_id FROM embeddings) AND article_id NOT IN (SELECT article_id FROM members WHERE article_id % 2 = 0)"))
 def pending_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = live(m.raw_articles(spark, sf_dir)).select("article_id")
+    a = live(m.article_rows(spark, sf_dir)).select("article_id")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"))
     placed = m.members(spark, sf_dir).filter("article_id % 2 = 0").select("article_id")
     return a.join(e, "article_id", "left_semi").join(placed, "article_id", "left_anti")
@@ -405,14 +429,14 @@ def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("soft_delete_before", with_model("SELECT collection, count(*) FILTER (deleted_at IS NOT NULL OR created_at < TIMESTAMP '2024-01-01 05:00:00') AS deleted, count(*) FILTER (deleted_at IS NULL AND created_at < TIMESTAMP '2024-01-01 05:00:00') AS changed FROM raw GROUP BY 1"))
 def soft_delete_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = m.raw_articles(spark, sf_dir).select("collection", "created_at", "deleted_at").withColumn("was", F.col("deleted_at"))
+    r = m.article_rows(spark, sf_dir).select("collection", "created_at", "deleted_at").withColumn("was", F.col("deleted_at"))
     after = mutations.soft_delete(r, F.col("created_at") < F.lit("2024-01-01 05:00:00").cast("timestamp"), AS_OF)
     return after.groupBy("collection").agg(F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"), F.count_if(F.col("deleted_at").isNotNull() & F.col("was").isNull()).alias("changed"))
 
 
 @query("restore_articles", with_model("SELECT count(*) FILTER (deleted_at IS NOT NULL) AS before, count(*) FILTER (deleted_at IS NOT NULL AND collection <> 'en') AS after FROM raw"))
 def restore_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = m.raw_articles(spark, sf_dir).select("collection", "deleted_at").withColumn("was", F.col("deleted_at"))
+    r = m.article_rows(spark, sf_dir).select("collection", "deleted_at").withColumn("was", F.col("deleted_at"))
     after = mutations.restore(r, F.col("collection") == "en")
     return after.agg(F.count("was").alias("before"), F.count("deleted_at").alias("after"))
 
@@ -424,7 +448,7 @@ def update_article_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.update_article(a, F.col("article_id") % 10 == 0, title=title).select("article_id", "title_hash", "content_hash")
 
 
-@query("story_spans", with_model(f"SELECT story_id, {stamp_sql('least(min(first_seen_at), min(created_at))')} AS first_seen, {stamp_sql('greatest(max(last_seen_at), max(created_at))')} AS last_seen FROM stories JOIN (SELECT story_id, created_at FROM members) USING (story_id) GROUP BY 1"))
+@query("story_spans", with_model(f"SELECT story_id, {stamp_sql('least(min(first_seen_at), min(matched_at))')} AS first_seen, {stamp_sql('greatest(max(last_seen_at), max(matched_at))')} AS last_seen FROM stories JOIN (SELECT story_id, matched_at FROM members) USING (story_id) GROUP BY 1"))
 def story_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = m.members(spark, sf_dir).select("story_id", F.col("created_at").alias("seen_at"))
     s = mutations.widened(m.stories(spark, sf_dir).select("story_id", "first_seen_at", "last_seen_at"), seen)
@@ -465,6 +489,21 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(o, "l_orderkey").join(c, "o_custkey").join(n, "c_nationkey").groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("r").cast("double").alias("revenue"))
 
 
+@query("event_star", with_model(f"""
+SELECT s.story_id, s.canonical_title, a.article_id, a.source, coalesce(r.title, s.canonical_title) AS shown, e.decision, {stamp_sql('e.created_at')} AS at
+FROM ev e JOIN stories s ON s.story_id = e.chosen_story_id JOIN live a ON a.article_id = e.article_id LEFT JOIN live r ON r.article_id = s.representative_article_id AND r.source <> 'src2'
+WHERE s.status = 'active'
+"""))
+def event_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their story, their article, and the story's representative where there is one."""
+    rows = live(m.article_rows(spark, sf_dir))
+    e = m.events(spark, sf_dir).select("article_id", F.col("chosen_story_id").alias("story_id"), "decision", F.col("created_at").alias("at"))
+    s = m.stories(spark, sf_dir).filter("status = 'active'").select("story_id", "canonical_title", "representative_article_id")
+    r = rows.filter("source <> 'src2'").select(F.col("article_id").alias("representative_article_id"), F.col("title").alias("r"))
+    j = e.join(s, "story_id").join(rows.select("article_id", "source"), "article_id").join(r, "representative_article_id", "left")
+    return j.select("story_id", "canonical_title", "article_id", "source", F.coalesce("r", "canonical_title").alias("shown"), "decision", stamp(F.col("at")).alias("at"))
+
+
 @query("session_lookup", "SELECT e.event_id, e.user_id, c.c_name FROM events e JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'click'")
 def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_type = 'click'").select("event_id", "user_id")
@@ -477,9 +516,9 @@ def event_day_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("match_details_json", "SELECT event_id, props ->> '$.k' AS detail FROM events WHERE event_id % 10 = 0 AND props IS NOT NULL")
+@query("match_details_json", "SELECT event_id, props ->> '$.k' AS detail FROM events WHERE props IS NOT NULL")
 def match_details_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 10 = 0 AND props IS NOT NULL")
+    e = table(spark, sf_dir, "events").filter("props IS NOT NULL")
     return e.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "string").alias("detail"))
 
 
@@ -501,5 +540,5 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = mm.join(s.select("story_id"), "story_id", "left_anti").agg(F.count("*").alias("orphan_members"))
     b = mm.agg((F.count("*") - F.countDistinct("article_id")).alias("repeated_members"))
     c = s.agg(F.count_if(F.col("last_seen_at") < F.col("first_seen_at")).alias("bad_spans"))
-    d = m.articles(spark, sf_dir).agg(F.count_if(F.char_length("content_hash") != 64).alias("bad_hashes"))
+    d = m.article_rows(spark, sf_dir).agg(F.count_if(F.char_length("content_hash") != 64).alias("bad_hashes"))
     return a.join(b).join(c).join(d)  # single rows

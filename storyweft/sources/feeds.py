@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.functions.text import strip_tags
+from storyweft.functions.text import plain_text
 from storyweft.functions.timefn import parse_any
 
 RSS = "title string, link string, description string, pubDate string, guid string"
@@ -13,7 +13,7 @@ ATOM = "title string, link array<struct<_href:string,_rel:string>>, summary stri
 
 
 def _summary(x: Column, limit: int = 300) -> Column:
-    return F.substring(F.trim(strip_tags(F.coalesce(x, F.lit("")))), 1, limit)
+    return F.substring(F.trim(plain_text(F.coalesce(x, F.lit("")))), 1, limit)
 
 
 def _items(rows: DataFrame, cutoff: str | None) -> DataFrame:
@@ -38,6 +38,32 @@ def read_atom(spark: SparkSession, path: str, cutoff: str | None = None, categor
     return _items(x.select(F.trim("title").alias("title"), link.alias("link"), summary.alias("summary"), parse_any(F.coalesce("published", "updated")).alias("published_at")), cutoff)
 
 
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """Paper feeds: the first three subjects stand before the summary; no cutoff."""
+    return read_atom(spark, path, categories=3)
+
+
+VIDEOS = "title string, `yt:videoId` string, published string, link struct<_href:string>, `media:group` struct<`media:title`:string,`media:description`:string,`media:thumbnail`:struct<_url:string>>"
+
+
+def read_videos(spark: SparkSession, path: str, cutoff: str | None = None) -> DataFrame:
+    """Video feeds: summary and picture come from the media namespace; without a link the video's id gives one."""
+    x = spark.read.format("xml").option("rowTag", "entry").schema(VIDEOS).load(path)
+    link = F.coalesce(F.col("link._href"), F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("`yt:videoId`")))
+    group = F.col("`media:group`")
+    rows = x.select(
+        F.trim(F.coalesce("title", group["media:title"])).alias("title"), F.trim(link).alias("link"), _summary(group["media:description"]).alias("summary"), parse_any(F.col("published")).alias("published_at"),
+        group["media:thumbnail"]["_url"].alias("image_url"), F.col("`yt:videoId`").alias("video_id"),
+    )
+    return _items(rows, cutoff)
+
+
+def first_ids(lines: DataFrame, k: int) -> DataFrame:
+    """id, place of the first k ids of a JSON list of ids (column value, one list)."""
+    ids = lines.select(F.posexplode(F.slice(F.from_json("value", "array<long>"), 1, k)).alias("place", "id"))
+    return ids.select("id", (F.col("place") + 1).alias("place"))
+
+
 LISTING = "data struct<children:array<struct<data:struct<title:string,url:string,permalink:string,selftext:string,created_utc:double,score:long,subreddit:string>>>>"
 
 
@@ -49,9 +75,12 @@ def read_listing(lines: DataFrame, cutoff_epoch: float, host: str, cap: int = 25
     return top_per(posts, "subreddit", [F.desc("created_utc"), F.asc("link")], cap)
 
 
-def read_scored(lines: DataFrame, keywords: list[str]) -> DataFrame:
-    """Scored link items (column value, JSON a row): keyword filter, one a URL (best score), by score."""
+def read_scored(lines: DataFrame, keywords: list[str], ids: DataFrame | None = None) -> DataFrame:
+    """Scored link items (column value, JSON a row): those of the ids wanted, keyword filter, one a URL (best score), by
+    score."""
     i = lines.select(F.from_json("value", "id long, title string, url string, score long, time long, descendants long").alias("i")).select("i.*")
+    if ids is not None:
+        i = i.join(ids.select("id"), "id", "left_semi")
     i = i.filter(has_keyword(F.col("title"), keywords))
     best = Window.partitionBy("url").orderBy(F.desc("score"), "id")
     return i.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k").orderBy(F.desc("score"), "id")
@@ -66,6 +95,16 @@ def has_keyword(x: Column, keywords: list[str]) -> Column:
     return out
 
 
+def combined(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several sources under one another, in order of the sources (column part); columns that a source lacks are
+    null."""
+    out = None
+    for i, p in enumerate(parts):
+        own = p.withColumn("part", F.lit(i))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
 def first_by_url(items: DataFrame, order: str, link: str = "link") -> DataFrame:
     """The first item of each URL, final slashes aside."""
     w = Window.partitionBy(F.regexp_replace(link, "/+$", "")).orderBy(order)

@@ -84,10 +84,30 @@ def ingest(ledger: DataFrame, items: DataFrame, fetched_at: str) -> DataFrame:
     return append_new(ledger, ledger_rows(items, fetched_at), ["source", "source_item_id", "payload_hash"], "path")
 
 
-def run_record(source: str, items: DataFrame, fresh: DataFrame, error: str | None = None) -> dict:
-    """Bookkeeping of one run; an error's text is cut at 4000 bytes."""
+RUNS = "run_id long, source string, status string, started_at timestamp, finished_at timestamp, items_fetched long, items_inserted long, error_message string"
+
+
+def started(spark: SparkSession, run_id: int, source: str, at: str) -> DataFrame:
+    """A run's row while it goes on."""
+    return spark.createDataFrame([(run_id, source, at)], "run_id long, source string, at string").select(
+        "run_id", "source", F.lit("running").alias("status"), F.col("at").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(0).cast("long").alias("items_fetched"),
+        F.lit(0).cast("long").alias("items_inserted"), F.lit(None).cast("string").alias("error_message"),
+    )
+
+
+def finished(run: DataFrame, items: DataFrame, fresh: DataFrame, at: str, error: str | None = None) -> DataFrame:
+    """The run's row at its end: completed, or failed with the error cut at 4000 bytes and nothing inserted."""
     cut = None if error is None else error.encode()[:4000].decode("utf-8", "ignore")
-    return {"source": source, "status": "failed" if error else "completed", "items_fetched": items.count(), "items_inserted": 0 if error else fresh.count(), "error_message": cut}
+    n = items.agg(F.count("*").alias("n")).join(fresh.agg(F.count("*").alias("k")))  # single rows
+    return run.drop("items_fetched", "items_inserted").join(n).select(
+        "run_id", "source", F.lit("failed" if error is not None else "completed").alias("status"), "started_at", F.lit(at).cast("timestamp").alias("finished_at"), F.col("n").alias("items_fetched"),
+        (F.col("k") * (0 if error is not None else 1)).alias("items_inserted"), F.lit(cut).cast("string").alias("error_message"),
+    )
+
+
+def run_states(log: DataFrame) -> DataFrame:
+    """Each run's last state. log: rows of started() and finished() in any order, appended as they come."""
+    return latest(log, ["run_id"], [F.desc_nulls_last("finished_at")])
 
 
 def checkpoints(log: DataFrame) -> DataFrame:

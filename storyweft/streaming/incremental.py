@@ -19,18 +19,21 @@ def ledger_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_once(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A stage that appends each key's first row to the Parquet table at path, once."""
+    """A stage that appends each key's first row to the Parquet table at path, once. The table has one writer at a time:
+    what is there is read and added to under its lock."""
     from storyweft.operators.mutations import append_new
+    from storyweft.sources.sinks import one_writer
 
     def stage(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            have = spark.read.schema(batch.schema).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = batch.limit(0)
-        append_new(have, batch, keys, order).write.mode("append").parquet(path)
+        with one_writer(spark, path):
+            try:
+                have = spark.read.schema(batch.schema).parquet(path)
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                have = batch.limit(0)
+            append_new(have, batch, keys, order).write.mode("append").parquet(path)
 
     return stage
 

@@ -18,12 +18,12 @@ def one(spark, column, **values):
 
 
 def test_url_golden(spark):
-    raw = "https://Example.COM:443/news/path/?utm_source=abc&fbclid=123&b=2&a=1"
-    want = "https://example.com/news/path?a=1&b=2"
+    raw = "http://Shop.Tideline.test:80//harbour/guide/?UTM_term=z&gclid=9&z=last&c=3&c=1#map"
+    want = "http://shop.tideline.test/harbour/guide?c=1&c=3&z=last"
     assert one(spark, url.canonical_url(F.col("u")), u=raw) == want
-    assert url.canonical_of(raw) == (want, "example.com")
-    assert one(spark, url.canonical_url(F.col("u")), u="not a url") == ""
-    assert url.canonical_of("not a url") == ("", "")
+    assert url.canonical_of(raw) == (want, "shop.tideline.test")
+    for bad in ("harbour guide", "//no.scheme/x", "mailto:", ""):
+        assert one(spark, url.canonical_url(F.col("u")), u=bad) == "" and url.canonical_of(bad) == ("", "")
     assert url.canonical_of(None) == ("", "")
 
 
@@ -37,10 +37,12 @@ def test_url_escapes_are_escaped_again():
 
 
 def test_jaccards(spark):
-    a, b = F.lit("Acme launches orbital drone"), F.lit("Acme launches drone platform")
-    assert one(spark, text.token_jaccard(a, b)) == pytest.approx(3 / 5)
-    assert 0 < one(spark, text.trigram_jaccard(F.lit("OpenAI releases model"), F.lit("OpenAI released model"))) < 1
-    assert one(spark, text.token_jaccard(F.lit(""), b)) == 0
+    a, b = F.lit("Ferry to the old harbour"), F.lit("old ferry harbour closed")
+    assert one(spark, text.token_jaccard(a, b)) == pytest.approx(3 / 6)
+    x, y = "tide table", "tide tables"
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    assert one(spark, text.trigram_jaccard(F.lit(x), F.lit(y))) == pytest.approx(len(grams(x) & grams(y)) / len(grams(x) | grams(y)))
+    assert one(spark, text.token_jaccard(F.lit(""), b)) == 0 and one(spark, text.trigram_jaccard(F.lit("ab"), F.lit("AB "))) == 1
 
 
 def test_normalize(spark):
@@ -79,12 +81,13 @@ def test_thresholds(spark):
 
 def test_language(spark):
     iso = lambda x: one(spark, lang.iso_code(F.lit(x)))
-    assert [iso(x) for x in ("EN-us", "zh_Hans", "english")] == ["en", "zh", ""]
+    assert [iso(x) for x in ("Pt_BR", " sr-Latn", "suomi", "d3", "")] == ["pt", "sr", "", "", ""]
     tag = lambda x: one(spark, lang.language_tag(F.lit(x)))
-    assert [tag(x) for x in (" EN_us ", "zh-Hans", "en--US", "en_123")] == ["en-us", "zh-hans", "en-us", ""]
+    assert [tag(x) for x in ("\tPt_BR", "sr_Latn-RS", "-nb--NO-", "es-419", "_")] == ["pt-br", "sr-latn-rs", "nb-no", "", ""]
     found = lambda x: one(spark, lang.detect_language(F.lit(x)))
-    assert found("The launch of the new drone was announced by the company") == "en"
-    assert found("ok") == "und"
+    assert found("The ferry was late for the tide, and that is why it is at the pier") == "en"
+    assert found("Die Fähre ist mit der Flut zu spät, und sie liegt nicht auf See") == "de"
+    assert found("a b c") == "und"
 
 
 def test_language_of_the_whole_text(spark):
@@ -95,10 +98,11 @@ def test_language_of_the_whole_text(spark):
 
 
 def test_clean_and_truncate(spark):
-    raw = "  First   paragraph \n\n Second\tparagraph \r\n\r\nThird line "
-    assert one(spark, text.clean_text(F.lit(raw))) == "First paragraph\n\nSecond paragraph\n\nThird line"
-    assert one(spark, text.truncate_text(F.lit("abcdefghijklmnopqrstuvwxyz"), 10)) == "abcdefghi…"
-    assert one(spark, text.truncate_text(F.lit("short"), 10)) == "short"
+    raw = "\r\n high  tide\r\n\t\r\nat\u00a0noon \n\n\n  low tide\n"
+    assert one(spark, text.clean_text(F.lit(raw))) == "high tide\n\nat noon\n\nlow tide"
+    cut = lambda t, n: one(spark, text.truncate_text(F.lit(t), n))
+    assert cut("harbour wall", 9) == "harbour…" and cut("harbour", 7) == "harbour" and cut(" pier ", 4) == "pier" and cut("ééééé", 3) == "éé…"
+    assert one(spark, text.truncated(F.lit("harbour"), 6)) is True
     assert one(spark, text.embedding_input(F.lit(" "), F.lit("b"))) == "b"
 
 
@@ -107,6 +111,11 @@ def test_canonical_json():
     assert canonical_json("{} {}") is None
 
 
+def test_unescape(spark):
+    assert one(spark, text.plain_text(F.col("t")), t="<p>Fish &amp; chips &lt;3 &#39;x&#39;</p>") == "Fish & chips <3 'x'"
+    assert one(spark, text.plain_text(F.col("t")), t=None) is None
+
+
 def test_readable():
     assert readable_of("<html><nav>menu</nav><p>One &amp; two</p><script>x</script><div>three</div></html>") == "One & two\n\nthree"
     assert readable_of(None) is None
@@ -115,11 +124,16 @@ def test_readable():
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(max_size=12), min_size=1, max_size=20))
 def test_fnv_forms_agree(spark, words):
-    from storyweft.functions.hashing import _fnv
-
     words = [w.encode("utf-8", "ignore").decode() for w in words]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", hashing.fnv1a64(F.col("w")).alias("h")).collect()
-    assert {r.w: r.h & (1 << 64) - 1 for r in got} == {w: _fnv(w.encode()) for w in words}
+    def plain(word):
+        h = hashing.FNV_BASIS
+        for b in word.encode():
+            h = (h ^ b) * hashing.FNV_PRIME % (1 << 64)
+        return h
+
+    assert {r.w: r.h & (1 << 64) - 1 for r in got} == {w: plain(w) for w in words}
+    assert hashing.fnv_words([w.encode() for w in words]).tolist() == [plain(w) for w in words]
 
 
 def test_arguments(spark):

@@ -517,3 +517,129 @@ def test_process_over_item_fixture(spark):
     assert (got[1].normalized_title, got[1].canonical_url, got[1].normalized_language, got[1].collection) == ("hello world", "https://e.com/x", "en", "c")
     assert (got[2].normalized_title, got[2].canonical_url, got[2].collection, got[2].normalized_language) == ("i2", "https://e.com/y", "world_news", "und")
     assert pending(raw, normalize(raw).filter("raw_arrival_id = 1")).count() == 1
+
+
+def test_video_and_paper_feeds(spark, tmp_path):
+    (tmp_path / "v.xml").write_text(
+        '<feed xmlns:yt="y" xmlns:media="m"><entry><title> Clip &amp; more </title><yt:videoId>abc</yt:videoId><published>2024-03-05T10:00:00+00:00</published>'
+        '<media:group><media:title>x</media:title><media:description>All &lt;b&gt;about&lt;/b&gt; it</media:description><media:thumbnail url="http://p/1.jpg"/></media:group></entry>'
+        "<entry><title>old</title><yt:videoId>d</yt:videoId><published>2023-03-05T10:00:00+00:00</published></entry></feed>"
+    )
+    r = feeds.read_videos(spark, str(tmp_path / "v.xml"), "2024-01-01 00:00:00").collect()
+    assert [(x.title, x.link, x.summary, x.image_url, x.video_id) for x in r] == [("Clip & more", "https://www.youtube.com/watch?v=abc", "All about it", "http://p/1.jpg", "abc")]
+    (tmp_path / "a.xml").write_text('<feed><entry><title>P</title><id>http://p</id><summary>s</summary><published>2020-01-01T00:00:00Z</published>' + "".join(f'<category term="c{i}"/>' for i in range(5)) + "</entry></feed>")
+    assert feeds.read_papers(spark, str(tmp_path / "a.xml")).first().summary == "[c0, c1, c2] s"
+    ids = feeds.first_ids(spark.createDataFrame([("[5, 3, 9, 4]",)], "value string"), 3)
+    assert {(x.id, x.place) for x in ids.collect()} == {(5, 1), (3, 2), (9, 3)}
+    scored = spark.createDataFrame([(json.dumps({"id": i, "title": "AI", "url": f"u{i}", "score": i}),) for i in (3, 4, 9)], "value string")
+    assert [x.id for x in feeds.read_scored(scored, ["ai"], ids).collect()] == [9, 3]
+
+
+def test_page_previews():
+    from storyweft.sources.pages import MAX_BYTES, preview_of
+
+    assert preview_of("one\r\n two\n\n three", "Text/Plain; charset=utf-8") == "one\n\ntwo\n\nthree"
+    page = '<html><head><title>Head line</title><meta name="description" content=" In short. "></head><body>{}</body></html>'
+    assert preview_of(page.format("<nav>menu</nav><div>ad</div><article><p>The long story</p><p>and its end</p></article><footer>f</footer>")) == "The long story\n\nand its end"
+    assert preview_of(page.format("<article>a</article><p>nearly all the text is out here</p>")) == "a\n\nnearly all the text is out here"
+    assert preview_of(page.format("<script>x</script>")) == "In short." and preview_of("<title> Only  this </title>") == "Only this"
+    assert preview_of(None) is None and preview_of("") == ""
+    assert len(preview_of("x" * (MAX_BYTES + 5), "text/plain")) == MAX_BYTES
+
+
+def test_sinks(spark, tmp_path):
+    from storyweft.sources import sinks
+
+    df = spark.createDataFrame([(1, "a", None, "long " * 30), (2, "é\tb", 1.5, "")], "place long, name string, n double, words string")
+    assert json.loads(sinks.shown(df, "json")) == [{"place": 1, "name": "a", "n": None, "words": "long " * 30}, {"place": 2, "name": "é\tb", "n": 1.5, "words": ""}]
+    lines = sinks.shown(df.drop("words")).split("\n")
+    assert lines == ["PLACE  NAME  N", "1      a     -", "2      é b   1.5"]
+    assert [r.line for r in sinks.table_lines(df, 8).orderBy("place").collect()] == ["NAME\tN\tWORDS", "a\t-\tlong ...", "é b\t1.5\t"]
+    with pytest.raises(ValueError):
+        sinks.shown(df, "xml")
+    sinks.save(df, str(tmp_path / "t"), "json")
+    assert spark.read.json(str(tmp_path / "t")).count() == 2
+
+
+def test_one_writer(spark, tmp_path):
+    from storyweft.sources.sinks import one_writer
+
+    path = str(tmp_path / "table")
+    with one_writer(spark, path):
+        with pytest.raises(RuntimeError, match="being written"), one_writer(spark, path):
+            pass
+        batch = spark.createDataFrame([("a", 1)], "k string, n long")
+        with pytest.raises(RuntimeError):
+            incremental.append_once(path, ["k"], "n")(batch, 0)
+    incremental.append_once(path, ["k"], "n")(batch, 0)
+    incremental.append_once(path, ["k"], "n")(batch, 0)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_run_log(spark):
+    read = spark.createDataFrame([(1,), (2,)], "x int")
+    one, two, three = (items.started(spark, i, f"s{i}", "2024-01-01 00:00:00") for i in (1, 2, 3))
+    log = one.unionByName(two).unionByName(three).unionByName(items.finished(one, read, read.limit(1), "2024-01-02 00:00:00")).unionByName(items.finished(two, read, read, "2024-01-02 00:00:00", "é" * 3000))
+    got = {r.run_id: (r.status, r.items_fetched, r.items_inserted, len((r.error_message or "").encode())) for r in items.run_states(log).collect()}
+    assert got == {1: ("completed", 2, 1, 0), 2: ("failed", 2, 0, 4000), 3: ("running", 0, 0, 0)}
+
+
+def test_providers(monkeypatch):
+    asked = []
+    p = translate.Prompted(lambda system, user: asked.append((system, user)) or " hallo ")
+    assert p.translate("hello", "en", "de") == "hallo" and "English to German" in asked[0][0] and asked[0][1] == "hello"
+    assert "language of the text to xx" in p.prompt("und", "xx")
+    with pytest.raises(ValueError):
+        translate.Prompted(lambda s, u: " ").translate("a", "en", "de")
+    monkeypatch.setenv("STORYWEFT_TRANSLATOR", "Tagged")
+    r = translate.Registry()
+    r.add("tagged", translate.Tagged)
+    assert r.get() is translate.Tagged and r.names() == ["tagged"]
+    for bad in (" ", "TAGGED"):
+        with pytest.raises(ValueError):
+            r.add(bad, translate.Tagged)
+    with pytest.raises(KeyError):
+        r.get("none")
+
+
+def test_tasks_of_a_story(spark):
+    s = spark.createDataFrame([(1, "en", "T")], "story_id long, collection string, canonical_title string")
+    a = spark.createDataFrame([(5, "en", "x", " "), (6, "de", "y", "body")], "article_id long, collection string, title string, body string")
+    got = {(r.source_type, r.source_id, r.text) for r in translate.expand(s, a).collect()}
+    assert got == {("story_title", 1, "T"), ("article_title", 5, "x"), ("article_title", 6, "y"), ("article_text", 6, "body")}
+
+
+def test_story_updates(spark):
+    s = spark.createDataFrame([(1, "a", "active", "c", "http://a/", "h")], "story_id long, canonical_title string, status string, collection string, canonical_url string, url_hash string")
+    same = mutations.update_story(s, F.lit(True))
+    assert same.collect() == s.collect()
+    none = mutations.update_story(s, F.lit(True), link=F.lit("no link")).first()
+    assert (none.canonical_url, none.url_hash) == (None, None)
+    with pytest.raises(Exception, match="unknown status"):
+        mutations.update_story(s, F.lit(True), status=F.lit("lost")).collect()
+    with pytest.raises(ValueError):
+        mutations.delete_from({}, "2024-01-01")
+    t = spark.createDataFrame([(1, "x", "https://e.com/a", "2")], "article_id long, normalized_title string, canonical_url string, url_hash string")
+    r = mutations.update_article(t, F.col("article_id") == 1, link=F.lit("https://WWW.e.com:443/b/?utm_x=1")).first()
+    assert (r.canonical_url, r.source_domain) == ("https://www.e.com/b", "www.e.com") and len(r.url_hash) == 64
+
+
+def test_sessions_are_touched(spark):
+    s = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-01 08:00:00"), (3, "2024-01-01 10:00:00")], "session_id long, e string").select("session_id", F.col("e").cast("timestamp").alias("expires_at"))
+    used = spark.createDataFrame([(1,), (2,), (1,)], "session_id long")
+    got = {r.session_id: str(r.expires_at) for r in mutations.touch_sessions(s, used, "2024-01-01 09:00:00", "2 HOURS").collect()}
+    assert got == {1: "2024-01-01 11:00:00", 2: "2024-01-01 08:00:00", 3: "2024-01-01 10:00:00"}
+    assert mutations.emptied(s).count() == 0 and mutations.emptied(s).columns == s.columns
+
+
+def test_store_follows_the_documents(spark, tmp_path):
+    from storyweft.plans import adapter
+
+    def put(n):
+        rows = [(i, f"text {i}", "en", "s", 6) for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return adapter.stories(spark, str(tmp_path))
+
+    first = put(3)
+    assert first.count() == 3 and adapter.stories(spark, str(tmp_path)) is first
+    assert put(5).count() == 5
