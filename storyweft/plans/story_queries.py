@@ -21,23 +21,42 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("simhash_pairs", f"""
-WITH {SIMHASH_SQL}, d AS (SELECT doc_id, lang, simhash FROM documents JOIN sim USING (doc_id))
+WITH {SIMHASH_SQL}, d AS (SELECT min(doc_id) AS doc_id, lang, simhash FROM documents JOIN sim USING (doc_id) GROUP BY lang, simhash)
 SELECT p.doc_id AS a, q.doc_id AS b, bit_count(xor(p.simhash, q.simhash))::INT AS distance, 1 - bit_count(xor(p.simhash, q.simhash)) / 64 AS score
 FROM d p JOIN d q ON p.lang = q.lang AND p.doc_id < q.doc_id AND bit_count(xor(p.simhash, q.simhash)) <= 3
 """)
 def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _titles(spark, sf_dir).withColumn("simhash", hashing.simhash64(text.tokens(F.col("title"))))
-    return dedup.simhash_pairs(t.select("id", "block", "simhash")).withColumn("score", hashing.simhash_score(F.col("distance")))
+    """Pairs of class representatives; simhash_classes has the members."""
+    return dedup.simhash_pairs(_simhashes(spark, sf_dir)).withColumn("score", hashing.simhash_score(F.col("distance")))
+
+
+def _simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("id", "block", hashing.simhash64(text.tokens(F.col("title"))).alias("simhash"))
+
+
+@query("simhash_classes", f"WITH {SIMHASH_SQL} SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lang, simhash) AS rep FROM documents JOIN sim USING (doc_id) WHERE simhash IS NOT NULL")
+def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(_simhashes(spark, sf_dir), F.col("simhash"))
 
 
 @query("token_jaccard_pairs", f"""
-WITH t AS (SELECT doc_id, lang, list_distinct({TOKENS_SQL}) AS w FROM documents),
+WITH t AS (SELECT min(doc_id) AS doc_id, lang, w FROM (SELECT doc_id, lang, list_sort(list_distinct({TOKENS_SQL})) AS w FROM documents) GROUP BY lang, w),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS n, len(y.w) AS k FROM t x JOIN t y ON x.lang = y.lang AND x.doc_id < y.doc_id WHERE len(x.w) > 0 AND len(y.w) > 0)
 SELECT a, b, round(i / (n + k - i), 6) AS overlap FROM p WHERE i / (n + k - i) >= 0.6
 """)
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _titles(spark, sf_dir).select("id", "block", F.array_distinct(text.tokens(F.col("title"))).alias("grams"))
-    return dedup.overlap_pairs(t, 0.6).select("a", "b", F.round("overlap", 6).alias("overlap"))
+    """Pairs of class representatives; token_classes has the members."""
+    return dedup.overlap_pairs(_token_sets(spark, sf_dir), 0.6).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+def _token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("id", "block", F.array_distinct(text.tokens(F.col("title"))).alias("grams"))
+
+
+@query("token_classes", f"SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lang, w) AS rep FROM (SELECT doc_id, lang, list_sort(list_distinct({TOKENS_SQL})) AS w FROM documents) WHERE len(w) > 0")
+def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _token_sets(spark, sf_dir)
+    return dedup.classes(t, dedup.gram_key(F.col("grams")))
 
 
 @query("trigram_overlap_pairs", f"""
@@ -51,6 +70,8 @@ SELECT a, b, round(o, 6) AS overlap, round(0.8 * o + 0.2 * c, 6) AS composite FR
 def trigram_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _titles(spark, sf_dir).select("id", "block", text.trigrams(F.col("title")).alias("grams"))
     p = dedup.overlap_pairs(t, scoring.TRIGRAM_OVERLAP)
+    # The date, and so the score, differs within a class: pairs of members are the result here.
+    p = dedup.expanded(p, dedup.classes(t, dedup.gram_key(F.col("grams")))).fillna(1.0, ["overlap"])
     at = lambda c: F.timestamp_micros(F.col(c) * 60_000_000)
     p = p.filter(timefn.within_days(at("a"), at("b"), scoring.OVERLAP_DAYS))
     c = scoring.overlap_composite(F.col("overlap"), timefn.date_consistency(at("a"), at("b")))

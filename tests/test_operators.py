@@ -18,7 +18,12 @@ def test_simhash_bands_lose_nothing(spark):
     base = [rng.getrandbits(64) for _ in range(12)]
     values = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for b in base for _ in range(8)] + base[:3]
     rows = [(i, "x" if i % 5 else "y", v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)] + [(999, "x", None)]
-    got = {(r.a, r.b, r.distance) for r in dedup.simhash_pairs(spark.createDataFrame(rows, "id long, block string, simhash long")).collect()}
+    df = spark.createDataFrame(rows, "id long, block string, simhash long")
+    members = dedup.classes(df, F.col("simhash"))
+    assert all(rows[r.rep][1:] == rows[r.id][1:] and r.rep <= r.id for r in members.collect()) and members.count() == len(rows) - 1
+    pairs = dedup.simhash_pairs(df)
+    assert pairs.filter("distance = 0").count() == 0 and pairs.count() == pairs.select("a", "b").distinct().count()
+    got = {(r.a, r.b, r.distance or 0) for r in dedup.expanded(pairs, members).collect()}
     mask = (1 << 64) - 1
     want = {(p[0], q[0], d) for p in rows[:-1] for q in rows[:-1] if p[0] < q[0] and p[1] == q[1] and (d := ((p[2] ^ q[2]) & mask).bit_count()) <= 3}
     assert got == want
@@ -30,7 +35,8 @@ def test_prefix_filter_loses_nothing(spark):
     for i in range(60):
         own = set(rng.sample("abcdefghijklmnop", rng.randrange(0, 9))) if i % 3 else set(sets[-1][2]) ^ {rng.choice("abcdefgh")} if sets else {"a"}
         sets.append((i, "x", sorted(own)))
-    got = {(r.a, r.b) for r in dedup.overlap_pairs(spark.createDataFrame(sets, "id long, block string, grams array<string>"), 0.6).collect()}
+    df = spark.createDataFrame(sets, "id long, block string, grams array<string>")
+    got = {(r.a, r.b) for r in dedup.expanded(dedup.overlap_pairs(df, 0.6), dedup.classes(df, dedup.gram_key(F.col("grams")))).collect()}
     want = {(p[0], q[0]) for p in sets for q in sets if p[0] < q[0] and p[2] and q[2] and len(set(p[2]) & set(q[2])) / len(set(p[2]) | set(q[2])) >= 0.6}
     assert got == want
 
@@ -576,6 +582,12 @@ def test_one_writer(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_inline_items(spark):
+    assert items.inline_item(spark, f" {json.dumps(ITEM)}\n").select(validate.payload_errors(F.col("payload")).alias("e")).first().e == []
+    with pytest.raises(ValueError):
+        items.inline_item(spark, " \n")
+
+
 def test_run_log(spark):
     read = spark.createDataFrame([(1,), (2,)], "x int")
     one, two, three = (items.started(spark, i, f"s{i}", "2024-01-01 00:00:00") for i in (1, 2, 3))
