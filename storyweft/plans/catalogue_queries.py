@@ -161,7 +161,7 @@ def hydrated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("story_fill_in", with_model(f"""
 , s AS (SELECT *, story_id % 4 = 1 AS bare FROM stories), g AS (SELECT story_id, min(article_id) AS a, min(created_at) AS lo, max(created_at) AS hi FROM members WHERE article_id % 2 = 1 GROUP BY 1)
-SELECT s.story_id, CASE WHEN bare THEN a ELSE representative_article_id END AS representative_article_id, CASE WHEN bare AND a IS NOT NULL THEN 't' || a::VARCHAR ELSE canonical_title END AS canonical_title,
+SELECT s.story_id, coalesce(CASE WHEN bare THEN a ELSE representative_article_id END, -1) AS representative_article_id, CASE WHEN bare AND a IS NOT NULL THEN 't' || a::VARCHAR ELSE canonical_title END AS canonical_title,
        {stamp_sql('least(first_seen_at, lo)')} AS first_seen, {stamp_sql('greatest(last_seen_at, hi)')} AS last_seen FROM s LEFT JOIN g USING (story_id)
 """))
 def story_fill_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def story_fill_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("canonical_url_hash", F.sha2("canonical_url", 256))
     g = m.members(spark, sf_dir).filter("article_id % 2 = 1").select("story_id", "article_id", F.concat(F.lit("t"), F.col("article_id").cast("string")).alias("title"), F.col("canonical_url").alias("url"), F.sha2("canonical_url", 256).alias("url_hash"), F.col("created_at").alias("seen_at"))
     out = mutations.with_merges(s, g)
-    return out.select("story_id", "representative_article_id", "canonical_title", stamp(F.col("first_seen_at")).alias("first_seen"), stamp(F.col("last_seen_at")).alias("last_seen"))
+    return out.select("story_id", F.coalesce("representative_article_id", F.lit(-1)).alias("representative_article_id"), "canonical_title", stamp(F.col("first_seen_at")).alias("first_seen"), stamp(F.col("last_seen_at")).alias("last_seen"))
 
 
 DELETED_SQL = """SELECT '{name}' AS name, collection, count(*) FILTER ({date} < TIMESTAMP '2024-01-01 04:00:00' OR {was}) AS deleted FROM {table} GROUP BY collection"""

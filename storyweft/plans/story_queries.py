@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,6 +178,41 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_stories(a.join(p, "article_id", "left").join(v, "article_id", "left"))
 
 
+@query("greedy_lookback")
+def greedy_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade with a horizon six days before a clock: stories last seen earlier are not compared by title or vector."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
+    a = live(m.article_rows(spark, sf_dir)).withColumn("url", F.lit(None).cast("string")).join(v, "article_id", "left")
+    clock = dt.datetime.fromisoformat("2024-01-07 04:00:00+00:00").timestamp()
+    return dedup.greedy_stories(a, as_of=clock, lookback_days=6)
+
+
+@query("exact_candidates", """
+WITH a AS (SELECT doc_id, lang, source, split_part(url, '?', 1) AS u, sha256(text) AS h, source || ':' || (n_chars)::VARCHAR AS i FROM documents LEFT JOIN pages ON page_id = doc_id)
+SELECT doc_id AS id, CASE WHEN u IS NOT NULL THEN min(doc_id) OVER (PARTITION BY lang, u) ELSE -1 END AS by_url, min(doc_id) OVER (PARTITION BY lang, i) AS by_item, min(doc_id) OVER (PARTITION BY lang, h) AS by_content FROM a
+""")
+def exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact step over sets: for each article the first of its collection with its URL, its source's item id, its
+    content. The greedy pass takes stories instead, in the order of these three keys."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.substring_index("url", "?", 1).alias("u"))
+    a = table(spark, sf_dir, "documents").join(p, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("lang").alias("block"), "u", F.concat("source", F.lit(":"), F.col("n_chars").cast("string")).alias("i"), F.sha2("text", 256).alias("h"))
+    out = a.select("id")
+    for name, key in (("by_url", "u"), ("by_item", "i"), ("by_content", "h")):
+        out = out.join(dedup.classes(a, F.col(key)).withColumnRenamed("rep", name), "id", "left")
+    return out.fillna(-1)
+
+
+@query("best_url_story", with_model("""
+SELECT split_part(url, '?', 1) AS u, story_id FROM stories JOIN pages ON page_id = story_id WHERE status = 'active'
+QUALIFY row_number() OVER (PARTITION BY split_part(url, '?', 1), collection ORDER BY last_seen_at DESC, story_id DESC) = 1
+"""))
+def best_url_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active story that an article of a URL and collection would join: the one seen last."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("story_id"), F.substring_index("url", "?", 1).alias("u"))
+    s = m.stories(spark, sf_dir).filter("status = 'active'").join(p, "story_id")
+    return mutations.latest(s, ["u", "collection"], [F.desc("last_seen_at"), F.desc("story_id")]).select("u", "story_id")
+
+
 @query("connected_components", """
 WITH RECURSIVE k AS (SELECT doc_id, [source || ':' || (doc_id % 97)::VARCHAR, 'c' || (n_chars)::VARCHAR] AS ks FROM documents),
 u AS (SELECT doc_id, unnest(ks) AS key FROM k), e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y USING (key)),

@@ -27,15 +27,16 @@ def read_rss(spark: SparkSession, path: str, cutoff: str | None = None) -> DataF
     return _items(x.select(F.trim("title").alias("title"), F.trim("link").alias("link"), _summary(F.col("description")).alias("summary"), parse_any(F.col("pubDate")).alias("published_at")), cutoff)
 
 
-def read_atom(spark: SparkSession, path: str, cutoff: str | None = None, categories: int = 0) -> DataFrame:
-    """With categories, that many are put before the summary in brackets."""
+def read_atom(spark: SparkSession, path: str, cutoff: str | None = None, categories: int = 0, dated: bool = True) -> DataFrame:
+    """With categories, that many are put before the summary in brackets. Not dated: times stay null, and so no cutoff
+    takes an entry away."""
     x = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path)
     link = F.coalesce(F.filter("link", lambda s: F.coalesce(s["_rel"], F.lit("alternate")) == "alternate")[0]["_href"], F.col("link")[0]["_href"], F.col("id"))
     summary = _summary(F.coalesce("summary", "content"))
     if categories:
         tags = F.concat_ws(", ", F.slice(F.transform("category", lambda c: c["_term"]), 1, categories))
         summary = F.concat(F.when(tags != "", F.concat(F.lit("["), tags, F.lit("] "))).otherwise(F.lit("")), summary)
-    return _items(x.select(F.trim("title").alias("title"), link.alias("link"), summary.alias("summary"), parse_any(F.coalesce("published", "updated")).alias("published_at")), cutoff)
+    return _items(x.select(F.trim("title").alias("title"), link.alias("link"), summary.alias("summary"), (parse_any(F.coalesce("published", "updated")) if dated else F.lit(None).cast("timestamp")).alias("published_at")), cutoff)
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,8 @@ def test_dates(spark):
     assert one(spark, timefn.within_days(now, at(None), 14)) is False
     assert one(spark, timefn.parse_any(F.col("d")), d="Tue, 05 Mar 2024 10:00:00 +0100") == dt.datetime(2024, 3, 5, 9)
     assert one(spark, timefn.parse_any(F.col("d")), d="2024-03-05") == dt.datetime(2024, 3, 5)
+    for text_, want in (("Tue, 5 Mar 2024 10:00:00 GMT", dt.datetime(2024, 3, 5, 10)), ("5 Mar 2024 10:00:00 +0000", dt.datetime(2024, 3, 5, 10)), ("2024-03-05T10:00:00Z", dt.datetime(2024, 3, 5, 10)), ("2024-03-05T10:00:00.250+02:00", dt.datetime(2024, 3, 5, 8, 0, 0, 250_000)), ("2024-03-05 10:00:00", dt.datetime(2024, 3, 5, 10))):
+        assert one(spark, timefn.parse_any(F.col("d")), d=text_) == want, text_
     assert one(spark, timefn.parse_any(F.col("d")), d="soon") is None
 
 

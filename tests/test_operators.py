@@ -534,6 +534,7 @@ def test_video_and_paper_feeds(spark, tmp_path):
     r = feeds.read_videos(spark, str(tmp_path / "v.xml"), "2024-01-01 00:00:00").collect()
     assert [(x.title, x.link, x.summary, x.image_url, x.video_id) for x in r] == [("Clip & more", "https://www.youtube.com/watch?v=abc", "All about it", "http://p/1.jpg", "abc")]
     (tmp_path / "a.xml").write_text('<feed><entry><title>P</title><id>http://p</id><summary>s</summary><published>2020-01-01T00:00:00Z</published>' + "".join(f'<category term="c{i}"/>' for i in range(5)) + "</entry></feed>")
+    assert feeds.read_atom(spark, str(tmp_path / "a.xml"), "2024-01-01", dated=False).first().published_at is None and feeds.read_atom(spark, str(tmp_path / "a.xml"), "2024-01-01").count() == 0
     assert feeds.read_papers(spark, str(tmp_path / "a.xml")).first().summary == "[c0, c1, c2] s"
     ids = feeds.first_ids(spark.createDataFrame([("[5, 3, 9, 4]",)], "value string"), 3)
     assert {(x.id, x.place) for x in ids.collect()} == {(5, 1), (3, 2), (9, 3)}
