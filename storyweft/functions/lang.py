@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import islice
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from storyweft.functions.text import BLANKS, let
 
 #: Frequent words by language, for detection only.
 STOPWORDS = {
@@ -47,17 +44,17 @@ def language_code(x: Column) -> Column:
     return F.substring_index(language_tag(x), "-", 1)
 
 
-@F.pandas_udf(T.StringType())
-def detect_language(texts: pd.Series) -> pd.Series:
-    """Two-letter code by stop words of the whole text; `und` below six letters or without a hit."""
-    words = {k: set(v.split()) for k, v in STOPWORDS.items()}
+def detect_language(x: Column) -> Column:
+    """Two-letter code by stop words of the whole text, the first by name of equal counts; `und` below six letters or
+    without a hit, and for null. One pass over the words for each language, all in the JVM."""
+    names = sorted(STOPWORDS)
+
+    def of(own: list[str]):
+        return lambda w: w.isin(*own)
 
-    def one(t) -> str:
-        if t is None or sum(1 for _ in islice(filter(str.isalpha, t), 6)) < 6:
-            return "und"
-        own = Counter(t.lower().split())
-        hits = {k: sum(own[w] for w in s) for k, s in words.items()}
-        best = max(sorted(hits), key=hits.get)
-        return best if hits[best] else "und"
+    def best(words: Column) -> Column:
+        hits = F.array(*[F.size(F.filter(words, of(STOPWORDS[k].split()))) for k in names])
+        return let(hits, lambda h: F.when(F.array_max(h) > 0, F.element_at(F.array(*[F.lit(k) for k in names]), F.array_position(h, F.array_max(h)).cast("int"))).otherwise("und"))
 
-    return pd.Series([one(t) for t in texts], dtype="object")
+    found = let(F.split(F.lower(x), BLANKS), best)
+    return F.when(F.coalesce(x.rlike(r"^(?:[^\p{L}]*+\p{L}){6}"), F.lit(False)), found).otherwise(F.lit("und"))

@@ -127,7 +127,14 @@ def lang_code_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lang.iso_code(raw).alias("iso"), lang.language_tag(raw).alias("tag"), lang.language_code(raw).alias("code"))
 
 
-@query("language_detect")
+HITS_SQL = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in lang.STOPWORDS[k].split())})))" for k in sorted(lang.STOPWORDS))
+
+
+@query("language_detect", rf"""
+WITH t AS (SELECT doc_id, lang, text, regexp_split_to_array(lower(text), '[ \t-\r]+') AS w FROM documents),
+h AS (SELECT doc_id, lang, length(regexp_replace(text, '[^\pL]', '', 'g')) AS letters, [{HITS_SQL}] AS n FROM t)
+SELECT doc_id, lang, CASE WHEN coalesce(letters, 0) < 6 OR list_max(n) = 0 THEN 'und' ELSE {sorted(lang.STOPWORDS)}[list_position(n, list_max(n))] END AS detected FROM h
+""")
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", lang.detect_language(F.col("text")).alias("detected"))
 
