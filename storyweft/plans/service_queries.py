@@ -95,6 +95,18 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embed(a, lambda: embed.HashBackend(64), "hash", "1")
 
 
+@query("embedding_digests", with_model("""
+, a AS (SELECT article_id, array_to_string(list_filter([trim(title), trim(body)], lambda x: x <> ''), chr(10) || chr(10)) AS t FROM live),
+h AS (SELECT article_id, sha256(t || chr(10) || '0') || sha256(t || chr(10) || '1') || sha256(t || chr(10) || '2') || sha256(t || chr(10) || '3') AS x FROM a WHERE t <> ''),
+v AS (SELECT article_id, list_transform(range(64), lambda k: ('0x' || substring(x, 4 * k + 3, 2) || substring(x, 4 * k + 1, 2))::INT / 32767.5 - 1) AS v FROM h)
+SELECT article_id, round(v[1] / sqrt(list_inner_product(v, v)), 4) + 0.0::DOUBLE AS first, round(v[64] / sqrt(list_inner_product(v, v)), 4) + 0.0::DOUBLE AS last, round(list_sum(v) / sqrt(list_inner_product(v, v)), 3) + 0.0::DOUBLE AS total FROM v
+"""))
+def embedding_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last component, and the sum of all, of hash_embeddings' vectors."""
+    e = hash_embeddings(spark, sf_dir).select("article_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return e.select("article_id", *[(x + F.lit(0.0)).alias(c) for c, x in (("first", F.round(F.element_at("e", 1), 4)), ("last", F.round(F.element_at("e", -1), 4)), ("total", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 3)))])  # no negative zero
+
+
 @query("translate_run", f"SELECT DISTINCT 'article_title' AS source_type, doc_id AS source_id, 'en' AS target_lang, '[en] ' || {TITLE} AS translated_text FROM documents WHERE lang <> 'en' AND trim({TITLE}) <> ''")
 def translate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = m.article_rows(spark, sf_dir)
