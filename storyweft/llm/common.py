@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,22 +142,69 @@ def trim() -> None:
         pass
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; remembers a bounded number of words."""
+# Word hashes ---------------------------------------------------------------------------------------------------------
 
-    def __init__(self, limit: int = 300_000, seed: int = 0):
-        super().__init__()
-        self.limit, self.seed = limit, seed
+_rng = np.random.default_rng(20240501)
+#: A random number for each byte; A-Z have those of a-z, blanks are no part of words.
+BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]
+BLANK = (32, 9, 10, 11, 12, 13)
+INNER = bytes(b not in BLANK for b in range(256))  # 1 for the bytes of words
+STEP = int(_rng.integers(1 << 62, 1 << 63)) | 1
+BACK = pow(STEP, -1, 1 << 64)
+PIECE = 1 << 20  # bytes hashed in one go; a longer word makes a longer piece
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _powers(base: int, n: int) -> np.ndarray:
+    known = _tables.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(max(n, PIECE + 1), base, np.uint64)
+        steps[0] = 1
+        known = _tables[base] = np.cumprod(steps, dtype=np.uint64)
+    return known[:n]
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def _pieces(buffer: bytes) -> Iterator[tuple[int, int]]:
+    """The buffer in runs of about PIECE bytes that end at a blank or with it."""
+    start = 0
+    while start < len(buffer):
+        stop = min(start + PIECE, len(buffer))
+        while stop < len(buffer) and buffer[stop] not in BLANK:
+            stop += 1
+        yield start, stop
+        start = stop
+
+
+def hash_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and start of each word of UTF-8 bytes; A-Z count as a-z.
+
+    A word's hash is the sum of its bytes' numbers times powers of STEP, modulo 2^64, scrambled. Sums come from running
+    sums over all bytes, and a power of STEP's inverse moves each word to its own beginning, so no word is handled alone.
+    """
+    hashes, places = [], []
+    for start, stop in _pieces(buffer):
+        b = np.frombuffer(buffer, np.uint8, stop - start, start)
+        inner = np.empty(len(b) + 2, bool)
+        inner[0] = inner[-1] = False
+        inner[1:-1] = np.frombuffer(buffer[start:stop].translate(INNER), bool)
+        edges = np.flatnonzero(inner[1:] != inner[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.empty(len(b) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(BYTE[b] * _powers(STEP, len(b)), out=sums[1:])
+        hashes.append(mix64((sums[last] - sums[first]) * _powers(BACK, len(b) + 1)[first]))
+        places.append(first + start)
+    return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one text after the other, and where each text's words end. Null has none."""
+    hashes, places = hash_words(b"\n".join(t or b"" for t in texts))
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return hashes, np.searchsorted(places, ends)
 
 
 _cache: dict[tuple, object] = {}
@@ -173,10 +219,6 @@ def cached(key: tuple, make):
     return _cache[key]
 
 
-def word_hashes(seed: int = 0) -> WordHashes:
-    return cached(("word hashes", seed), lambda: WordHashes(seed=seed))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import discard, documents, mix64, row_keyed, saved, slices, small, word_hashes
+from storyweft.llm.common import discard, documents, mix64, row_keyed, saved, slices, small, words_of
 
 SHINGLE = 5
 COORDS = 128
@@ -43,26 +43,30 @@ SLACK = 0.15  # sketches within this of the threshold go on to the exact check:
 SEED = 11
 
 _rng = np.random.default_rng(SEED)
-FACTORS = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = (_rng.integers(0, 1 << 31, COORDS) * 2 + 1).astype(np.uint32)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A permutation of the coordinates for each tree; level d of a tree picks within its own run of it.
 ORDER = np.stack([_rng.permutation(COORDS) for _ in range(MOST_TREES)])
 RUN = COORDS // (DEPTH + 1)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; of the whole sequence if it has fewer words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes().of(words)
-    if len(words) < SHINGLE:
-        return mix64((h * PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    n = len(h) - SHINGLE + 1
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles; of the whole sequence if it has fewer words."""
+    h, ends = words_of(texts)
+    n = max(0, len(h) - SHINGLE + 1)
     s = h[:n] * PLACES[0]
     for k in range(1, SHINGLE):
         s += h[k : k + n] * PLACES[k]
-    return np.unique(mix64(s))
+    s = mix64(s)  # those that reach into the next text are left out below
+    out = []
+    for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        if j - i >= SHINGLE:
+            out.append(np.unique(s[i : j - SHINGLE + 1]))
+        elif j > i:
+            out.append(mix64((h[i:j] * PLACES[: j - i]).sum(keepdims=True, dtype=np.uint64) + np.uint64(j - i)))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,16 +75,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 512 << 10):
             ids = batch.column(0).to_pylist()
-            sets = [shingle_set(t) for t in texts]
+            sets = shingle_sets(texts)
             full = [i for i, s in enumerate(sets) if len(s) and ids[i] is not None]
             digest: list[bytes | None] = [None] * len(ids)
             tokens: list[bytes | None] = [None] * len(ids)
             if full:
-                flat = np.concatenate([sets[i] for i in full])
+                flat = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
                 starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
                 least = np.empty((len(full), COORDS), np.uint32)
                 for j in range(COORDS):
-                    least[:, j] = np.minimum.reduceat(((flat * FACTORS[j]) >> np.uint64(32)).astype(np.uint32), starts)
+                    least[:, j] = np.minimum.reduceat(flat * FACTORS[j], starts)
                 for k, i in enumerate(full):
                     digest[i], tokens[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), least[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "digest", "tokens"])
@@ -308,7 +312,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], ["rep", "grp", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["rep", "grp", "n", "hashes"])
 
     sets = groups.join(docs, groups["rep"] == docs["doc_id"]).select("rep", "grp", "n", "text").mapInArrow(hashes, "rep long, grp long, n long, hashes binary")
     sets = saved(sets, "shingle-sets")

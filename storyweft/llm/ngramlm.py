@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import discard, documents, filesystem, held_out, map_file, put_file, saved, slices, word_hashes, work_dir
+from storyweft.llm.common import discard, documents, filesystem, held_out, map_file, put_file, saved, slices, words_of, work_dir
 from storyweft.llm.eliasfano import EliasFano, map_arrays, put_arrays
 
 U = np.uint64
 #: Distinct words that a file of the vocabulary aims at, and training tokens that a shard of the trie aims at.
 SHARD_KEYS = 1_500_000
 SHARD_TOKENS = 2_000_000
-END_WORD = b"\n"  # no word holds a line end
+END = U(0x5E2D0F1E1D5EED0F)  # stands for the end of a text
 LEVELS = 254  # quantisation steps of a log-probability; code 0 is probability 0
 BLOCK = 1 << 19  # tokens of a block
 LOOKUPS = 1 << 20  # n-grams looked up in one go
@@ -113,8 +113,15 @@ class _Sums:
         return out
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END_WORD]
+def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, each text followed by END, and where each text ends."""
+    h, ends = words_of(texts)
+    stops = ends + np.arange(1, len(ends) + 1)
+    out = np.full(len(h) + len(ends), END)
+    word = np.ones(len(out), bool)
+    word[stops - 1] = False
+    out[word] = h
+    return out, stops
 
 
 def _range_of(hashes: np.ndarray, files: int) -> np.ndarray:
@@ -125,7 +132,7 @@ def count_words(docs: DataFrame, files: int) -> DataFrame:
     """file, keys, n: a task's sorted word hashes and counts, a row for each file that it has words of."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, h = _Sums(), word_hashes()
+        sums = _Sums()
 
         def flush():
             keys, n = sums.take()
@@ -135,7 +142,7 @@ def count_words(docs: DataFrame, files: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(of[i])], pa.int32()), pa.array([planes(np.diff(keys[i:j], prepend=U(0)))], pa.binary()), pa.array([planes(n[i:j])], pa.binary())], ["file", "keys", "n"])
 
         for _, texts in slices(batches, "text"):
-            if sums.add(np.concatenate([h.of(_words(t)) for t in texts])):
+            if sums.add(tokens_of(texts)[0]):
                 yield from flush()
         yield from flush()
 
@@ -296,19 +303,20 @@ def _cuts(model: NgramModel, totals: list[int], shards: int) -> np.ndarray:
 # Blocks of texts -----------------------------------------------------------------------------------------------------
 
 
-def _blocks(batches, hashes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _blocks(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(the block's batches, its word hashes, where each text ends), in blocks of about BLOCK tokens."""
-    held, words, size = [], [], 0
+    held, words, ends, size = [], [], [], 0
     for batch, texts in slices(batches, "text"):
+        own, stops = tokens_of(texts)
         held.append(batch)
-        for t in texts:
-            words.append(hashes.of(_words(t)))
-            size += len(words[-1])
+        words.append(own)
+        ends.append(stops + size)
+        size += len(own)
         if size >= BLOCK:
-            yield held, np.concatenate(words), np.cumsum([len(w) for w in words])
-            held, words, size = [], [], 0
-    if words:
-        yield held, np.concatenate(words), np.cumsum([len(w) for w in words])
+            yield held, np.concatenate(words), np.concatenate(ends)
+            held, words, ends, size = [], [], [], 0
+    if size:
+        yield held, np.concatenate(words), np.concatenate(ends)
 
 
 @dataclass
@@ -373,8 +381,7 @@ def fit(docs: DataFrame) -> NgramModel:
         return model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = word_hashes()
-        for _, words, ends in _blocks(batches, h):
+        for _, words, ends in _blocks(batches):
             some, back = np.unique(words, return_inverse=True)
             yield Grams.of(model.lookup(some)[0][back], ends, model.symbols).rows(model, 0, counts=True)
 
@@ -544,8 +551,8 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     path = work_dir(spark, "ngram-blocks")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, part = word_hashes(), TaskContext.get().partitionId()
-        for i, (held, words, ends) in enumerate(_blocks(batches, h)):
+        part = TaskContext.get().partitionId()
+        for i, (held, words, ends) in enumerate(_blocks(batches)):
             some, back = np.unique(words, return_inverse=True)
             ids, n = model.lookup(some)
             block = part << 20 | i

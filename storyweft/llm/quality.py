@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import discard, documents, extended, mix64, saved, slices, word_hashes
+from storyweft.llm.common import discard, documents, extended, mix64, saved, slices, words_of
 
 BITS = 18
 #: Labelled texts used at most, half of them for the target model and half for the threshold.
@@ -30,11 +30,18 @@ TEMPERATURE = 0.02
 SEED = 7
 
 
-def gram_buckets(text: bytes, bits: int = BITS) -> np.ndarray:
-    """Buckets of a text's words and word pairs; A-Z count as a-z."""
-    h = word_hashes().of(text.lower().split())
+def gram_buckets(texts: list[bytes | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the texts' words and word pairs, one text after the other, and where each text's end; A-Z count as a-z."""
+    h, ends = words_of(texts)
+    at = np.concatenate([[0], ends])
     pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (np.concatenate([mix64(h), pairs]) >> np.uint64(64 - bits)).astype(np.int64)
+    both = np.empty(2 * len(h), np.uint64)
+    both[::2] = mix64(h)
+    both[1 : 2 * len(pairs) : 2] = pairs  # after each word its pair with the next
+    keep = np.ones(len(both), bool)
+    keep[2 * ends[np.diff(at) > 0] - 1] = False  # a text's last word has no next one
+    words = np.diff(at)
+    return (both[keep] >> np.uint64(64 - bits)).astype(np.int64), np.cumsum(np.maximum(0, 2 * words - 1))
 
 
 def bucket_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -43,12 +50,12 @@ def bucket_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch, texts in slices(batches, "text"):
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, list[bytes]] = {}
             for kind, t in zip(batch.column(0).to_pylist(), texts):
-                by.setdefault(kind, []).append(gram_buckets(t, bits))
-            for kind, codes in by.items():
+                by.setdefault(kind, []).append(t)
+            for kind, own in by.items():
                 total = sums.setdefault(kind, np.zeros(1 << bits, np.int64))
-                total += np.bincount(np.concatenate(codes), minlength=1 << bits)
+                total += np.bincount(gram_buckets(own, bits)[0], minlength=1 << bits)
         for kind, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["kind", "bucket", "n"])
@@ -80,9 +87,13 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", bits: int = BI
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text):
-            codes = [gram_buckets(t or b"", bits) for t in texts]
-            w = [float(shared.value[c].sum(dtype=np.float64)) for c in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(map(len, codes), pa.int64())], [*batch.schema.names, "weight", "grams"])
+            codes, ends = gram_buckets(texts, bits)
+            n = np.diff(ends, prepend=0)
+            full = np.flatnonzero(n)
+            w = np.zeros(len(texts))
+            if len(full):
+                w[full] = np.add.reduceat(shared.value[codes], (ends - n)[full], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(n.astype(np.int64))], [*batch.schema.names, "weight", "grams"])
 
     return docs.mapInArrow(score, extended(docs, weight="double", grams="long"))
 

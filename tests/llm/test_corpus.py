@@ -533,20 +533,42 @@ def test_quality_draw_by_hand(spark, sf_dir):
     assert 0 < len(kept[0] - kept[1]) < 200
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have not; words and texts are cut as the rule says."""
+    import random
+
+    rng = random.Random(2)
+    alphabet = ["a", "A", "b", "é", "É", "ß", "中", "\u00a0", "\u2003", "0", "-", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\0"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", None, "x" * 500 + " y", " "]
+    seen, back = {}, {}
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(common, "PIECE", piece)
+        h, ends = common.words_of([None if t is None else t.encode() for t in texts])
+        words = [w for t in texts for w in WORD.findall(low(t))]
+        assert len(h) == len(words) and ends.tolist() == np.cumsum([len(WORD.findall(t or "")) for t in texts]).tolist()
+        for w, x in zip(words, h.tolist()):
+            assert seen.setdefault(w, x) == x and back.setdefault(x, w) == w
+    h, ends = common.words_of([])
+    assert len(h) == len(ends) == 0
+    many = [f"{a}{b}{c}".encode() for a in "abcdefghij" for b in range(100) for c in "pqrst"]
+    assert len(np.unique(common.hash_words(b" ".join(many))[0])) == len(many)
+
+
 def test_weights_by_hand(spark):
     """Log ratios against a count of every n-gram's bucket."""
     texts = {1: "good words here", 2: "bad bad bad", 3: "good good words", 4: "other words"}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = d.select(F.lit("raw").alias("kind"), "text").unionByName(d.filter("doc_id = 3").select(F.lit("target").alias("kind"), "text"))
     ratio = quality.log_ratio(quality.bucket_counts(rows, bits=12), bits=12)
-    raw, target = (Counter(int(b) for i in ids for b in quality.gram_buckets(texts[i].encode(), 12)) for ids in (texts, (3,)))
+    raw, target = (Counter(int(b) for i in ids for b in quality.gram_buckets([texts[i].encode()], 12)[0]) for ids in (texts, (3,)))
     n, m = sum(raw.values()), sum(target.values())
     p = {b: (raw[b] + 0.5) / (n + 0.5 * 4096) for b in range(4096)}
     want = [math.log((target[b] + 0.05 * m * p[b]) / (1.05 * m) / p[b]) for b in range(4096)]
     assert np.allclose(ratio, want, atol=1e-5)
     got = {r.doc_id: r for r in quality.weigh(d, ratio, bits=12).collect()}
     for i, t in texts.items():
-        grams = quality.gram_buckets(t.encode(), 12)
+        grams = quality.gram_buckets([t.encode()], 12)[0]
+        assert len(grams) == 2 * len(t.split()) - 1
         assert (got[i].weight, got[i].grams) == (pytest.approx(sum(want[b] for b in grams), abs=1e-4), len(grams))
 
 
@@ -770,8 +792,26 @@ def test_pipeline(spark, sf_dir, docs):
     before = kept[2].toPandas()
     _, group = brute_groups(dict(zip(before.doc_id, before.text)), 80)
     assert sorted(r.doc_id for r in kept[3].select("doc_id").collect()) == sorted(x for x in group if group[x] == x)
+    # Mixing: each source's words reach its target, and a document's takings are whole but for one of each source.
+    unique, mixed = kept[3].toPandas(), kept[4].toPandas()
+    size = lambda t: len(WORD.findall(t or ""))
+    names = sorted(unique.source.unique())
+    words = {s: [size(t) for t in unique.text[unique.source == s]] for s in names}
+    want = fill([sum(words[s]) for s in names], [1 + i % 3 for i in range(len(names))])
+    texts = unique.set_index("doc_id").text
+    for s, t in zip(names, want):
+        own = mixed[mixed.source == s]
+        assert sum(map(size, own.text)) == pytest.approx(t, abs=1)
+        assert sum(x != texts[d] for d, x in zip(own.doc_id, own.text)) <= 1 and all(texts[d].startswith(x) for d, x in zip(own.doc_id, own.text))
+        assert (own.groupby("doc_id").size() <= 3).all()
+    # Packing: every taking's ids are there once, without gaps, in as few sequences as they need.
     pieces = kept[5].toPandas()
-    assert set(pieces.doc_id) == {r.doc_id for r in kept[4].select("doc_id").distinct().collect()}
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    ids = Counter((d, crc([*plain.encode(t or "", add_special_tokens=False).ids, 0][i : i + 2048])) for d, t in zip(mixed.doc_id, mixed.text) for i in range(0, len(plain.encode(t or "", add_special_tokens=False).ids) + 1, 2048))
+    assert Counter(zip(pieces.doc_id, pieces.ids_crc32)) == ids
+    own = pieces.sort_values(["sequence_id", "offset"])
+    g = own.groupby("sequence_id").length
+    assert (g.cumsum() - own.length == own.offset).all() and g.sum().max() <= 2048 and pieces.sequence_id.nunique() <= math.ceil(pieces.length.sum() / 2048) + 2
 
 
 def test_pipeline_odd(spark, odd, empty, tmp_path):
