@@ -205,11 +205,18 @@ class LineIndex:
     # Writing ----------------------------------------------------------------
 
     def _write(self, df: DataFrame, name: str) -> tuple[str, list[int]]:
-        """df by shard in a new folder, in ranges that split a shard's or a key's many rows; the shards it has."""
+        """df by shard in a new folder; the shards it has, from the folder's listing. Postings go in ranges that split a
+        shard's or a key's many rows; counts have a row a key, so a shard of them is small."""
         path = work_dir(self.spark, name)
-        ranged = df.repartitionByRange(max(self.spark.sparkContext.defaultParallelism, self.shards), *[F.col(c) for c in ("shard", "key", "doc_id") if c in df.columns])
-        ranged.sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(path)
-        return path, [r.shard for r in self.spark.read.parquet(path).select("shard").distinct().collect()] if not df.isEmpty() else []
+        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(self.shards / 8))
+        if "doc_id" in df.columns:
+            df = df.repartitionByRange(max(tasks, self.shards), "shard", "key", "doc_id")
+        else:
+            df = df.repartition(tasks, "shard")
+        df.sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [f.getPath().getName() for f in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
+        return path, sorted(int(x.removeprefix("shard=")) for x in names if x.startswith("shard="))
 
     def _filters(self, changes: DataFrame, old: dict[int, str | None]) -> dict[int, str]:
         """changes: shard, key, delta (1 came, -1 went); new filter files of the shards that have some."""
