@@ -170,7 +170,7 @@ def mixture(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col:
     m = mixed.select(F.struct(F.col(key).alias("id"), "shard", "position", "take", "size").alias("__m"))
     out = docs.select(*[F.col(f"`{c}`") for c in names]).join(m, F.col(id_col) == F.col("__m.id"))
     text = F.when(F.col("__m.take") < F.col("__m.size"), first_words(F.col(text_col), F.col("__m.take"))).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, text).repartition(head.shards if head else 1, "__m.shard").sortWithinPartitions("__m.shard", "__m.position")
+    out = out.withColumn(text_col, text).repartitionById(head.shards if head else 1, F.col("__m.shard").cast("int")).sortWithinPartitions("__m.shard", "__m.position")
     return out.select(*[F.col(f"`{c}`") for c in names], F.col("__m.shard").alias("shard"))
 
 

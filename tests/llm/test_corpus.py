@@ -167,6 +167,25 @@ def test_mixture_rows(spark, docs):
     assert all(texts[i].startswith(t) for i, t in zip(out.doc_id, out.text))
 
 
+def test_mixture_shards_follow_the_words(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    d = spark.createDataFrame(docs[["doc_id", "text", "source"]])
+    rows, plan, mixed = mixing.mix(d)
+    n = mixed.agg(F.sum("take")).first()[0]
+    shards = mixed.select("shards").first()[0]
+    assert shards == 1 << math.ceil(math.log2(n / 400)) > 64
+    got = mixed.groupBy("shard").agg(F.count("*").alias("n")).toPandas()
+    assert got.shard.between(0, shards - 1).all()
+    want = plan.agg(F.sum(F.round("target"))).first()[0]
+    assert n == want
+    out = mixing.mixture(d, mixed)
+    assert out.select("shard").distinct().count() == len(got) and out.count() == mixed.count()
+    with monkeypatch.context() as few:
+        few.setattr(mixing, "MAX_SOURCES", 1)
+        with pytest.raises(ValueError):
+            mixing.mix(d)
+
+
 # 3, 9 ----------------------------------------------------------------------------------------------------------------
 
 
