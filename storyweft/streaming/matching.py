@@ -15,7 +15,9 @@ from storyweft.operators.dedup import GREEDY, Greedy, place_all, prepared
 
 def stream_stories(articles: DataFrame, lookback_days: int = scoring.LOOKBACK_DAYS) -> DataFrame:
     """Outcomes of new articles, appended; columns as greedy_stories takes them. Within a micro-batch articles come in
-    id order; a late one is placed among the stories there are. State grows with a collection's stories."""
+    id order; a late one is placed among the stories there are, one that is a member already is passed over. State grows
+    with a collection's stories: one that a horizon hides comes back into view with its next exact match, so none may be
+    dropped."""
 
     def place(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         greedy = pickle.loads(state.get[0]) if state.exists else Greedy(lookback_days)
