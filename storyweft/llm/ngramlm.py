@@ -11,9 +11,9 @@ more from pairs to their third words. Each entry has a quantised discounted prob
 back-off weight. An n-gram is looked up relative to its context: the pointers give the context's range, and a successor
 search halves it, reading single values from the packed form.
 
-No task holds the model. Texts are cut into blocks of BLOCK tokens; a block deals its distinct pairs and triples to the
-shards (sorted, a row a shard), shards send back a byte or three for each, and the block is put together again. Work and
-traffic are in proportion to the corpus; counts cover all training texts and nothing is pruned.
+No task holds the model. Texts are cut into blocks of BLOCK tokens or more; a block deals its distinct pairs and triples
+to the shards (sorted, a row a shard), shards send back a byte or three for each, and the block is put together again.
+Work and traffic are in proportion to the corpus; counts cover all training texts and nothing is pruned.
 
 Probabilities: P3(c|a,b) = max(n(abc) - D3, 0) / n(ab.) + D3 kinds(ab.) / n(ab.) * P2(c|b), P2 likewise over the add-1/2
 unigrams of the vocabulary and one unknown word; a context that training texts lack leaves the shorter one's probability.
@@ -40,9 +40,14 @@ U = np.uint64
 #: Distinct words that a file of the vocabulary aims at, and training tokens that a shard of the trie aims at.
 SHARD_KEYS = 1_500_000
 SHARD_TOKENS = 2_000_000
+#: A shard has at least so many times the root of all training tokens, a block so many tokens for each shard: rows from
+#: blocks to shards, as many as blocks x shards, then hold some forty n-grams each however large the corpus is. At 2e13
+#: tokens (100 TB) a shard has 47 million tokens and a block 12 million.
+SHARD_ROOT = 10
+ROW_TOKENS = 25
 END = U(0x5E2D0F1E1D5EED0F)  # stands for the end of a text
 LEVELS = 254  # quantisation steps of a log-probability; code 0 is probability 0
-BLOCK = 1 << 19  # tokens of a block
+BLOCK = 1 << 19  # tokens of a block, at least
 LOOKUPS = 1 << 20  # n-grams looked up in one go
 
 
@@ -189,6 +194,10 @@ class NgramModel:
     def shards(self) -> int:
         return len(self.cuts) + 1
 
+    @property
+    def block(self) -> int:
+        return max(BLOCK, ROW_TOKENS * self.shards)
+
     def contexts(self, shard: int) -> tuple[int, int]:
         """First and last context word of a shard's range; the unknown word is none."""
         m = self.symbols
@@ -267,7 +276,7 @@ def _vocabulary(docs: DataFrame) -> NgramModel:
     if words + 2 >= 1 << 32:
         raise ValueError("pairs of so many distinct words don't fit 64 bits")
     model = NgramModel(path, files, bases, total, words)
-    model.cuts = _cuts(model, [got[s].total if s in got else 0 for s in range(files)], max(spark.sparkContext.defaultParallelism, math.ceil(total / SHARD_TOKENS)))
+    model.cuts = _cuts(model, [got[s].total if s in got else 0 for s in range(files)], max(spark.sparkContext.defaultParallelism, math.ceil(total / max(SHARD_TOKENS, SHARD_ROOT * math.sqrt(total)))))
     return model
 
 
@@ -303,8 +312,8 @@ def _cuts(model: NgramModel, totals: list[int], shards: int) -> np.ndarray:
 # Blocks of texts -----------------------------------------------------------------------------------------------------
 
 
-def _blocks(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(the block's batches, its word hashes, where each text ends), in blocks of about BLOCK tokens."""
+def _blocks(batches, tokens: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(the block's batches, its word hashes, where each text ends), in blocks of about so many tokens."""
     held, words, ends, size = [], [], [], 0
     for batch, texts in slices(batches, "text"):
         own, stops = tokens_of(texts)
@@ -312,7 +321,7 @@ def _blocks(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         words.append(own)
         ends.append(stops + size)
         size += len(own)
-        if size >= BLOCK:
+        if size >= tokens:
             yield held, np.concatenate(words), np.concatenate(ends)
             held, words, ends, size = [], [], [], 0
     if size:
@@ -381,7 +390,7 @@ def fit(docs: DataFrame) -> NgramModel:
         return model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, ends in _blocks(batches):
+        for _, words, ends in _blocks(batches, model.block):
             some, back = np.unique(words, return_inverse=True)
             yield Grams.of(model.lookup(some)[0][back], ends, model.symbols).rows(model, 0, counts=True)
 
@@ -552,7 +561,7 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for i, (held, words, ends) in enumerate(_blocks(batches)):
+        for i, (held, words, ends) in enumerate(_blocks(batches, model.block)):
             some, back = np.unique(words, return_inverse=True)
             ids, n = model.lookup(some)
             block = part << 20 | i

@@ -777,6 +777,8 @@ def test_lm_shards_and_partitions(spark, monkeypatch):
         monkeypatch.setattr(ngramlm, "SHARD_TOKENS", tokens_)
         monkeypatch.setattr(ngramlm, "BLOCK", block)
         monkeypatch.setattr(ngramlm, "LOOKUPS", block)
+        monkeypatch.setattr(ngramlm, "SHARD_ROOT", 0)
+        monkeypatch.setattr(ngramlm, "ROW_TOKENS", 0)
         model = ngramlm.fit(d.filter("doc_id < 500").repartition(parts))
         assert model.discounts == pytest.approx(plain.d)
         stored = common.saved(d.repartition(parts), "lm")
