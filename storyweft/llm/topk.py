@@ -3,7 +3,8 @@
 Components become integers, and scores are exact: products are taken in doubles where these are exact, in 64-bit
 integers where the two lengths show that the score fits, else in integers of any size. A score beyond 64 bits is the
 nearest 64-bit number; ties so made go to the smaller id. The vectors of greatest length, SEEDS of them, are scored against every
-query first and give each query a threshold. All vectors are then taken by descending length in chunks. For a block of
+query first and give each query a threshold. All vectors are then taken by descending length in chunks, in two waves if
+there are many: what the longest eighth gives raises the thresholds for the rest. For a block of
 queries and a chunk, |query| * longest of the chunk bounds every score; where that reaches the threshold, the sum over
 the HEAD leading directions of the rotation plus the product of the residual lengths bounds each pair, and only pairs
 whose bound reaches the threshold are scored in full. A pair is dropped only if it cannot be among the k best.
@@ -33,6 +34,7 @@ SEEDS = 2048
 CHUNK = 16_384
 QUERIES = 1024
 HEAD = 16
+WAVE = 8 * CHUNK  # vectors from which there are two waves
 
 
 def integral(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -156,30 +158,66 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     seeds = rows.orderBy(F.desc("len2"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow().combine_chunks()  # SEEDS rows
     shared = spark.sparkContext.broadcast((rotation(rows, dim), np.array(seeds["vec_id"].to_pylist(), np.int64), matrix(seeds["v"].combine_chunks() if isinstance(seeds["v"], pa.ChunkedArray) else seeds["v"], dim)))
-    path = work_dir(spark, "topk-queries")
+    wanted = queries.dropDuplicates(["vec_id"]).select("vec_id", "v")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))
+
+    def cut(found: DataFrame) -> DataFrame:
+        """Each query's k best, by groups of tasks first."""
+        found = found.withColumn("rank", rank("tasks")).filter(F.col("rank") <= k)
+        return found.withColumn("rank", rank()).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    waves, found = _waves(rows, n), None
+    for i, wave in enumerate(waves):
+        bars = None if found is None else found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar"))
+        names, path = _blocks(wanted, bars, shared, dim, k)
+        new = _search(wave, names, path, shared, dim, k)
+        if found is not None:
+            new = new.unionByName(found.select("query_id", "vec_id", "score", F.lit(-1).alias("tasks")))
+        found = cut(new) if i == len(waves) - 1 else saved(cut(new), "topk-found")
+    return found
+
+
+def _waves(rows: DataFrame, n: int) -> list[DataFrame]:
+    if n < WAVE:
+        return [rows]
+    edge = rows.approxQuantile("len2", [0.875], 0.01)[0]
+    rest = rows.filter(F.col("len2") < edge)
+    return [rows] if rest.isEmpty() else [rows.filter(F.col("len2") >= edge), rest]
+
+
+def _blocks(wanted: DataFrame, bars: DataFrame | None, shared, dim: int, k: int) -> tuple[list[tuple[str, float]], str]:
+    """Query blocks as files: each file's name and the length that a vector needs to matter to any of its queries. bars:
+    the k-th best score so far of the queries that have k; without them the seeds set the bars."""
+    path, first = work_dir(wanted.sparkSession, "topk-queries"), bars is None
+    known = wanted.withColumn("bar", F.lit(None).cast("double")) if first else wanted.join(bars, "vec_id", "left").select("vec_id", "v", "bar")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rot, seed_ids, seed_v = shared.value
         seed, part = Side(seed_v, rot), TaskContext.get().partitionId()
-        for i, (ids, v) in enumerate(_chunks(batches, dim, QUERIES)):
-            bar = np.full(len(ids), -np.inf)
-            q, _, s = best(Side(v, rot), ids, seed, seed_ids, k, bar)
-            full = np.bincount(q, minlength=len(ids)) == k
-            least = np.full(len(ids), np.inf)
-            np.minimum.at(least, q, s)
-            bar[full] = least[full]
+        for i, (ids, v, given) in enumerate(_chunks(batches, dim, QUERIES)):
+            bar = np.where(np.isnan(given), -np.inf, given)
+            if first:
+                q, _, s = best(Side(v, rot), ids, seed, seed_ids, k, bar)
+                full = np.bincount(q, minlength=len(ids)) == k
+                least = np.full(len(ids), np.inf)
+                np.minimum.at(least, q, s)
+                bar[full] = least[full]
             name = f"{part:06d}-{i:06d}"
             put_arrays(f"{path}/{name}", {"ids": ids, "v": v.ravel(), "bar": bar})
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
                 reach = np.nan_to_num(bar / np.sqrt((v * v).sum(axis=1)), nan=-np.inf).min()  # length that a candidate needs
             yield pa.RecordBatch.from_pydict({"name": [name], "reach": [float(reach)]})
 
-    wanted = queries.dropDuplicates(["vec_id"]).select("vec_id", "v")
-    names = [(r.name, r.reach) for r in saved(wanted.mapInArrow(write, "name string, reach double"), "topk-names").collect()]  # a row a block of queries
+    made = saved(known.mapInArrow(write, "name string, reach double"), "topk-names")
+    return [(r.name, r.reach) for r in made.collect()], path  # a row a block of queries
+
+
+def _search(rows: DataFrame, names: list[tuple[str, float]], path: str, shared, dim: int, k: int) -> DataFrame:
+    """query_id, vec_id, score, tasks (a group of tasks): what the chunks of rows give for the query blocks."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rot = shared.value[0]
-        for ids, v in _chunks(batches, dim, CHUNK):
+        for ids, v, _ in _chunks(batches, dim, CHUNK):
             c = Side(v, rot)
             for name, reach in names:
                 if c.length.max() * (1 + 1e-9) + 1e-9 < reach:
@@ -192,28 +230,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(q_ids[own][q]), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / CHUNK))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / CHUNK))
     ranged = rows.repartitionByRange(parts, F.desc("len2"), "vec_id").sortWithinPartitions(F.desc("len2"), "vec_id")
     found = ranged.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))
-    found = found.withColumn("tasks", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts) + 1)))
-    found = found.withColumn("rank", rank("tasks")).filter(F.col("rank") <= k)
-    return found.withColumn("rank", rank()).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("tasks", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts) + 1)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vs, n = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and the third column, if there is one, in runs of about size rows."""
+    parts, n = [], 0
     for batch in batches:
         for i in range(0, batch.num_rows, size):
-            part = batch.slice(i, size)
-            ids.append(part.column(0).to_numpy())
-            vs.append(matrix(part.column(1), dim))
-            n += part.num_rows
+            own = batch.slice(i, size)
+            third = own.column(2).to_numpy(zero_copy_only=False) if own.num_columns > 2 else np.empty(0)
+            parts.append((own.column(0).to_numpy(), matrix(own.column(1), dim), third.astype(np.float64)))
+            n += own.num_rows
             if n >= size:
-                yield np.concatenate(ids), np.concatenate(vs)
-                ids, vs, n = [], [], 0
+                yield tuple(map(np.concatenate, zip(*parts)))
+                parts, n = [], 0
     if n:
-        yield np.concatenate(ids), np.concatenate(vs)
+        yield tuple(map(np.concatenate, zip(*parts)))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -459,8 +459,9 @@ def test_media_odd(odd, empty):
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("spread", [0.0, 2.0])
-def test_top_k(spark, spread, monkeypatch):
+@pytest.mark.parametrize("spread, wave", [(0.0, 1000), (2.0, 1000), (2.0, 100), (0.0, 100)])
+def test_top_k(spark, spread, wave, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE", wave)
     monkeypatch.setattr(topk, "CHUNK", 50)
     monkeypatch.setattr(topk, "SEEDS", 30)
     rng = np.random.default_rng(7)
