@@ -38,6 +38,7 @@ MOST_TREES = 64
 DEPTH = 4  # levels that branch again, below the first
 LEAF = 150
 CHUNK = 120
+GROUP_ROWS = 1_000_000  # documents in candidate groups that are broadcast (24 MB); more are joined by key
 PIVOTS = 12
 SLACK = 0.15  # sketches within this of the threshold go on to the exact check: over 4 standard deviations
 SEED = 11
@@ -308,13 +309,14 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     spark = groups.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     n = groups.groupBy("least").agg(F.count("*").alias("n"))
-    groups = groups.join(n, "least").select(F.col("id").alias("rep"), F.col("least").alias("grp"), "n")
+    groups = saved(groups.join(n, "least").select(F.col("id").alias("rep"), F.col("least").alias("grp"), "n"), "groups")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["rep", "grp", "n", "hashes"])
 
-    sets = groups.join(docs, groups["rep"] == docs["doc_id"]).select("rep", "grp", "n", "text").mapInArrow(hashes, "rep long, grp long, n long, hashes binary")
+    few = small(groups, GROUP_ROWS)  # three numbers a row: texts stay where they are if these can go to them
+    sets = few.join(docs, few["rep"] == docs["doc_id"]).select("rep", "grp", "n", "text").mapInArrow(hashes, "rep long, grp long, n long, hashes binary")
     sets = saved(sets, "shingle-sets")
     done = _confirm(sets.filter(f"n <= {CHUNK}").select("grp", "rep", "hashes"), ["grp"], percent, parts)
     large = sets.filter(f"n > {CHUNK}")
