@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyweft.llm import langid, lines, media, mixing, neardup, ngramlm, packing, quality, tokenfiles, topk
+from storyweft.llm import decontam, langid, lines, media, mixing, neardup, ngramlm, packing, quality, tokenfiles, topk
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_lm_scoring": ngramlm.op10_lm_scoring,
+    "op11_decontamination": decontam.op11_decontamination,
 }
 
 OP4_SQL = r"""
@@ -44,4 +45,5 @@ ORACLE = {
     "op4_near_duplicates": OP4_SQL,
     "op6_topk": topk.OP6_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op11_decontamination": decontam.OP11_SQL,
 }
