@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyweft.llm import decontam, langid, lines, media, mixing, neardup, ngramlm, packing, quality, tokenfiles, topk
+from storyweft.llm import decontam, langid, lines, media, mixing, neardup, ngramlm, packing, quality, tokenfiles, topk, turns
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_lm_scoring": ngramlm.op10_lm_scoring,
     "op11_decontamination": decontam.op11_decontamination,
+    "op12_conversation_repair": turns.op12_conversation_repair,
 }
 
 OP4_SQL = r"""
@@ -46,4 +47,5 @@ ORACLE = {
     "op6_topk": topk.OP6_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op11_decontamination": decontam.OP11_SQL,
+    "op12_conversation_repair": turns.OP12_SQL,
 }
