@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyweft.llm import decontam, langid, lines, media, mixing, neardup, ngramlm, packing, quality, tokenfiles, topk, turns
+from storyweft.llm import decontam, langid, lines, media, mixing, neardup, negatives, ngramlm, packing, quality, tokenfiles, topk, turns
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lm_scoring": ngramlm.op10_lm_scoring,
     "op11_decontamination": decontam.op11_decontamination,
     "op12_conversation_repair": turns.op12_conversation_repair,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 OP4_SQL = r"""
@@ -48,4 +49,5 @@ ORACLE = {
     "op8_line_dedup": lines.OP8_SQL,
     "op11_decontamination": decontam.OP11_SQL,
     "op12_conversation_repair": turns.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }

@@ -37,14 +37,14 @@ HEAD = 16
 WAVE = 8 * CHUNK  # vectors from which there are two waves
 
 
-def integral(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """vec_id, v (array of whole doubles), len2: rows whose vector is non-null, with finite components only, also after
-    they are scaled. Doubles of 2^53 and more are whole as they are."""
+def integral(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v (array of whole doubles), the columns to keep, len2: rows whose id and vector are non-null, with finite
+    components only, also after they are scaled. Doubles of 2^53 and more are whole as they are. Other columns go."""
     x = F.col(vec_col)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * F.lit(scale)) < float("inf"))
     whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
     good = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, finite)
-    rows = vectors.filter(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: whole(c.cast("double") * F.lit(scale))).alias("v"))
+    rows = vectors.filter(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: whole(c.cast("double") * F.lit(scale))).alias("v"), *keep)
     return rows.withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
 
 
@@ -148,9 +148,10 @@ def best(q: Side, q_ids: np.ndarray, c: Side, c_ids: np.ndarray, k: int, bar: np
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows by inner product, all if fewer.
 
-    rows and queries: vec_id, v, len2 as from integral(). Shorter vectors count as padded with zeros. A row with the
-    query's id is never its answer; repeated query rows answer once; repeated rows are candidates of their own. An empty
-    table, or one of empty vectors, gives no rows.
+    rows and queries: vec_id, v, len2 as from integral(), other columns aside. Shorter vectors count as padded with zeros;
+    vectors of any length are read whole. A row with the query's id is never its answer. Of query rows that share an id the
+    one of the least vector (component by component, a shorter one first) asks, so that the answers do not depend on where
+    rows lie; repeated rows are candidates of their own. An empty table, or one of empty vectors, gives no rows.
     """
     spark = rows.sparkSession
     dim, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
@@ -158,7 +159,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     seeds = rows.orderBy(F.desc("len2"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow().combine_chunks()  # SEEDS rows
     shared = spark.sparkContext.broadcast((rotation(rows, dim), np.array(seeds["vec_id"].to_pylist(), np.int64), matrix(seeds["v"].combine_chunks() if isinstance(seeds["v"], pa.ChunkedArray) else seeds["v"], dim)))
-    wanted = queries.dropDuplicates(["vec_id"]).select("vec_id", "v")
+    wanted = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     rank = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))
 
     def cut(found: DataFrame) -> DataFrame:
