@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import saved, work_dir
+from storyweft.llm.common import filesystem, saved, work_dir
 from storyweft.llm.eliasfano import map_arrays, put_arrays
 from storyweft.llm.topk import fits_doubles, integral, matrix, products
 
@@ -97,6 +98,12 @@ def _blocks(anchors: DataFrame, blocks: int, dim: int) -> str:
     return path
 
 
+def _block(path: str, b: int) -> dict[str, np.ndarray] | None:
+    """A block's arrays; None where no anchor fell in it, of which no task writes a file."""
+    fs, at = filesystem(f"{path}/{b}")
+    return map_arrays(f"{path}/{b}") if fs.get_file_info(at).type == pafs.FileType.File else None
+
+
 def _cut(found: DataFrame, key: list[str], id_col: str, k: int) -> DataFrame:
     """The k first of each key by score and id, by groups of tasks first."""
     rank = lambda *by: F.row_number().over(Window.partitionBy(*key, *by).orderBy(F.desc("score"), id_col))
@@ -127,7 +134,9 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
         for ids, labels, v in _chunks(batches, dim):
             own = {x: np.flatnonzero(labels == x) for x in np.unique(labels).tolist()}
             for b in range(blocks):
-                file = map_arrays(f"{path}/{b}")
+                file = _block(path, b)
+                if file is None:
+                    continue
                 a_ids, a_labels, a_v = file["ids"], file["labels"], file["v"].reshape(-1, dim)
                 out = []
                 for label in np.unique(a_labels).tolist():
@@ -150,7 +159,9 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
             order = np.argsort(ids, kind="stable")
             ids, labels, v = ids[order], labels[order], v[order]
             for b in range(blocks):
-                file = map_arrays(f"{with_positives}/{b}")
+                file = _block(with_positives, b)
+                if file is None:
+                    continue
                 a_ids, a_labels, a_v, ends = file["ids"], file["labels"], file["v"].reshape(-1, dim), file["ends"]
                 low, high = limits(np.asarray(file["ps"]), lowest, highest)
                 out = []
