@@ -280,9 +280,10 @@ def joined(a: dict, b: dict) -> dict:
     return a | out | {"first_initial": a["first_initial"], "last_initial": b["last_initial"], "first_turn": first, "last_turn": last, "costs": [x and x[0] for x in m], "audits": [x and x[1] for x in m]}
 
 
-def _met(open_rows: DataFrame, parts: int) -> DataFrame:
-    """One row a conversation of its partial rows: FAN neighbouring partitions at a time, level by level."""
-    schema = open_rows.schema
+def _met(open_rows: DataFrame) -> DataFrame:
+    """One row a conversation of its partial rows: FAN neighbouring partitions at a time, level by level, until the last
+    partition that gave one and the first are neighbours."""
+    schema, parts = open_rows.schema, (open_rows.agg(F.max("part")).first()[0] or 0) + 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -365,7 +366,7 @@ def repair(turns: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     parts = max(turns.sparkSession.sparkContext.defaultParallelism, math.ceil((size or 0) / part_bytes)) if rows else 1
     ranged = marked(turns).repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
     found = saved(_segments(ranged), "conversation-parts")
-    cut = saved(_met(found.filter("NOT done"), parts), "conversation-audits")
+    cut = saved(_met(found.filter("NOT done")), "conversation-audits")
     schema = extended(cut.select("conv_id"), repaired_sha256="string")
 
     def row(state, _turn, role, text):
