@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyweft.functions import hashing, scoring, text, timefn
-from storyweft.operators import components, dedup, embed, evaluate, mutations, translate
+from storyweft.operators import cascade, components, dedup, embed, evaluate, mutations, translate
 from storyweft.plans import adapter as m
 from storyweft.plans.adapter import AS_OF, live, normal_sql, stamp, stamp_sql, table, with_model
+from storyweft.plans.cascade_queries import PLANTED_SQL, planted_vectors
 from storyweft.plans.registry import query
 from storyweft.plans.text_queries import SIMHASH_SQL, TITLE, TOKENS_SQL
 from storyweft.streaming import incremental
@@ -98,7 +99,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.nearest(_vectors(spark, sf_dir)).select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-SCORED_SQL = f"""{COSINE_SQL}, k AS (SELECT id, neighbour, cosine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, neighbour) AS rank FROM c QUALIFY rank <= 20),
+PLANTED_COSINE_SQL = f"""{PLANTED_SQL}, c AS (SELECT p.vec_id AS id, q.vec_id AS neighbour, list_inner_product(p.e, q.e) / (sqrt(list_inner_product(p.e, p.e)) * sqrt(list_inner_product(q.e, q.e))) AS cosine
+      FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id)"""
+
+SCORED_SQL = f"""{PLANTED_COSINE_SQL}, k AS (SELECT id, neighbour, cosine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, neighbour) AS rank FROM c QUALIFY rank <= 20),
 t AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS w FROM documents),
 p AS (SELECT id, neighbour, rank, cosine, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS n, len(y.w) AS m FROM k JOIN t x ON x.doc_id = id JOIN t y ON y.doc_id = neighbour),
 s AS (SELECT id, neighbour, rank, cosine, CASE WHEN n = 0 OR m = 0 THEN 0.0 ELSE i / (n + m - i) END AS title, CASE WHEN abs(neighbour - id) <= 48 * 60 THEN 1.0 WHEN abs(neighbour - id) <= 168 * 60 THEN 0.6 ELSE 0.0 END AS date FROM p),
@@ -107,7 +111,7 @@ d AS (SELECT *, greatest(0, least(1, 0.75 * cosine + 0.15 * title + 0.10 * date)
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest entries of each, with title overlap, date consistency, composite and flags."""
-    near = dedup.nearest(_vectors(spark, sf_dir)).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "cosine", "rank")
+    near = dedup.nearest(planted_vectors(spark, sf_dir)).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "cosine", "rank")
     w = _titles(spark, sf_dir).select("id", text.tokens(F.col("title")).alias("w"))
     p = near.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
     at = lambda c: F.timestamp_micros(F.col(c) * 60_000_000)
@@ -121,15 +125,15 @@ def semantic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("semantic_choice", f"""
-WITH {SCORED_SQL}, o AS (SELECT id, min(rank) FILTER (cosine >= 0.5) AS first_passing, arg_max(rank, (round(composite, 9), -rank)) AS best FROM d GROUP BY id)
+WITH {SCORED_SQL}, o AS (SELECT id, min(rank) FILTER (auto) AS first_passing, arg_max(rank, (round(composite, 9), -rank)) AS best FROM d GROUP BY id)
 SELECT o.id, coalesce(x.neighbour, y.neighbour) AS chosen, x.neighbour IS NOT NULL AS merged, round(coalesce(x.composite, y.composite), 6) AS composite
 FROM o LEFT JOIN d x ON x.id = o.id AND x.rank = first_passing JOIN d y ON y.id = o.id AND y.rank = best
 """)
 def semantic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the nearest entries the first that passes (here from a cosine of 0.5, which these tables reach), else the one
-    of the best composite, the nearer of equal ones."""
+    """Of the nearest entries the first that merges, else the one of the best composite, the nearer of equal ones. Vectors
+    have planted neighbours, so that all outcomes occur."""
     d = _scored(spark, sf_dir)
-    chosen = dedup.choice(d, F.col("cosine") >= 0.5)
+    chosen = dedup.choice(d, F.col("auto"))
     return chosen.select(F.col("a").alias("id"), F.col("b").alias("chosen"), "merged", F.round("composite", 6).alias("composite"))
 
 
@@ -175,7 +179,7 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = live(m.article_rows(spark, sf_dir))
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), "url")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
-    return dedup.greedy_stories(a.join(p, "article_id", "left").join(v, "article_id", "left"))
+    return cascade.parallel_stories(a.join(p, "article_id", "left").join(v, "article_id", "left"))
 
 
 @query("greedy_lookback")
@@ -184,7 +188,7 @@ def greedy_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
     a = live(m.article_rows(spark, sf_dir)).withColumn("url", F.lit(None).cast("string")).join(v, "article_id", "left")
     clock = dt.datetime.fromisoformat("2024-01-07 04:00:00+00:00").timestamp()
-    return dedup.greedy_stories(a, as_of=clock, lookback_days=6)
+    return cascade.parallel_stories(a, as_of=clock, lookback_days=6)
 
 
 @query("exact_candidates", """

@@ -168,13 +168,13 @@ class PlainCascade:
         return story["id"], "auto_merge", signal, score, cos, story["id"]
 
 
-def test_greedy_against_plain_loops(spark):
-    """Every step of the cascade, its order and its ties, over generated articles; with and without a horizon."""
-    rng = random.Random(11)
+def _generated(spark, seed, n):
+    """Articles that meet at every step of the cascade: as plain rows and as a table."""
+    rng = random.Random(seed)
     pool = [" ".join(rng.choice(["rate", "bank", "storm", "vote", "court", "goal", "chip", "probe", "Über", "train"]) + str(rng.randrange(60)) for _ in range(9)) for _ in range(40)]
     base = [np.array([rng.gauss(0, 1) for _ in range(12)]) for _ in range(25)]
     rows = []
-    for i in range(1, 321):
+    for i in range(1, n + 1):
         t = rng.choice(pool)
         change = rng.random()
         title = t if change < 0.15 else t + "!" if change < 0.3 else t[:-1] + "x" if change < 0.45 else " ".join([*t.split()[:-1], f"new{i}"]) if change < 0.6 else f"{t.split()[0]} {i} " + " ".join(f"u{rng.randrange(999)}" for _ in range(7))
@@ -188,6 +188,12 @@ def test_greedy_against_plain_loops(spark):
     df = spark.createDataFrame([(r["id"], r["collection"], r["source"], r["item"], r["url"], r["hash"], r["title"], r["published"], r["created"], None if r["vector"] is None else r["vector"].tolist()) for r in rows], schema)
     for c in ("published_at", "created_at"):
         df = df.withColumn(c, F.timestamp_seconds(c))
+    return rows, df
+
+
+def test_greedy_against_plain_loops(spark):
+    """Every step of the cascade, its order and its ties, over generated articles; with and without a horizon."""
+    rows, df = _generated(spark, 11, 320)
     signals = set()
     for as_of, days in ((None, 365), (1_704_067_200 + 40 * 86400, 20)):
         got = {r.article_id: r for r in dedup.greedy_stories(df, as_of, days).collect()}
