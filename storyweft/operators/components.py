@@ -5,16 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, in folders by a column if one is named; a local
-    session without that setting gets its own."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; a local session without that setting gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,7 +21,13 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="storyweft-")
         base = _own[app]
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in a folder of its own, in folders by a column if one is named."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

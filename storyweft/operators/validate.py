@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyweft.functions.text import let
+
 #: Fixed values of the item contract: version, and the least and most code points of each text field.
 VERSION = "v1"
 LIMITS = {
@@ -54,6 +56,11 @@ def payload_errors(payload: Column) -> Column:
     alone = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
     value = F.when(alone.isNotNull() & named.isNotNull(), F.try_variant_get(named, "$.v", "variant"))
+    return let(value, lambda v: let(F.json_object_keys(payload), lambda keys: _value_errors(v, keys)))
+
+
+def _value_errors(value: Column, keys: Column) -> Column:
+    """payload_errors of a parsed value and its keys, each parsed once."""
     part = lambda path: F.try_variant_get(value, path, "variant")
     kind = lambda x: F.schema_of_variant(x)
     text = lambda path: F.try_variant_get(value, path, "string")
@@ -78,7 +85,6 @@ def payload_errors(payload: Column) -> Column:
     more = {
         "source": lambda p: [blank(p)], "source_item_id": lambda p: [blank(p)], "title": lambda p: [blank(p)], "canonical_url": lambda p: [link(p)], "image_url": lambda p: [link(p)],
     }
-    keys = F.json_object_keys(payload)
     meta = "$.source_metadata"
     is_object = F.coalesce(kind(part(meta)).startswith("OBJECT"), F.lit(False))
     rules = [

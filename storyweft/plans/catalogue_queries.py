@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyweft.functions import text
-from storyweft.operators import catalogue, embed, evaluate, mutations, translate, validate
+from storyweft.operators import catalogue, evaluate, mutations, translate, validate
 from storyweft.plans import adapter as m
 from storyweft.plans.adapter import AS_OF, live, stamp, stamp_sql, table, uuid_sql, with_model
 from storyweft.plans.registry import query
@@ -226,22 +226,42 @@ def truth_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mapping_counts(evaluate.mapped(d, truth, found))
 
 
-ITEM = {"payload_version": "v1", "source": "s", "source_item_id": "i", "title": "t", "source_metadata": {"collection": "c", "job_name": "j", "job_run_id": "r", "scraped_at": "2024-01-02T03:04:05Z"}}
-#: Payloads and the errors that the item contract finds in them.
-PAYLOADS = [
-    (json.dumps(ITEM), ""), (json.dumps(ITEM | {"title": None}), "title"), (json.dumps(ITEM | {"title": 5}), "title"), (json.dumps(ITEM | {"title": " "}), "title"), (json.dumps(ITEM | {"source": "x" * 129}), "source"),
-    (json.dumps(ITEM | {"tags": "x"}), "tags"), (json.dumps(ITEM | {"tags": ["a", " "]}), "tags"), (json.dumps(ITEM | {"authors": [1]}), "authors"), (json.dumps(ITEM | {"image_url": "http://a/" + "x" * 4090}), "image_url"),
-    (json.dumps(ITEM | {"language": "e"}), "language"), (json.dumps(ITEM | {"published_at": "soon"}), "published_at"), (json.dumps(ITEM | {"canonical_url": "no link"}), "canonical_url"), (json.dumps(ITEM | {"more": 1}), "unknown key"),
-    (json.dumps(ITEM | {"source_metadata": []}), "source_metadata"), (json.dumps(ITEM | {"source_metadata": ITEM["source_metadata"] | {"scraped_at": "bad"}}), "metadata scraped_at"),
-    (json.dumps({k: v for k, v in ITEM.items() if k != "source_item_id"}), "missing source_item_id"), ("[1]", "not an object"), ('{"a": NaN}', "not an object"), (json.dumps(ITEM) + " {}", "not an object"),
-    (json.dumps(ITEM | {"title": "", "payload_version": "v2"}), "payload_version,title"),
-]
+#: Faults planted by document: every rule's SQL looks at the same values.
+ITEMS_SQL = """
+WITH d AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'v2' ELSE 'v1' END AS version, CASE doc_id % 11 WHEN 4 THEN NULL WHEN 5 THEN ' ' WHEN 6 THEN repeat(source, 40) ELSE source END AS source, doc_id % 13 = 2 AS numbered, substring(text, 1, n_chars % 4096) AS title, text AS body,
+         CASE doc_id % 17 WHEN 1 THEN 'no link' WHEN 2 THEN 'http://a/' || repeat('x', 4090) ELSE 'https://' || source || '/' || doc_id END AS url, CASE doc_id % 19 WHEN 1 THEN 'soon' WHEN 2 THEN '2024-02-30T00:00:00Z' ELSE '2024-02-03T04:05:06.5+01:00' END AS published,
+         CASE doc_id % 23 WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE lang END AS language, list_distinct(regexp_split_to_array(regexp_replace(substring(text, 1, 2000), '[^a-zA-Z ]', '', 'g'), ' ')) AS tags, doc_id % 29 = 1 AS more, CASE doc_id % 31 WHEN 1 THEN NULL WHEN 2 THEN repeat('j', 257) ELSE 'job' END AS job
+  FROM documents
+)
+SELECT doc_id, CASE WHEN doc_id % 37 = 1 THEN 'not an object' ELSE array_to_string(list_filter([
+  CASE WHEN source IS NULL THEN 'missing source' END, CASE WHEN more THEN 'unknown key' END, CASE WHEN version <> 'v1' THEN 'payload_version' END,
+  CASE WHEN length(source) > 128 OR trim(source) = '' THEN 'source' END, CASE WHEN numbered OR length(title) > 2048 OR regexp_full_match(title, '[\\s\\x{85}\\p{Z}]*') THEN 'title' END,
+  CASE WHEN NOT regexp_full_match(url, '[A-Za-z][A-Za-z0-9+.-]*:\\S+') OR length(url) > 4096 THEN 'canonical_url' END, CASE WHEN length(body) > 500000 THEN 'body_text' END, CASE WHEN length(language) < 2 THEN 'language' END,
+  CASE WHEN try_cast(published AS TIMESTAMPTZ) IS NULL THEN 'published_at' END, CASE WHEN len(tags) > 128 OR len(list_filter(tags, lambda w: w = '' OR length(w) > 128)) > 0 THEN 'tags' END,
+  CASE WHEN job IS NULL OR length(job) > 256 THEN 'metadata job_name' END], lambda e: e IS NOT NULL), ',') END AS errors FROM d
+"""
 
 
-@query("payload_errors", f"SELECT doc_id, ({[e for _, e in PAYLOADS]})[(doc_id % {len(PAYLOADS)})::INT + 1] AS errors FROM documents")
+@query("payload_errors", ITEMS_SQL)
 def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.element_at(F.array(*[F.lit(x) for x, _ in PAYLOADS]), (F.col("doc_id") % len(PAYLOADS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", F.array_join(validate.payload_errors(F.col("p")), ",").alias("errors"))
+    """Items made of whole documents, with faults planted by id and those that the texts have themselves."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    by = lambda n, cases, other: functools.reduce(lambda c, kv: c.when(i % n == kv[0], kv[1]), list(cases.items())[1:], F.when(i % n == next(iter(cases)), next(iter(cases.values())))).otherwise(other)
+    title = F.substr("text", F.lit(1), (F.col("n_chars") % 4096).cast("int"))
+    tags = F.array_distinct(F.split(F.regexp_replace(F.substring("text", 1, 2000), "[^a-zA-Z ]", ""), " ", -1))
+    meta = F.struct(F.col("source").alias("collection"), by(31, {1: F.lit(None), 2: F.lit("j" * 257)}, F.lit("job")).alias("job_name"), F.lit("r").alias("job_run_id"), F.lit("2024-01-02T03:04:05Z").alias("scraped_at"))
+    body = F.struct(
+        by(7, {3: F.lit("v2")}, F.lit("v1")).alias("payload_version"), by(11, {4: F.lit(None), 5: F.lit(" "), 6: F.repeat("source", 40)}, F.col("source")).alias("source"), i.cast("string").alias("source_item_id"),
+        by(17, {1: F.lit("no link"), 2: F.lit("http://a/" + "x" * 4090)}, F.concat(F.lit("https://"), "source", F.lit("/"), i.cast("string"))).alias("canonical_url"), F.col("text").alias("body_text"),
+        by(19, {1: F.lit("soon"), 2: F.lit("2024-02-30T00:00:00Z")}, F.lit("2024-02-03T04:05:06.5+01:00")).alias("published_at"), by(23, {1: F.lit("x"), 2: F.lit(None)}, F.col("lang")).alias("language"), tags.alias("tags"),
+        by(29, {1: F.lit("y")}, F.lit(None)).alias("more"), meta.alias("source_metadata"),
+    )
+    word = F.to_json(F.array(title))
+    head = F.concat(F.lit('{"title":'), F.when(i % 13 == 2, i.cast("string")).otherwise(F.substr(word, F.lit(2), F.char_length(word) - 2)), F.lit(","))
+    item = F.concat(head, F.substr(F.to_json(body), F.lit(2)))
+    made = d.select("doc_id", F.when(i % 37 == 1, F.concat(item, item)).otherwise(item).alias("p"))
+    return made.select("doc_id", F.array_join(validate.payload_errors(F.col("p")), ",").alias("errors"))
 
 
 @query("run_states", "SELECT source, count(*) FILTER (n % 2 = 0) AS completed, count(*) FILTER (n % 2 = 1) AS running FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) GROUP BY source")
@@ -274,18 +294,6 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.listed(table(spark, sf_dir, "pages"), "^/([a-z]{2,})$").select("id", "item_id", "label", "page_id")
 
 
-@query("health", "SELECT 1 AS ok")
-def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the engine answers."""
-    return spark.range(1).select(F.lit(1).alias("ok"))
-
-
-@query("embedding_health", "SELECT 'hash' AS backend, true AS ok, 4096 AS dimensions UNION ALL SELECT 'noise', true, 4096")
-def embedding_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(name, h["ok"], h["dimensions"]) for name, make in embed.BACKENDS.items() for h in [embed.health(make())]]
-    return spark.createDataFrame(rows, "backend string, ok boolean, dimensions int")
-
-
 @query("unescaped_summaries", "SELECT page_id, substring(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), ' '), 1, 300) AS summary FROM pages")
 def unescaped_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)

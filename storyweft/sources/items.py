@@ -18,23 +18,43 @@ class _Number(str):
     """A number as it was written."""
 
 
-def _encode(x) -> str:
+def _scalar(x) -> str:
     if isinstance(x, _Number):
         return str(x)
-    if isinstance(x, dict):
-        return "{" + ",".join(f"{_encode(k)}:{_encode(x[k])}" for k in sorted(x)) + "}"
-    if isinstance(x, list):
-        return "[" + ",".join(map(_encode, x)) + "]"
+    out = json.dumps(x, ensure_ascii=False)
     if isinstance(x, str):
-        out = json.dumps(x, ensure_ascii=False)
-        for c, e in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+        for c, e in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
             out = out.replace(c, e)
-        return out
-    return json.dumps(x)
+    return out
+
+
+class _Text(str):
+    """Already encoded."""
+
+
+def _encode(value) -> str:
+    """With a stack of what is still to come, so that no depth is too great."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            todo.append(_Text("}"))
+            for i, k in enumerate(sorted(x, reverse=True), 1):
+                todo += [x[k], _Text(f"{'' if i == len(x) else ','}{_scalar(k)}:")]
+            todo.append(_Text("{"))
+        elif isinstance(x, list):
+            todo.append(_Text("]"))
+            for i in range(len(x) - 1, -1, -1):
+                todo += [x[i], _Text("," if i else "")]
+            todo.append(_Text("["))
+        else:
+            out.append(x if isinstance(x, _Text) else _scalar(x))
+    return "".join(out)
 
 
 def canonical_json(text: str) -> str | None:
-    """Keys in order, no blanks, numbers as written; null unless the text is exactly one JSON value."""
+    """Keys in order, no blanks, numbers as written; null unless the text is exactly one JSON value, or if it is nested
+    deeper than Python's parser goes (some thousand levels)."""
     try:
         value = json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
     except (TypeError, ValueError, RecursionError):
