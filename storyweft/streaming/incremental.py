@@ -38,6 +38,45 @@ def append_once(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
     return stage
 
 
+LEDGER_KEYS = ("source", "source_item_id", "payload_hash")
+
+
+def ledger_appends(source: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = LEDGER_KEYS, at: str = "received_at", within: str = "2 days", on_read: Callable[[list[str]], None] | None = None) -> None:
+    """Append what is new of a stream to a ledger in folders by day, each key once, then stop.
+
+    Repeats that arrive within the time of each other are dropped by the stream's own state, which the watermark bounds: it
+    is on the arrival, so no row is ever too late for it, however old. What is left meets the ledger: a batch that is
+    replayed, or that a lost checkpoint brings again, is compared with the days of its own rows and those that `within`
+    reaches around them, so what it reads does not grow with the ledger. Keys repeat over no longer time than that.
+    on_read is told which days a batch reads."""
+
+    def stage(batch: DataFrame, _: int) -> None:
+        spark, near = batch.sparkSession, F.expr(f"INTERVAL {within}")
+        batch = batch.withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+        batch.persist()
+        try:
+            days = [r.d for r in batch.select(F.explode(F.sequence(F.to_date(F.col(at) - near), F.to_date(F.col(at) + near))).alias("day")).select(F.date_format("day", "yyyy-MM-dd").alias("d")).distinct().collect()]
+            there = _existing(spark, path, days)
+            if on_read:
+                on_read(there)
+            first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), at).alias("r")).select("r.*")
+            if there:
+                have = spark.read.schema(batch.schema).option("basePath", path).parquet(*[f"{path}/day={d}" for d in there])
+                first = first.join(have.select(*keys), list(keys), "left_anti")
+            first.repartition("day").write.partitionBy("day").mode("append").parquet(path)
+        finally:
+            batch.unpersist()
+
+    unique = source.withColumn("__now", F.current_timestamp()).withWatermark("__now", within).dropDuplicatesWithinWatermark(list(keys)).drop("__now")
+    drain(unique, stage, checkpoint)
+
+
+def _existing(spark: SparkSession, path: str, days: list[str]) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(d for d in days if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d}")))
+
+
 def process(stages: list[Callable[[], int]], max_cycles: int = 25, until_empty: bool = True) -> list[list[int]]:
     """Rows each stage has handled, cycle by cycle, until a cycle handles none. Raises if work is left after the last."""
     done = []

@@ -241,24 +241,6 @@ def test_greedy_over_stories_that_are_there(spark):
     assert dedup.match_type("exact_url") == "exact_url" and dedup.match_type("by hand") == "manual"
 
 
-def test_greedy_on_a_stream(spark, tmp_path):
-    from storyweft.streaming.matching import stream_stories
-
-    schema = "article_id long, collection string, source string, source_item_id string, url string, content_hash string, title string, published_at timestamp, created_at timestamp, vector array<double>"
-    rows = [_article(i, url=f"http://a/{i % 4}", collection=f"c{i % 2}") for i in range(1, 13)]
-    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema.replace("timestamp", "string"))
-    for c in ("published_at", "created_at"):
-        df = df.withColumn(c, F.col(c).cast("timestamp"))
-    src, out = str(tmp_path / "in"), []
-    for part in ("article_id <= 6", "article_id > 6"):
-        df.filter(part).coalesce(1).write.mode("append").parquet(src)
-        stream = stream_stories(incremental.ledger_stream(spark, src, schema))
-        q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: out.extend(b.collect())).start()
-        q.awaitTermination()
-    want = {r.article_id: r.story_id for r in dedup.greedy_stories(df).collect()}
-    assert {r.article_id: r.story_id for r in out} == want and len(set(want.values())) == 4
-
-
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
