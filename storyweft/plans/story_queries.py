@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyweft.functions import hashing, scoring, text, timefn
-from storyweft.operators import cascade, components, dedup, embed, evaluate, mutations, translate
+from storyweft.operators import cascade, components, dedup, embed, evaluate, mutations, rules, translate
 from storyweft.plans import adapter as m
 from storyweft.plans.adapter import AS_OF, live, normal_sql, stamp, stamp_sql, table, with_model
 from storyweft.plans.cascade_queries import PLANTED_SQL, planted_vectors
@@ -162,16 +162,30 @@ def novelty_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.nearest(v.filter("id % 5 = 0"), 1, v.filter("id % 5 <> 0")).select("id", F.round("cosine", 6).alias("recent_max_cosine"))
 
 
+RULES_SQL = """k AS (
+  SELECT item_id AS rule, item_id % 7 AS topic_id, CASE WHEN item_id % 11 = 0 THEN 'exclude' ELSE 'include' END AS rule_type, CASE WHEN item_id % 5 = 0 THEN '(^| )' ELSE '' END || regexp_extract(lower(text), '[a-z]{4,8}') AS pattern,
+         item_id % 5 = 0 AS is_regex, item_id % 3 + 1 AS weight FROM benchmark WHERE item_id % 13 <> 0 AND regexp_extract(lower(text), '[a-z]{4,8}') <> ''
+), s AS (SELECT DISTINCT s_suppkey % 7 AS topic_id, 'src' || (s_suppkey % 20)::VARCHAR AS source, CASE WHEN s_suppkey % 7 = 3 THEN 'include' ELSE 'exclude' END AS rule_type FROM supplier WHERE s_suppkey % 9 = 0 OR s_suppkey % 7 = 3)"""
+
+
 @query("topic_rules", f"""
-SELECT doc_id, sum(w)::DOUBLE AS weight FROM (
-  SELECT doc_id, CASE WHEN contains(lower({TITLE}), 'tion') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower({TITLE}), '(^| )sch') THEN 1 ELSE 0 END AS w FROM documents WHERE source <> 'src9')
-WHERE w > 0 GROUP BY doc_id
+WITH {RULES_SQL}, d AS (SELECT doc_id, source, lower(text) AS t FROM documents),
+h AS (SELECT doc_id, source, topic_id, rule_type, weight FROM d JOIN k ON CASE WHEN is_regex THEN regexp_matches(t, pattern) ELSE contains(t, pattern) END),
+m AS (SELECT doc_id, source, topic_id, sum(weight) FILTER (rule_type = 'include')::BIGINT AS weight, count(*) FILTER (rule_type = 'include') AS rules, count(*) FILTER (rule_type = 'exclude') AS against FROM h GROUP BY ALL)
+SELECT doc_id, topic_id, weight, rules FROM m WHERE rules > 0 AND against = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.topic_id = m.topic_id AND s.source = m.source AND rule_type = 'exclude')
+  AND (NOT EXISTS (SELECT 1 FROM s WHERE s.topic_id = m.topic_id AND rule_type = 'include') OR EXISTS (SELECT 1 FROM s WHERE s.topic_id = m.topic_id AND s.source = m.source AND rule_type = 'include'))
 """)
 def topic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A proposal, not a stage yet: excluded sources, weighted keywords and patterns."""
-    t = F.lower(F.substring("text", 1, 80))
-    w = F.when(F.contains(t, F.lit("tion")), 2.0).otherwise(0.0) + F.when(t.rlike("(^| )sch"), 1.0).otherwise(0.0)
-    return table(spark, sf_dir, "documents").filter("source <> 'src9'").select("doc_id", w.alias("weight")).filter("weight > 0")
+    """Topics of whole texts by rule tables: keyword rules are words of the benchmark's items, source rules follow from suppliers."""
+    b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    word = F.regexp_extract(F.lower("text"), "[a-z]{4,8}", 0)
+    keywords = b.filter(word != "").select(
+        (i % 7).alias("topic_id"), F.when(i % 11 == 0, "exclude").otherwise("include").alias("rule_type"), F.concat(F.when(i % 5 == 0, F.lit("(^| )")).otherwise(""), word).alias("pattern"), (i % 5 == 0).alias("is_regex"), (i % 3 + 1).alias("weight"), (i % 13 != 0).alias("enabled"),
+    )
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").filter((k % 9 == 0) | (k % 7 == 3)).select((k % 7).alias("topic_id"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("source"), F.when(k % 7 == 3, "include").otherwise("exclude").alias("rule_type"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return rules.topics(texts, keywords, sources).select(F.col("id").alias("doc_id"), "topic_id", "weight", "rules")
 
 
 @query("greedy_dedup")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -40,19 +41,41 @@ def save(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -
     df.write.format(kind).mode(mode).save(path)
 
 
-@contextmanager
-def one_writer(spark: SparkSession, path: str) -> Iterator[None]:
-    """Hold a table for writing: a lock file beside it is made where there is none, in one step of the file system. A
-    second writer fails at once; a lock that a lost driver left is removed by hand."""
-    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.lock")
-    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+def create_new(spark: SparkSession, path: str, content: bytes = b"") -> bool:
+    """Make a file in one step of the file system; False if there is one. Hadoop's client looks first and makes then on a mounted
+    folder, where the system's own exclusive creation is used."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        local = fs.makeQualified(at).toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "xb") as f:
+                f.write(content)
+            return True
+        except FileExistsError:
+            return False
     try:
-        fs.create(lock, False).close()
+        out = fs.create(at, False)
     except Exception as e:
         if "FileAlreadyExists" in str(e):
-            raise RuntimeError(f"{path} is being written") from None
+            return False
         raise
+    out.write(bytearray(content))
+    out.close()
+    return True
+
+
+@contextmanager
+def one_writer(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold a table for writing: a lock file beside it is made where there is none, in one step of the file system. A
+    second writer fails at once; a lock that a lost driver left is removed by hand. Versioned tables need no lock, and
+    claims give a lost worker's part to another."""
+    lock = f"{path.rstrip('/')}.lock"
+    if not create_new(spark, lock):
+        raise RuntimeError(f"{path} is being written")
     try:
         yield
     finally:
-        fs.delete(lock, False)
+        at = spark._jvm.org.apache.hadoop.fs.Path(lock)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)

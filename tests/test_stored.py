@@ -105,3 +105,52 @@ def test_counts_by_changes(spark):
         assert plain(view) == plain(deltas.view_of(after, **how))
         view = spark.createDataFrame(view.collect(), view.schema)
     assert deltas.folded(deltas.view_of(after, ["k"]), spark.createDataFrame([("q", 1, 2, 3.0, 1)], schema + ", sign int"), after, ["k"]).collect() == [("q", 1)]
+
+
+def test_claims(spark, tmp_path):
+    """Two workers never hold a range; an expired lease is taken again, and the worker that lost it cannot end the range."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from storyweft.sources.claims import Claims
+
+    pending = spark.range(100).select("id")
+    one, two = (Claims(spark, str(tmp_path / "claims"), owner, 600, 10) for owner in ("one", "two"))
+    with ThreadPoolExecutor(8) as pool:
+        taken = [c for cs in pool.map(lambda w: w.take(pending, most=6), [one, two, one, two]) for c in cs]
+    assert sorted(c.range for c in taken) == list(range(10)) and {c.lease for c in taken} == {1}
+    assert one.take(pending) == [] and one.take_range(3) is None
+    late = Claims(spark, one.path, "late", -1, 10)  # to it every lease has expired
+    again = late.take_range(3)
+    first = next(c for c in taken if c.range == 3)
+    assert again.lease == 2 and not one.done(first) and not one.renew(first) and late.renew(again) and late.done(again) and not late.done(again)
+    assert late.take_range(3) is None
+    seen = []
+    assert sorted(late.work(pending, lambda rows: seen.extend(r.id for r in rows.collect()))) == [n for n in range(10) if n != 3]
+    assert sorted(seen) == [i for i in range(100) if not 30 <= i < 40]
+
+
+def test_rules(spark):
+    from storyweft.operators import rules
+
+    texts = spark.createDataFrame([(1, "s", "The Red Fox and the redder fox"), (2, "t", "nothing"), (3, "s", None), (4, "u", "ÉTÉ a1a1"), (5, None, "red")], "id long, source string, text string")
+    table = [(1, "red", False), (2, "redder", False), (3, r"\bfox$", True), (4, "été", False), (5, r"(a1)\1", True), (6, "", False), (7, "RED", False), (8, "(?i:NOTH)", True), (9, None, False)]
+    made = spark.createDataFrame(table, "rule long, pattern string, is_regex boolean")
+    want = [(1, 1), (1, 2), (1, 3), (1, 7), (2, 8), (4, 4), (4, 5), (5, 1), (5, 7)]
+    for how in ({}, {"block_rules": 2}, {"block_bytes": 4}):
+        assert sorted(tuple(r) for r in rules.rule_hits(texts, made, **how).collect()) == want
+    with pytest.raises(Exception, match="unterminated|missing"):
+        rules.rule_hits(texts, spark.createDataFrame([(1, "(", True)], "rule long, pattern string, is_regex boolean"))
+    keywords = spark.createDataFrame([(1, "include", "red", False, 2, True), (1, "include", "fox", False, 1, None), (2, "include", "red", False, 1, True), (2, "exclude", "fox", False, 1, True), (3, "include", "n", False, 5, False)], "topic_id int, rule_type string, pattern string, is_regex boolean, weight int, enabled boolean")
+    sources = spark.createDataFrame([(2, "u", "include"), (1, "t", "exclude")], "topic_id int, source string, rule_type string")
+    assert sorted(tuple(r) for r in rules.topics(texts, keywords, sources).collect()) == [(1, 1, 3, 2), (5, 1, 2, 1)]
+    assert rules.topics(texts, keywords.limit(0), sources).count() == 0
+
+
+def test_deep_json(spark):
+    from storyweft.sources import items
+
+    deep = "[" * 1500 + "]" * 1500
+    assert items.canonical_json(deep) == deep and items.canonical_json('{"b":[1.50,{}],"a":{"y":[],"x":"<"}}') == '{"a":{"x":"\\u003c","y":[]},"b":[1.50,{}]}'
+    too_deep = "[" * 300_000 + "]" * 300_000
+    df = spark.createDataFrame([(deep,), (too_deep,), (None,)], "p string")
+    assert df.select(items.payload_hash("p").alias("h")).filter("h IS NULL").count() == 1
