@@ -55,7 +55,7 @@ def payload_errors(payload: Column) -> Column:
     # The parser stops after a value; within brackets of two kinds nothing but one value can stand.
     alone = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
-    value = F.when(alone.isNotNull() & named.isNotNull(), F.try_variant_get(named, "$.v", "variant"))
+    value = F.try_variant_get(F.when(alone.isNotNull(), named), "$.v", "variant")
     return let(value, lambda v: let(F.json_object_keys(payload), lambda keys: _value_errors(v, keys)))
 
 

@@ -68,3 +68,27 @@ def test_ledger_on_a_stream(spark, tmp_path):
     have = [tuple(r) for r in spark.read.parquet(path).select("source", "source_item_id", "payload_hash").collect()]
     assert len(have) == len(set(have)) and set(have) == {i[:3] for i in items}
     assert read and max(map(len, read)) <= 2 + 2 + 1
+
+
+def test_counters(spark, tmp_path):
+    """In batch and on a stream, against counting what was written."""
+    from storyweft.streaming.counters import StageCounters, counted_stream, run_counted
+
+    src, dst = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(100).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("v"))
+    how = {"scanned": None, "ones": F.col("v") == 1, "none": F.col("v").isNull()}
+    assert run_counted(rows, lambda r: r.write.parquet(src), **how) == {"scanned": 100, "ones": 33, "none": 34}
+    listener = StageCounters()
+    spark.streams.addListener(listener)
+    try:
+        for _ in range(2):
+            stream = counted_stream(incremental.ledger_stream(spark, src, rows.schema), "stage", **how)
+            stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).format("parquet").start(dst).awaitTermination()
+            rows.filter("id < 10").write.mode("append").parquet(src)
+        until = time.time() + 20
+        while listener.totals.get("stage", {}).get("scanned") != 110 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    out = spark.read.parquet(dst)
+    assert listener.totals["stage"] == {"scanned": out.count(), "ones": out.filter("v = 1").count(), "none": out.filter("v IS NULL").count()}
