@@ -1,7 +1,7 @@
 """Topics by rule tables: keywords, regular expressions, sources; included or excluded, with weights.
 
-Keywords of all topics form one automaton, so a text is read once however many there are. Regular expressions are tried in groups:
-a text that no member of a group can match is searched once for it. Texts give the numbers of the rules they match; what
+Keywords of all topics form one automaton, so a text is read once however many there are. A regular expression waits in it for the
+longest literal that it must contain and is searched only where that occurs; without one it is searched always. Texts give the numbers of the rules they match; what
 these mean is joined. Rules are taken in blocks of a bounded size, a pass over the texts for each.
 """
 
@@ -19,37 +19,46 @@ from storyweft.operators.components import written
 
 #: Most rules, and most bytes of their patterns, of a block, which comes to the driver and is broadcast.
 BLOCK_RULES, BLOCK_BYTES = 100_000, 8 << 20
-GROUP = 32
+#: Lower-case letters that expressions without case also take for ASCII ones; texts with them are searched for all expressions.
+FOLDED = "\u0131\u017f"
+
+
+def needed(pattern: str) -> str | None:
+    """The longest run of at least three ASCII characters, lower case, that every match must contain at the top level."""
+    best = run = ""
+    for op, arg in re._parser.parse(pattern, re.IGNORECASE):
+        run = run + chr(arg) if op is re._constants.LITERAL and arg < 128 else ""
+        best = max(best, run, key=len)
+    return best.lower() if len(best) > 2 else None
 
 
 def matcher(rules: list[tuple[int, str, bool]]):
     """A function from a text to the numbers of the rules (number, pattern, is_regex) that occur in its lower-case form."""
     import ahocorasick
 
-    words, groups, alone = ahocorasick.Automaton(), [], []
-    own: dict[str, list[int]] = {}
+    words, alone, own = ahocorasick.Automaton(), [], {}
     for n, pattern, is_regex in rules:
-        if not is_regex:
-            own.setdefault(pattern.lower(), []).append(n)
-        elif re.search(r"\(\?|\\[1-9]", pattern):  # flags and references do not bear to be joined
-            alone.append((n, re.compile(pattern, re.IGNORECASE)))
+        known = re.compile(pattern, re.IGNORECASE) if is_regex else None
+        word = needed(pattern) if is_regex else pattern.lower()
+        if word is None:
+            alone.append((n, known))
         else:
-            if not groups or len(groups[-1][1]) == GROUP:
-                groups.append([None, []])
-            groups[-1][1].append((n, re.compile(pattern, re.IGNORECASE)))
+            own.setdefault(word, ([], []))[is_regex].append((n, known))
     for word, numbers in own.items():
-        words.add_word(word, numbers)
+        words.add_word(word, (word, *numbers))
     words.make_automaton()
-    for g in groups:
-        g[0] = re.compile("|".join(f"(?:{p.pattern})" for _, p in g[1]), re.IGNORECASE)
+    all_expressions = alone + [x for _, waiting in own.values() for x in waiting]
 
     def match(text: str) -> set[int]:
-        low = text.lower()
-        found = {n for _, numbers in words.iter(low) for n in numbers} if own else set()
-        found |= {n for n, p in alone if p.search(low)}
-        for any_, members in groups:
-            if any_.search(low):
-                found |= {n for n, p in members if p.search(low)}
+        low, found, seen, waiting = text.lower(), set(), set(), list(alone)
+        for _, (word, plain, expressions) in words.iter(low) if own else ():
+            if word not in seen:
+                seen.add(word)
+                found.update(n for n, _ in plain)
+                waiting += expressions
+        if any(c in low for c in FOLDED):
+            waiting = all_expressions
+        found.update(n for n, p in waiting if p.search(low))
         return found
 
     return match

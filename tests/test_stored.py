@@ -138,6 +138,9 @@ def test_rules(spark):
     want = [(1, 1), (1, 2), (1, 3), (1, 7), (2, 8), (4, 4), (4, 5), (5, 1), (5, 7)]
     for how in ({}, {"block_rules": 2}, {"block_bytes": 4}):
         assert sorted(tuple(r) for r in rules.rule_hits(texts, made, **how).collect()) == want
+    assert [rules.needed(p) for p in ("(^| )Wort", "a.cde+", "(abc)?", "abc|abd", "été123")] == ["wort", None, None, None, "123"]
+    folded = rules.matcher([(1, "k(i)ste", True), (2, "miß", True), (3, "x?kiste", True)])
+    assert folded("kıſte") == {1, 3} and folded("KISTE") == {1, 3} and folded("Miß") == {2}
     with pytest.raises(Exception, match="unterminated|missing"):
         rules.rule_hits(texts, spark.createDataFrame([(1, "(", True)], "rule long, pattern string, is_regex boolean"))
     keywords = spark.createDataFrame([(1, "include", "red", False, 2, True), (1, "include", "fox", False, 1, None), (2, "include", "red", False, 1, True), (2, "exclude", "fox", False, 1, True), (3, "include", "n", False, 5, False)], "topic_id int, rule_type string, pattern string, is_regex boolean, weight int, enabled boolean")
