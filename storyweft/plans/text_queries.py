@@ -9,7 +9,7 @@ from storyweft.functions import hashing, lang, text, timefn, url
 from storyweft.operators import validate
 from storyweft.plans.adapter import articles, live, normal_sql, table, with_model
 from storyweft.plans.registry import query
-from storyweft.sources import feeds, pages
+from storyweft.sources import feeds, pages, reader
 
 TITLE = "substring(text, 1, 80)"
 
@@ -197,10 +197,17 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.char_length(bare).cast("long").alias("n_chars"), F.substring(F.trim(bare), 1, 300).alias("summary"))
 
 
-@query("readable_text")
+@query("readable_text", r"""
+WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?(p|h1|br)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g') AS x FROM b),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?[\r\n][ \r\n]*', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS x FROM c)
+SELECT page_id, length(x) AS n_chars, sha256(x) AS body_sha, CASE WHEN length(x) > 1000 THEN trim(substring(x, 1, 999), ' ' || chr(10)) || '…' ELSE x END AS preview FROM d
+""")
 def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", text.truncate_text(pages.readable(F.col("html")), 1000).alias("preview"))
+    """The body that block scoring finds, whatever its element is called; the SQL takes the article element of these pages."""
+    p = table(spark, sf_dir, "pages").select("page_id", reader.readable(F.col("html")).alias("body"))
+    return p.select("page_id", F.char_length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha"), text.truncate_text(F.col("body"), 1000).alias("preview"))
 
 
 @query("clean_truncate_preview", r"""

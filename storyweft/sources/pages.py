@@ -1,20 +1,13 @@
-"""Raw web pages: links, and readable text."""
+"""Raw web pages: links and lists of entries."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storyweft.functions.hashing import short_id
 
 LINK = r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)'
-#: Elements whose text is no reading matter, and those that end a paragraph.
-SKIP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "template"}
-BREAK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "blockquote", "pre"}
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -31,81 +24,3 @@ def listed(pages: DataFrame, pattern: str) -> DataFrame:
     rows = rows.withColumn("id", F.regexp_extract("href", pattern, 1)).filter((F.col("id") != "") & (F.col("label") != ""))
     first = rows.groupBy("id").agg(F.min(F.struct("page_id", "at", "href", "label")).alias("r"))
     return first.select("id", short_id(F.col("id")).alias("item_id"), "r.href", "r.label", "r.page_id")
-
-
-#: Fixed value: most bytes of a page that are read.
-MAX_BYTES = 2 << 20
-
-
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
-        self.title, self.excerpt, self.in_title, self.main = "", "", False, [0, 0]
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self.in_title = True
-        elif tag == "meta":
-            a = dict(attrs)
-            if (a.get("name") or a.get("property") or "").lower() in ("description", "og:description") and not self.excerpt:
-                self.excerpt = (a.get("content") or "").strip()
-        elif tag in ("article", "main") and not self.main[1]:
-            self.main[0] = self.main[0] or len(self.parts)
-        if tag in SKIP:
-            self.depth += 1
-        elif tag in BREAK:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        elif tag in ("article", "main") and self.main[0]:
-            self.main[1] = len(self.parts)
-        if tag in SKIP and self.depth:
-            self.depth -= 1
-        elif tag in BREAK:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.depth:
-            self.parts.append(data)
-
-
-def _paragraphs(text: str) -> str:
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n\n".join(line for line in lines if line)
-
-
-def preview_of(page: bytes | str | None, content_type: str = "text/html") -> str | None:
-    """A page's reading text: plain text as it is; of HTML the article or main element if it holds most of the text, else
-    all outside boilerplate; without any, the page's description, then its title. Of more than MAX_BYTES the first are
-    read, as a client that stops there would."""
-    if page is None:
-        return None
-    raw = page.encode() if isinstance(page, str) else page
-    text = raw[:MAX_BYTES].decode("utf-8", "ignore")
-    if content_type.split(";")[0].strip().lower() == "text/plain":
-        return _paragraphs(text)
-    reader = _Reader()
-    reader.feed(text)
-    whole, (i, j) = _paragraphs("".join(reader.parts)), reader.main
-    inner = _paragraphs("".join(reader.parts[i : j or None])) if i else ""
-    best = inner if 2 * len(inner) > len(whole) else whole
-    return best or _paragraphs(reader.excerpt) or _paragraphs(reader.title)
-
-
-def readable_of(html: str | None) -> str | None:
-    if html is None:
-        return None
-    reader = _Reader()
-    reader.feed(html)
-    return _paragraphs("".join(reader.parts))
-
-
-@F.pandas_udf(T.StringType())
-def readable(html: pd.Series) -> pd.Series:
-    """Text without boilerplate elements, paragraphs apart by a blank line."""
-    return pd.Series([readable_of(h) for h in html], dtype="object")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyweft.functions import hashing, lang, scoring, text, timefn, url
 from storyweft.sources.items import canonical_json
-from storyweft.sources.pages import readable_of
+from storyweft.sources.reader import readable_of
 
 
 def one(spark, column, **values):

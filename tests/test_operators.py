@@ -531,7 +531,7 @@ def test_video_and_paper_feeds(spark, tmp_path):
 
 
 def test_page_previews():
-    from storyweft.sources.pages import MAX_BYTES, preview_of
+    from storyweft.sources.reader import MAX_BYTES, preview_of
 
     assert preview_of("one\r\n two\n\n three", "Text/Plain; charset=utf-8") == "one\n\ntwo\n\nthree"
     page = '<html><head><title>Head line</title><meta name="description" content=" In short. "></head><body>{}</body></html>'
