@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ def collection_label(payload: Column, fallback: Column) -> Column:
     return F.coalesce(F.when(own != "", own), F.when(row != "", row), F.lit("unknown"))
 
 
-def normalize(raw: DataFrame, detect: bool = True) -> DataFrame:
+def normalize(raw: DataFrame, detect: bool | Callable[[Column], Column] = True) -> DataFrame:
     """raw: raw_arrival_id, source, source_item_id, collection, url, source_published_at, fetched_at, raw_payload.
 
+    detect: whether to detect languages that payloads do not name, or what gives a text's code, as
+    `lambda x: profiles.detector(trained)(x)["lang"]`; True takes stop words, which need no training.
+
     A payload that is no object falls back to the row: the title is the item id, the body is empty.
     """
     p = F.col("raw_payload")
@@ -28,7 +33,8 @@ def normalize(raw: DataFrame, detect: bool = True) -> DataFrame:
     code = lang.iso_code(F.coalesce(text_of("language"), F.lit("")))
     language = F.when(code != "", code)
     if detect:
-        language = F.coalesce(language, lang.detect_language(F.concat_ws(" ", title, body)))
+        own = detect if callable(detect) else lang.detect_language
+        language = F.coalesce(language, own(F.concat_ws(" ", title, body)))
     host = url.canonical_url_any(link)
     out = raw.select(
         "raw_arrival_id", "source", "source_item_id", collection_label(p, F.col("collection")).alias("collection"), host["canonical"].alias("canonical_url"),
