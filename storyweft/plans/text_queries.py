@@ -140,14 +140,14 @@ of AS (SELECT lower(lang) AS name, gram, row_number() OVER (PARTITION BY lang OR
 names AS (SELECT DISTINCT name FROM of),
 s AS (SELECT doc_id, name, sum(coalesce(abs(own.place - of.place), {profiles.TOP}))::BIGINT AS distance FROM own CROSS JOIN names LEFT JOIN of USING (name, gram) GROUP BY ALL),
 best AS (SELECT doc_id, min((distance, name)) AS b FROM s GROUP BY ALL)
-SELECT doc_id, lang, held_out, CASE WHEN letters >= 6 THEN coalesce(b[2], 'und') ELSE 'und' END AS detected, CASE WHEN letters >= 6 THEN b[1] END AS distance
+SELECT doc_id, lang, held_out, CASE WHEN letters >= 6 THEN coalesce(b[2], 'und') ELSE 'und' END AS detected, CASE WHEN letters >= 6 THEN coalesce(b[1], -1) ELSE -1 END AS distance
 FROM (SELECT *, coalesce(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')), 0) AS letters FROM d) LEFT JOIN best USING (doc_id)
 """)
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on the documents that are not held out. The texts are of one script, so the SQL has no filter of scripts."""
+    """Trained on the documents that are not held out; distance is -1 where nothing is detected. The texts are of one script, so the SQL has no filter of scripts."""
     d = table(spark, sf_dir, "documents").withColumn("held_out", profiles.held_out(F.col("doc_id")))
     detect = profiles.detector(profiles.fit(d.filter(~F.col("held_out"))))
-    return d.withColumn("found", detect(F.col("text"))).select("doc_id", "lang", "held_out", F.col("found.lang").alias("detected"), F.col("found.distance").alias("distance"))
+    return d.withColumn("found", detect(F.col("text"))).select("doc_id", "lang", "held_out", F.col("found.lang").alias("detected"), F.coalesce("found.distance", F.lit(-1)).cast("long").alias("distance"))
 
 
 ITEM_SQL = """item AS (
