@@ -124,10 +124,11 @@ def block_draws(blocks: DataFrame, plan: DataFrame, levels: int = LEVELS) -> Dat
     b = saved(b.select("src", "rank", "block", "epoch", "room", "draw"), "mix-draws")
     tree = splitting_tree(b.groupBy("rank").agg(F.count("*").alias("q")), levels)
     tree = saved(tree, "mix-tree")
-    runs = tree.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("runs"))  # 2^levels a source
-    b = b.join(small(saved(runs, "mix-runs")), "rank")
-    shard = F.expr("element_at(filter(runs, r -> r.first <= draw), -1).shard")
-    return b.select("src", "block", "epoch", "room", shard.alias("shard"))
+    # A draw's shard is that of the last run that starts at or before it: runs and draws in one order, the last start carried on.
+    both = b.withColumn("shard", F.lit(None).cast("int")).unionByName(tree.select("rank", F.col("first").alias("draw"), F.col("shard").cast("int").alias("shard")), allowMissingColumns=True)
+    carried = Window.partitionBy("rank").orderBy("draw", F.col("src").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("shard", F.last("shard", ignorenulls=True).over(carried)).filter("src IS NOT NULL")
+    return both.select("src", "block", "epoch", "room", "shard")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, levels: int | None = None, **columns) -> tuple[DataFrame, DataFrame, DataFrame]:
