@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,7 +35,6 @@ from storyweft.llm.common import discard, documents, mix64, row_keyed, saved, sl
 SHINGLE = 5
 COORDS = 128
 RECALL = 0.999
-MOST_TREES = 64
 DEPTH = 4  # levels that branch again, below the first
 LEAF = 150
 CHUNK = 120
@@ -46,8 +46,8 @@ SEED = 11
 _rng = np.random.default_rng(SEED)
 FACTORS = (_rng.integers(0, 1 << 31, COORDS) * 2 + 1).astype(np.uint32)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A permutation of the coordinates for each tree; level d of a tree picks within its own run of it.
-ORDER = np.stack([_rng.permutation(COORDS) for _ in range(MOST_TREES)])
+#: A permutation of the coordinates for each of the first trees; level d of a tree picks within its own run of it.
+ORDER = np.stack([_rng.permutation(COORDS) for _ in range(64)])
 RUN = COORDS // (DEPTH + 1)
 
 
@@ -108,19 +108,28 @@ def meeting(percent: float, threshold: int, levels: int = DEPTH + 1) -> float:
 
 
 def tree_count(percent: int, recall: float = RECALL) -> int:
-    return min(MOST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - meeting(percent, percent))))
+    """As many trees as the recall needs at the threshold itself, however many: 120 at 30 percent."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - meeting(percent, percent)))
+
+
+@functools.lru_cache(4)
+def orders(trees: int) -> np.ndarray:
+    """The permutations of so many trees; those beyond ORDER are drawn each by its number."""
+    more = [np.random.default_rng((SEED, t)).permutation(COORDS) for t in range(len(ORDER), trees)]
+    return np.concatenate([ORDER, more]) if more else ORDER
 
 
 def _children(tree: np.ndarray, node: np.ndarray, tokens: np.ndarray, level: int, more: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and names of the children that documents (tree, node, tokens) move to: one each, and a second one in the
     share `more` of nodes."""
     at, names = [], []
+    order = orders(1 << int(tree.max(initial=0)).bit_length())
     path = mix64(node ^ np.uint64(level + 1))
     first = (path % np.uint64(RUN)).astype(np.int64)
     for k in (0, 1):
         rows = np.arange(len(node)) if k == 0 else np.flatnonzero((path >> np.uint64(32)) % np.uint64(1 << 20) < more * (1 << 20))
         place = (first[rows] + k * (1 + ((path[rows] >> np.uint64(48)) % np.uint64(RUN - 1)).astype(np.int64))) % RUN
-        coord = ORDER[tree[rows], level * RUN + place]
+        coord = order[tree[rows], level * RUN + place]
         names.append(mix64(path[rows] ^ (tokens[rows, coord].astype(np.uint64) << np.uint64(8) | coord.astype(np.uint64))))
         at.append(rows)
     return np.concatenate(at), np.concatenate(names)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -398,10 +399,22 @@ def test_chosen_paths_meet(monkeypatch):
         left, right = ({(d % n, k) for d, k in zip(doc.tolist(), node.tolist()) if (d < n) == side} for side in (True, False))
         met = len({d for d, _ in left & right})
         assert met / n == pytest.approx(neardup.meeting(80, percent, level + 1), abs=0.03)
-    for p in (80, 85):
+    for p in (20, 30, 50, 80, 85):
         assert 1 - (1 - neardup.meeting(p, p)) ** neardup.tree_count(p) >= neardup.RECALL
 
 
+def test_trees_beyond_the_first(spark):
+    """A low threshold takes as many trees as its recall needs, each with an order of its own."""
+    many = neardup.orders(128)
+    assert neardup.tree_count(30) == 120 and len({tuple(o) for o in many.tolist()}) == 128
+    assert np.array_equal(np.sort(many, axis=1), np.tile(np.arange(neardup.COORDS), (128, 1))) and np.array_equal(many[:64], neardup.orders(8))
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:38] + [f"x{rng.randrange(10**6)}" for _ in range(22)]) for b in base]  # 34 of 78 shingles shared
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 30).toPandas().set_index("doc_id")
+    assert [int(got.component_id[i]) for i in range(80)] == [i % 40 for i in range(80)]
+
+
 def test_near_duplicates_odd(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd, 85).collect()]
     assert sorted((x for x in got if x[0] is not None)) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 7, 6, True), (7, 6, 6, False), (8, 1, 8, True), (8, 1, 8, True)]
