@@ -71,10 +71,10 @@ def truncated(x: Column, limit: int) -> Column:
     return F.char_length(F.trim(x)) > limit
 
 
-def truncate_text(x: Column, limit: int) -> Column:
-    """At most limit code points; a cut text ends in an ellipsis."""
+def truncate_text(x: Column, limit: int, ends: str = " ") -> Column:
+    """At most limit code points; a cut text ends in an ellipsis. ends: characters that are left out before it."""
     t = F.trim(x)
-    cut = F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("…"))
+    cut = F.concat(F.rtrim(F.substring(t, 1, limit - 1), F.lit(ends)), F.lit("…"))
     return F.when(truncated(x, limit), cut).otherwise(t)
 
 

@@ -108,6 +108,11 @@ def test_clean_and_truncate(spark):
     assert one(spark, text.embedding_input(F.lit(" "), F.lit("b"))) == "b"
 
 
+def test_a_cut_at_a_paragraph_leaves_no_line_ends(spark):
+    assert one(spark, text.truncate_text(F.lit("low tide\n\nhigh tide"), 11, " \n")) == "low tide…"
+    assert one(spark, text.truncate_text(F.lit("low tide\n\nhigh tide"), 11)) == "low tide\n\n…"
+
+
 def test_canonical_json():
     assert canonical_json('{"b": 1.10, "a": [1e3, "<&>", {"z": null, "y": true}]}') == '{"a":[1e3,"\\u003c\\u0026\\u003e",{"y":true,"z":null}],"b":1.10}'
     assert canonical_json("{} {}") is None
