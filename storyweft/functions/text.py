@@ -101,9 +101,12 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
-def plain_text(x: Column) -> Column:
-    """Markup without its tags and with its references resolved; rows without a reference stay out of Python."""
+def plain_text(x: Column, ampersands_only: bool = False) -> Column:
+    """Markup without its tags and with its references resolved; rows without a reference stay out of Python. ampersands_only:
+    of the references just whole &amp;, what a cut has left of one stays as it is."""
     bare = strip_tags(x)
+    if ampersands_only:
+        return F.replace(bare, F.lit("&amp;"), F.lit("&"))
     return F.when(F.contains(bare, F.lit("&")), unescape(bare)).otherwise(bare)
 
 

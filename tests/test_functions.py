@@ -113,6 +113,11 @@ def test_a_cut_at_a_paragraph_leaves_no_line_ends(spark):
     assert one(spark, text.truncate_text(F.lit("low tide\n\nhigh tide"), 11)) == "low tide\n\n…"
 
 
+def test_ampersands_only(spark):
+    of = lambda t: one(spark, text.plain_text(F.col("t"), ampersands_only=True), t=t)
+    assert of("a &amp;&amp; b &&amp") == "a && b &&amp" and of("&quot;x&quot;") == "&quot;x&quot;" and of("&amp;lt;") == "&lt;" and of(None) is None
+
+
 def test_canonical_json():
     assert canonical_json('{"b": 1.10, "a": [1e3, "<&>", {"z": null, "y": true}]}') == '{"a":[1e3,"\\u003c\\u0026\\u003e",{"y":true,"z":null}],"b":1.10}'
     assert canonical_json("{} {}") is None
