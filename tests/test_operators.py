@@ -41,6 +41,31 @@ def test_prefix_filter_loses_nothing(spark):
     assert got == want
 
 
+def test_parts_of_sets_lose_nothing(spark):
+    rng = random.Random(6)
+    letters = [a + b for a in "abcdefghijklm" for b in "nopqrstu"]
+    sets = []
+    for i in range(150):
+        size = rng.choice([1, 2, 5, 8, 9, 16, 17, 40, 75])
+        own = set(rng.sample(letters, size)) if i % 3 == 0 else set(sets[-1][2]) ^ set(rng.sample(letters, rng.randrange(0, 5)))
+        sets.append((i, "x" if i % 7 else "y", sorted(own)))
+    df = spark.createDataFrame(sets, "id long, block string, grams array<string>")
+    pairs, members = dedup.overlap_pairs(df, 0.88), dedup.classes(df, dedup.gram_key(F.col("grams")))
+    want = {(p[0], q[0]) for p in sets for q in sets if p[0] < q[0] and p[1] == q[1] and p[2] and q[2] and len(set(p[2]) & set(q[2])) / len(set(p[2]) | set(q[2])) >= 0.88}
+    assert {(r.a, r.b) for r in dedup.expanded(pairs, members).collect()} == want and len(want) > 20
+    for days in (0, 1, 4):
+        near = [(r.a, r.b) for r in dedup.expanded(pairs, members, days).collect()]
+        assert sorted(near) == sorted((a, b) for a, b in want if b - a <= days)
+
+
+def test_sets_that_only_share_a_phrase_are_not_moved(spark):
+    """Texts with a common beginning meet on its grams; none of those pairs may leave the join of the keys."""
+    rng = random.Random(7)
+    rows = [(i, "x", sorted({f"common{k}" for k in range(20)} | {f"own{rng.randrange(400)}" for _ in range(30)})) for i in range(300)]
+    keyed = dedup._signed(spark.createDataFrame(rows, "id long, block string, grams array<string>"))
+    assert dedup._met_on_parts(keyed, 0.88).count() < 30
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(90, 8))
