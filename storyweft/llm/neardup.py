@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyweft.llm.common import discard, documents, mix64, row_keyed, saved, slices, small, words_of
+from storyweft.llm.common import BROADCAST_ROWS, discard, documents, mix64, row_keyed, saved, slices, small, words_of
 
 SHINGLE = 5
 COORDS = 128
@@ -38,8 +38,9 @@ RECALL = 0.999
 DEPTH = 4  # levels that branch again, below the first
 LEAF = 150
 CHUNK = 120
-GROUP_ROWS = 1_000_000  # documents in candidate groups that are broadcast (24 MB); more are joined by key
+GROUP_ROWS = 1_000_000  # rows of two or three numbers that are broadcast (24 MB), so that texts and tokens stay; more are joined by key
 PIVOTS = 12
+TOGETHER = 1 << 21  # hashes of members that are intersected at once (80 MB); longer ones pair by pair
 SLACK = 0.15  # sketches within this of the threshold go on to the exact check: over 4 standard deviations
 SEED = 11
 
@@ -51,6 +52,11 @@ ORDER = np.stack([_rng.permutation(COORDS) for _ in range(64)])
 RUN = COORDS // (DEPTH + 1)
 
 
+def _sent(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if its rows, known to be `rows` at most, are no more than `most`."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles; of the whole sequence if it has fewer words."""
     h, ends = words_of(texts)
@@ -223,58 +229,65 @@ def _compare_leaves(rows: DataFrame, least: float, parts: int) -> DataFrame:
 
 
 def candidate_links(reps: DataFrame, percent: int, recall: float = RECALL) -> DataFrame:
-    """a, b: rows that connect every pair of similar documents, with high probability, among others."""
+    """a, b: rows that connect every pair of similar documents, with high probability, among others; rows may repeat."""
     spark = reps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     low = [F.substring("tokens", 4 * j + 1, 1) for j in range(COORDS)]
     bits = reps.select("rep", F.concat(*low).alias("bits"))
     more, least = second_share(percent), percent / 100 - SLACK
-    rows, found = _roots(reps, tree_count(percent, recall), more), []
+    rows, leaves, in_leaves, whole = saved(_roots(reps, tree_count(percent, recall), more), "branches-0"), [], 0, None
     for level in range(1, DEPTH + 2):
-        if level == 1:
-            rows = saved(rows, "branches-0")
         count = saved(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"nodes-{level}")
+        is_large = F.col("n") > LEAF
+        small_nodes, large_nodes, small_rows, large_rows = (x or 0 for x in count.agg(F.count_if(~is_large), F.count_if(is_large), F.sum(F.when(~is_large, F.col("n"))), F.sum(F.when(is_large, F.col("n")))).first())
         # Large nodes are few, one in LEAF rows at most; marked for broadcast if so few, their rows stay where they are.
-        large = saved(count.filter(f"n > {LEAF}").select("node", "least"), f"large-{level}")
-        some = small(large)
-        few = rows.join(some, "node", "left_anti").join(count.filter(f"n <= {LEAF}").select("node"), "node").select("node", "rep").join(bits, "rep")
-        found.append(saved(_compare_leaves(few, least, parts).distinct(), f"links-{level}"))
-        if large.isEmpty():
-            break
-        deep = rows.join(some, "node")
-        if level > DEPTH:
-            found.append(saved(deep.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "links-whole"))
-            break
-        before, rows = (rows, count, large), saved(_branch(deep.join(reps.select("rep", "tokens"), "rep"), level, more).distinct(), f"branches-{level}")
+        large = _sent(count.filter(is_large).select("node", "least"), large_nodes)
+        few = rows if small_nodes <= BROADCAST_ROWS else rows.join(large, "node", "left_anti")
+        leaves.append(saved(few.join(_sent(count.filter(~is_large).select("node"), small_nodes), "node").select("node", "rep"), f"leaves-{level}"))
+        in_leaves += small_rows
+        before = rows, count
+        if large_nodes:
+            deep = rows.join(large, "node")
+            if level > DEPTH:
+                whole = saved(deep.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "links-whole")
+            else:  # a node's children have names of their own, so no row comes twice
+                rows = saved(_branch(_sent(deep.select("tree", "node", "rep"), large_rows, GROUP_ROWS).join(reps.select("rep", "tokens"), "rep"), level, more), f"branches-{level}")
         discard(spark, *before)
-    links = found[0]
-    for x in found[1:]:
-        links = links.unionByName(x)
-    return links.distinct()
+        if not large_nodes:
+            break
+    # Nodes of all levels have names of their own and are compared together.
+    small_sets = functools.reduce(DataFrame.unionByName, leaves)
+    links = saved(_compare_leaves(_sent(small_sets, in_leaves, GROUP_ROWS).join(bits, "rep").select("node", "rep", "bits"), least, parts), "links")
+    discard(spark, *leaves)
+    return links if whole is None else links.unionByName(whole)
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, least: the least id reachable by links (a, b), for every id in a link.
+    """id, least: the least id reachable by links (a, b; saved, rows may repeat), for every id in a link.
 
-    Labels take the minimum over neighbours, then jump to their label's label. Joins and sums by key only: a hub's rows
-    are combined before the shuffle or split by the join. Each round is written to the shared folder.
+    Labels take the minimum over neighbours, then jump to their label's label, until the ends of every link agree. Joins
+    and sums by key only: a hub's rows are combined before the shuffle or split by the join; labels so few that they can be
+    broadcast go to the links, so that a round shuffles once. Each round is written to the shared folder.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = saved(both, "cc-links")
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).select(F.col("a").alias("id"), "least"), "cc-labels")
+    spark = links.sparkSession
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = links.filter("a <> b").select(ends).select("e.*")
+    once = None
+    if links.count() > GROUP_ROWS:
+        both = once = saved(both.distinct(), "cc-links")
+    step = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).select(F.col("a").alias("id"), "least"), "cc-labels")
+    n = step.count()
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["id"]).select(both["a"].alias("id"), "least")
-        step = near.unionByName(labels).groupBy("id").agg(F.min("least").alias("least"))
-        step = saved(step, "cc-step")
         jump = step.select(F.col("id").alias("least"), F.col("least").alias("next"))
-        new = saved(step.join(jump, "least", "left").select("id", F.least("least", "next").alias("least")), "cc-labels")
-        moved = new.join(labels.withColumnRenamed("least", "old"), "id").filter("least <> old")
-        still = moved.isEmpty()
-        discard(links.sparkSession, labels, step)
-        labels = new
-        if still:
-            discard(links.sparkSession, both)
+        labels = saved(step.join(_sent(jump, n), "least").select("id", F.least("least", "next").alias("least")), "cc-labels")
+        discard(spark, step)
+        near = _sent(labels.select(F.col("id").alias("b"), "least"), n)
+        met = both.join(near, "b").select("a", "least")
+        if met.join(_sent(labels.select(F.col("id").alias("a"), F.col("least").alias("own")), n), "a").filter("least <> own").isEmpty():
+            discard(spark, once)
             return labels
+        step = saved(met.withColumnRenamed("a", "id").unionByName(labels).groupBy("id").agg(F.min("least").alias("least")), "cc-step")
+        discard(spark, labels)
     raise RuntimeError("labels still move after all rounds")
 
 
@@ -289,10 +302,27 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _solve(rep: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> np.ndarray:
     """Label of each member: the least index connected to it. left: pairs are compared only if one of them is in it."""
-    label = np.arange(len(rep))
-    for j in range(1, len(rep)):
-        for i in range(j):
-            if label[i] != label[j] and (left is None or left[i] != left[j]) and similar(sets[i], sets[j], percent):
+    n, label, size = len(rep), np.arange(len(rep)), np.array([len(s) for s in sets])
+    together = n >= 8 and size.sum() <= TOGETHER  # else one by one, in memory that follows two sets
+    if together:
+        owner = np.repeat(label, size)
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        mark = np.zeros(len(known), bool)
+    for j in range(n):
+        other = label != label[j]
+        if left is not None:
+            other &= left != left[j]
+        if together and other.any():
+            own = code[ends[j] - size[j] : ends[j]]
+            mark[own] = True
+            both = np.bincount(owner[mark[code]], minlength=n)
+            mark[own] = False
+            hit = np.flatnonzero(other & (100 * both >= percent * (size + size[j] - both)))
+        else:
+            hit = (i for i in np.flatnonzero(other[:j]) if label[i] != label[j] and similar(sets[i], sets[j], percent))
+        for i in hit:
+            if label[i] != label[j]:
                 lo, hi = sorted((label[i], label[j]))
                 label[label == hi] = lo
     return label
@@ -317,47 +347,51 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """id, least: exact components within candidate groups (id, least); docs: doc_id, text."""
     spark = groups.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    total = groups.count()
     n = groups.groupBy("least").agg(F.count("*").alias("n"))
-    groups = saved(groups.join(n, "least").select(F.col("id").alias("rep"), F.col("least").alias("grp"), "n"), "groups")
+    groups = saved(groups.join(_sent(n, total), "least").select(F.col("id").alias("rep"), F.col("least").alias("grp"), "n"), "groups")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["rep", "grp", "n", "hashes"])
 
-    few = small(groups, GROUP_ROWS)  # three numbers a row: texts stay where they are if these can go to them
+    few = _sent(groups, total, GROUP_ROWS)  # three numbers a row: texts stay where they are if these can go to them
     sets = few.join(docs, few["rep"] == docs["doc_id"]).select("rep", "grp", "n", "text").mapInArrow(hashes, "rep long, grp long, n long, hashes binary")
     sets = saved(sets, "shingle-sets")
     done = _confirm(sets.filter(f"n <= {CHUNK}").select("grp", "rep", "hashes"), ["grp"], percent, parts)
     large = sets.filter(f"n > {CHUNK}")
-    if large.isEmpty():
+    if groups.filter(f"n > {CHUNK}").isEmpty():
         return done.select(F.col("a").alias("id"), F.col("b").alias("least"))
 
-    # Chunks by a hash; each holds the group's pivots as well.
+    # Chunks by a hash; each holds the group's pivots as well, those of its own once.
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
     turn = F.xxhash64(F.lit(SEED), "rep")
     large = saved(large.withColumn("chunk", F.pmod(turn, chunks)), "large-sets")
     pivot = large.select("grp", turn.alias("turn"), "rep").withColumn("k", F.row_number().over(Window.partitionBy("grp", F.pmod("turn", F.lit(97))).orderBy("turn", "rep"))).filter(f"k <= {PIVOTS}")
     pivot = pivot.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "rep"))), 1, PIVOTS).alias("p"))  # 97 x PIVOTS at most
     pivot = pivot.select("grp", F.explode("p.rep").alias("rep"))
-    spread = large.join(pivot, ["grp", "rep"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    first = large.unionByName(spread).dropDuplicates(["grp", "chunk", "rep"])
-    links = saved(_confirm(first.select("grp", "chunk", "rep", "hashes"), ["grp", "chunk"], percent, parts), "large-links")
+    pivot = _sent(pivot, total * PIVOTS // CHUNK)
+    spread = large.join(pivot, ["grp", "rep"], "left_semi").withColumnRenamed("chunk", "own").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).filter("chunk <> own")
+    first = large.select("grp", "chunk", "rep", "hashes").unionByName(spread.select("grp", "chunk", "rep", "hashes"))
+    links = saved(_confirm(first, ["grp", "chunk"], percent, parts), "large-links")
     label = connected_components(links)
-    state = saved(large.select("grp", "rep").join(label, F.col("rep") == F.col("id"), "left").select("grp", "rep", F.coalesce("least", "rep").alias("least")), "large-labels")
+    state = saved(large.select("grp", "rep").join(_sent(label, total), F.col("rep") == F.col("id"), "left").select("grp", "rep", F.coalesce("least", "rep").alias("least")), "large-labels")
     per = state.groupBy("grp", "least").agg(F.count("*").alias("size"))
     top = per.groupBy("grp").agg(F.max(F.struct("size", F.negate("least").alias("m"))).alias("t")).select("grp", F.negate("t.m").alias("main"))
-    outside = state.join(top, "grp").filter("least <> main").select("grp", "rep", F.col("least").alias("own"))
+    outside = saved(state.join(_sent(top, total), "grp").filter("least <> main").select("grp", "rep"), "outside")
     if not outside.isEmpty():
         # Blocks of outsiders against every chunk of the group.
-        outside = saved(large.join(outside, ["grp", "rep"]), "outsiders")
+        outside = saved(large.join(_sent(outside, total), ["grp", "rep"]), "outsiders")
         count = outside.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("blocks"))
         block = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.col("blocks"))
+        count = _sent(count, total)
         us = outside.join(count, "grp").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
         all_ = large.join(count, "grp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         pairs = us.select("grp", "block", "chunk", "rep", "hashes", F.lit(True).alias("side")).unionByName(all_.select("grp", "block", "chunk", "rep", "hashes", F.lit(False).alias("side")))
-        links = links.unionByName(_confirm(pairs, ["grp", "block", "chunk"], percent, parts, sided=True))
-        label = connected_components(saved(links, "large-links"))
-    alone = large.select("rep").join(label, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("least", "rep").alias("least"))
+        more = _confirm(pairs, ["grp", "block", "chunk"], percent, parts, sided=True).filter("a <> b")
+        # What was found before counts by its labels.
+        label = connected_components(saved(label.select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(more), "large-links"))
+    alone = large.select("rep").join(_sent(label, total), F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("least", "rep").alias("least"))
     return done.select(F.col("a").alias("id"), F.col("b").alias("least")).unionByName(alone)
 
 
@@ -370,7 +404,7 @@ def _near(docs: DataFrame, percent: int, recall: float) -> DataFrame:
     groups = connected_components(candidate_links(reps.select("rep", "tokens"), percent, recall))
     exact = saved(confirmed(groups, docs, percent), "components")
     discard(spark, groups)
-    named = reps.select("digest", "rep").join(exact, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
+    named = reps.select("digest", "rep").join(small(exact), F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
     return made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -372,6 +372,44 @@ def test_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == group
 
 
+def test_near_duplicates_shuffle_little(spark, monkeypatch):
+    """Small tables of many partitions: labels, nodes and groups go to the rows that need them, and a round of labels shuffles once."""
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(neardup, "LEAF", 12)
+    texts = family(60, 1, 1, tag="a") + family(40, 2, 2, tag="b")
+    d = dict(enumerate(texts))
+    _, group = brute_groups(d, 80)
+    docs = common.saved(spark.createDataFrame(list(d.items()), "doc_id long, text string").coalesce(1), "family")
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("near-duplicates", "tasks are counted")
+        rows = neardup.near_duplicates(docs, 80).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in rows} == group
+    stages = {k for j in sc.statusTracker().getJobIdsForGroup("near-duplicates") for k in sc.statusTracker().getJobInfo(j).stageIds}
+    wide = sum(1 for k in stages if (i := sc.statusTracker().getStageInfo(k)) and i.numCompletedTasks == 31)
+    assert wide <= 20  # 48 before, when tables were joined by key and the last round was found by joins
+
+
+def test_solve_as_pair_by_pair(monkeypatch):
+    """All members at once give the labels of pairs, with sides and without."""
+    rng = np.random.default_rng(3)
+    for n, words in ((30, 12), (60, 9), (8, 40)):
+        sets = [np.unique(rng.integers(0, words * 2, words).astype(np.uint64)) for _ in range(n)]
+        sides = rng.random(n) < 0.4
+        for left in (None, sides):
+            monkeypatch.setattr(neardup, "TOGETHER", 1 << 21)
+            got = neardup._solve(np.arange(n), sets, 40, left)
+            monkeypatch.setattr(neardup, "TOGETHER", 0)
+            assert got.tolist() == neardup._solve(np.arange(n), sets, 40, left).tolist()
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of one id are documents of their own, in any order of the table."""
     t = ["a b c d e f g h", "a b c d e f g h", "other words that are not like it at all", "q r s t u v w x"]
