@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,33 @@ def test_nearest_of_many_equal_vectors(spark):
         assert [got[i, k + 1] for k in range(5)] == [j for j in range(6) if j != i][:5]
 
 
+def test_nearest_holds_little(monkeypatch):
+    """Of many blocks short runs leave before the input ends, each vector once; scores taken in slices are those of all at once."""
+    monkeypatch.setattr(dedup, "WAITING_BYTES", 20_000)
+    rng, drawn = np.random.default_rng(5), []
+    v = rng.normal(size=(2000, 8))
+    blocks = [None if i % 300 == 7 else str(i % 300) for i in range(2000)]
+
+    def batches():
+        for i in range(0, 2000, 100):
+            drawn.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(range(i, i + 100), pa.int64()), pa.array(blocks[i : i + 100], pa.string()), pa.array(v[i : i + 100].tolist(), pa.list_(pa.float64()))], ["id", "block", "vector"])
+
+    seen = set()
+    for run in dedup.packed(batches()):
+        assert seen or len(drawn) <= 4
+        (r,) = run.to_pylist()
+        m = np.frombuffer(r["vs"], np.float64).reshape(-1, r["dim"])
+        for i, x in zip(np.frombuffer(r["ids"], np.int64).tolist(), m):
+            assert i not in seen and r["block"] == blocks[i] and np.allclose(x, v[i] / np.linalg.norm(v[i]))
+            seen.add(i)
+    assert len(seen) == 2000
+    u, ids = v / np.linalg.norm(v, axis=1, keepdims=True), np.arange(2000)
+    whole = dedup._best(u[:90], u, ids[:90], ids, 5)
+    parts = [np.concatenate(x) for x in zip(*(dedup._best(u[i : i + 9], u, ids[i : i + 9], ids, 5) for i in range(0, 90, 9)))]
+    assert [x.tolist() for x in whole[:2]] == [x.tolist() for x in parts[:2]] and np.allclose(whole[2], parts[2])
+
+
 def _article(i, **x):
     return {"article_id": i, "collection": "c", "source": f"s{i}", "source_item_id": str(i), "url": None, "content_hash": f"h{i}", "title": f"entirely different words number {i * 7919}", "published_at": "2024-01-01 00:00:00", "created_at": "2024-01-01 00:00:00", "vector": None} | x
 
