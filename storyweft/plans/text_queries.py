@@ -216,8 +216,9 @@ d AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'),
 SELECT page_id, length(x) AS n_chars, sha256(x) AS body_sha, CASE WHEN length(x) > 1000 THEN trim(substring(x, 1, 999), ' ' || chr(10)) || '…' ELSE x END AS preview FROM d
 """)
 def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The body that block scoring finds, whatever its element is called; the SQL takes the article element of these pages."""
-    p = table(spark, sf_dir, "pages").select("page_id", reader.readable(F.col("html")).alias("body"))
+    """The body that block scoring finds, whatever its element is called; the SQL takes the article element of these pages,
+    and of references resolves those that the pages' texts are written with."""
+    p = table(spark, sf_dir, "pages").select("page_id", reader.readable_quoted(F.col("html")).alias("body"))
     return p.select("page_id", F.char_length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha"), text.truncate_text(F.col("body"), 1000, " \n").alias("preview"))
 
 
