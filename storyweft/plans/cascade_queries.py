@@ -131,6 +131,6 @@ FROM steps WHERE n > 0
 
 @query("cascade_stories", with_model(CASCADE_SQL).replace("WITH", "WITH RECURSIVE", 1))
 def cascade_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step of the cascade over all live articles, placed by components of candidate links; no candidate is -1."""
-    o = cascade.parallel_stories(cascade_input(spark, sf_dir))
+    """Every step of the cascade over all live articles; no candidate is -1."""
+    o = cascade.parallel_stories(cascade_input(spark, sf_dir), sequence=cascade.SEQUENCE)
     return o.select("article_id", "story_id", "decision", "exact_signal", F.coalesce("best_candidate_story_id", F.lit(-1)).alias("best_candidate_story_id"), F.round("composite_score", 6).alias("composite_score"))
